@@ -11,6 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_importance_resampling": "importance",
     "op2_quality_rules": "quality_rules",
+    "op3_piece_sampling": "pieces",
+    "op4_cost_balanced_packing": "packing",
+    "op5_suffix_tree": "suffix_tree",
+    "op6_chat_parts": "chat",
+    "op7_url_sweep": "url_rules",
+    "op8_matroska": "matroska",
+    "op9_simhash_pigeonring": "simhash",
+    "op10_byte_gru": "language",
 }
 
 
@@ -19,4 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the two queries that it can express: hashed models, networks and samplers are tested in tests/llm."""
+    from emberlog.llm import chat, url_rules
+
+    return {"op6_chat_parts": chat.OP6_SQL, "op7_url_sweep": url_rules.OP7_SQL}
