@@ -205,7 +205,7 @@ def pooled(model: ByteTagger, texts: list[bytes | None]) -> tuple[list[str], lis
     index: dict[bytes, int] = {}
     place, count = index.setdefault, []
     seen = [[place(run, len(index)) for run in cut_runs(text or b"")] for text in texts]
-    sums = model.run_sums(list(index)) if index else np.zeros((0, len(model.languages)))
+    sums = model.run_sums(list(index)) if index and model.languages else np.zeros((0, len(model.languages)))
     size = np.fromiter(map(len, index), np.int64, len(index))
     names, scores = [], []
     for text, own in zip(texts, seen, strict=True):
@@ -236,3 +236,15 @@ def identify(docs: DataFrame, model: ByteTagger) -> DataFrame:
 def op10_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs)).select("doc_id", (crc32_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, model: ByteTagger, least_score: float = 0.35) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has letters and a language of at least ``least_score``."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, scores = pooled(model, utf8_values(batch.column(names.index("text"))))
+            yield batch.filter(pa.array([name != "und" and score >= least_score for name, score in zip(found, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

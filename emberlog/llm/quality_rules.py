@@ -22,7 +22,7 @@ BUCKETS = 1 << 14
 #: At most this many trusted documents are taken for the target multinomial (the raw one covers every document).
 TRUSTED_BOUND = 50_000
 #: Documents whose log ratio per n-gram is under this are rejected.
-THRESHOLD = -0.05
+THRESHOLD = -0.4
 PIECE_PATTERN = r"[0-9A-Za-z_\u0080-￿]+|[^\s0-9A-Za-z_\u0080-￿]+"
 
 

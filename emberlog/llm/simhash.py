@@ -135,3 +135,131 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
 
 def op9_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# Removal of near copies: wide fingerprints, for similarities at which 64 bits and two differing ones see nothing.
+
+#: 64-bit segments of the wide ring, and sampled seeds of so many shingles each.
+LANES, SEEDS, SEED_SHINGLES = 16, 16, 4
+#: Leaders that each seed's other holders are compared with.
+LEADERS = 8
+_LANE = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1) | 1 for i in range(LANES + SEEDS)], np.uint64)
+
+
+def wide_budget(similarity: float, bits: int = 64 * LANES) -> int:
+    """Differing bits that sets of this Jaccard similarity have on average, and twice the standard deviation."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * share + 2 * (bits * share * (1 - share)) ** 0.5)
+
+
+def _spread(h: np.ndarray, by: np.ndarray) -> np.ndarray:
+    x = h[:, None] * by
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def counted_majority(rows: np.ndarray) -> np.ndarray:
+    """As ``majority``, by full adders on whole words: three rows of weight w become a sum of w and a carry of 2 w."""
+    n, lanes = rows.shape
+    if n < 48:
+        return majority(rows)
+    total, weight = np.zeros(lanes * 64, np.int64), 1
+    while len(rows):
+        carried = []
+        while len(rows) >= 3:
+            k = len(rows) // 3
+            a, b, c = rows[:k], rows[k : 2 * k], rows[2 * k : 3 * k]
+            ab = a ^ b
+            carried.append((a & b) | (ab & c))
+            rows = np.concatenate([ab ^ c, rows[3 * k :]])
+        total += weight * np.unpackbits(np.ascontiguousarray(rows).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        weight *= 2
+        rows = np.concatenate(carried) if carried else rows[:0]
+    return np.packbits(2 * total > n, bitorder="little").view("<u8")
+
+
+def wide_fingerprint(text: bytes | None, size: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The wide ring of a text's distinct shingles, and its seeds: hashes of the shingles least under each permutation."""
+    h = np.unique(shingle_hashes(text, size))
+    if not len(h):
+        return None
+    order = np.ascontiguousarray(_spread(h, _LANE[LANES:]).T)
+    take = min(SEED_SHINGLES, len(h))
+    least = np.sort(np.partition(order, take - 1, axis=1)[:, :take], axis=1)
+    seed = np.zeros(SEEDS, np.uint64)
+    for k in range(take):
+        seed = (seed ^ least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+    return counted_majority(_spread(h, _LANE[:LANES])), seed
+
+
+def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, class (XXH64 of the text as it is), wide ring and seeds of every row; null rings where there is no word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [wide_fingerprint(x, size) for x in utf8_values(batch.column(2))]
+            lists = [pa.array([None if r is None else r[k].view(np.int64) for r in rows], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "class", "ring", "seeds"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = docs.select("doc_id", text_class(F.col("text")).alias("class"), "text")
+    return map_arrow(own, run, f"doc_id {kind}, class long, ring array<long>, seeds array<long>")
+
+
+def text_class(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _ring_links(budget: int, chain: int = 4) -> Column:
+    """Whether rings ``ring_a`` and ``ring_b`` differ in ``budget`` bits at most: chain filter first, then all bits.
+
+    Some segment starts a chain whose running sums stay within their share of the budget; without one there is no need
+    to add up the rest.
+    """
+    differ = F.transform(F.arrays_zip(F.col("ring_a").alias("a"), F.col("ring_b").alias("b")), lambda p: F.bit_count(p["a"].bitwiseXOR(p["b"])))
+
+    def within(d: Column) -> Column:
+        def starts(i: Column) -> Column:
+            total, found = F.lit(0), F.lit(True)
+            for step in range(chain):
+                total = total + F.get(d, (i + step) % LANES)
+                found = found & (total * LANES <= (step + 1) * budget)
+            return found
+
+        return F.exists(F.sequence(F.lit(0), F.lit(LANES - 1)), starts) & (F.aggregate(d, F.lit(0), lambda x, y: x + y) <= budget)
+
+    return F.transform(F.array(differ), within)[0]
+
+
+def near_copy_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """Edges ``(a, b)`` between the classes of a table (class, ring, seeds) whose rings are within the similarity's budget.
+
+    Classes that share a seed are compared through at most LEADERS of its holders each, so a group of any size makes rows
+    in proportion to it; with SEEDS seeds, two members of one group meet through several leaders.
+    """
+    held = classes.where(F.col("seeds").isNotNull()).select("class", F.posexplode("seeds").alias("place", "seed"))
+    salted = held.groupBy("place", "seed", F.pmod(F.xxhash64("class", "place"), F.lit(LEADERS)).alias("salt")).agg(F.min("class").alias("leader"), F.count("*").alias("n"))
+    leaders = salted.groupBy("place", "seed").agg(F.collect_list("leader").alias("leaders"), F.sum("n").alias("n")).where(F.col("n") > 1).drop("n")
+    met = held.join(leaders, ["place", "seed"]).select("class", F.explode("leaders").alias("leader")).where(F.col("class") != F.col("leader"))
+    pairs = met.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
+    ring = lambda x: classes.select(F.col("class").alias(x), F.col("ring").alias(f"ring_{x}"))
+    return pairs.join(ring("a"), "a").join(ring("b"), "b").where(_ring_links(wide_budget(similarity))).select("a", "b")
+
+
+def drop_near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of copies and near copies: the one of smallest doc_id. All columns and other rows stay.
+
+    Groups are the connected components over pairs of texts whose sets of ``size``-word shingles have at least the given
+    Jaccard similarity, as told by 1024-bit SimHash rings. Texts without words are copies only of equal ones.
+    """
+    prints = stored(wide_fingerprints(docs, size), "rings")
+    classes = stored(prints.groupBy("class").agg(F.min("doc_id").alias("least"), F.first("ring").alias("ring"), F.first("seeds").alias("seeds")), "classes")
+    nodes = connected_components(near_copy_links(classes, similarity))
+    linked = classes.join(nodes, F.col("class") == F.col("node")).select("class", "least", "component")
+    best = linked.groupBy("component").agg(F.min_by("class", F.struct(F.col("least").isNull(), "least", "class")).alias("class"))
+    stays = classes.select("class", "least").join(nodes.select(F.col("node").alias("class")), "class", "left_anti").unionByName(linked.join(best, ["component", "class"]).select("class", "least"))
+    stays = stored(stays.select(F.col("class").alias("_class"), F.col("least").alias("_least")), "stays")
+    own = docs.withColumn("_class", text_class(F.col("text")))
+    kept = own.join(stays, (own["_class"] == stays["_class"]) & own["doc_id"].eqNullSafe(stays["_least"]), "left_semi")
+    repeated = prints.groupBy("doc_id", "class").agg(F.count("*").alias("n")).where(F.col("n") > 1).limit(1).count()
+    return (kept.dropDuplicates(["doc_id", "_class"]) if repeated else kept).drop("_class")
