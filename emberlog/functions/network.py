@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 IPV4 = rf"(?<![0-9.])({OCTET}(?:\.{OCTET}){{3}})(?![0-9.])"
@@ -34,7 +35,7 @@ def _within(number: Column, networks: list[str]) -> Column:
     return inside
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _public_v6(ips: pd.Series) -> pd.Series:
     def public(text: str | None) -> bool:
         try:

@@ -11,7 +11,7 @@ SYSLOG = r"([A-Z][a-z]{2})\s+([0-9]{1,2}) ([0-9]{2}:[0-9]{2}:[0-9]{2})"
 KIBANA = r"([A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4} @ [0-9]{2}:[0-9]{2}:[0-9]{2})"
 EPOCH = r"^[0-9]{10}(?:[0-9]{3})?(?:\.[0-9]+)?$"
 #: Further formats that are tried last, instead of guessing.
-EXTRA_FORMATS = ["yyyy/MM/dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy hh:mm:ss a", "EEE, d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "yyyy-MM-dd", "yyyyMMdd'T'HHmmss"]
+EXTRA_FORMATS = ["yyyy/MM/dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy hh:mm:ss a", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "yyyy-MM-dd", "yyyyMMdd'T'HHmmss"]
 
 #: Second ranges in which a number can be a time: 1990 to 2100.
 LOW, HIGH = 631_152_000, 4_102_444_800
@@ -48,7 +48,7 @@ def parse_ts(text: Column, year: int, latest: str | None = None) -> Column:
         F.when(text.rlike("^" + SYSLOG), _syslog(text, year)),
         F.try_to_timestamp(F.when(text.rlike("^" + KIBANA), F.regexp_extract(text, KIBANA, 1)), F.lit("MMM d, yyyy @ HH:mm:ss")),
         epoch,
-        *[F.try_to_timestamp(text, F.lit(form)) for form in EXTRA_FORMATS],
+        *[F.try_to_timestamp(F.regexp_replace(text, "^[A-Z][a-z]{2}, ", ""), F.lit(form)) for form in EXTRA_FORMATS],
     ]
     return _plausible(F.date_trunc("second", F.coalesce(*forms)), latest)
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlog.functions.severity import sev_name, sev_rank
 
@@ -41,7 +42,7 @@ def markdown(title: str, summary_row, finding_rows: list, indicator_rows: list)
     return "\n".join(lines + [f"| {escape(i['value'])} | {i['kind']} | {i['count']} | {', '.join(i['files'])} |" for i in indicator_rows]) + "\n"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _object_id(kind: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([f"{k}--{uuid.uuid5(NAMESPACE, k + t)}" for k, t in zip(kind, text, strict=True)])
 

@@ -31,7 +31,8 @@ RULES = detections.catalogue(
 
 def query(sql: str | None = None):
     def add(fn):
-        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(log_events(spark, sf_dir))
+        # The event table is written first, as ingest would: its many derived columns are then read, not planned again.
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(stored(log_events(spark, sf_dir), "events"))
         if sql:
             SQL[fn.__name__] = sql
         return fn
