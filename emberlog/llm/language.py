@@ -17,14 +17,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import crc32_mod, lower_ascii, map_arrow, table, utf8_values
+from emberlog.llm.common import crc32_mod, lower_ascii, map_arrow, stored, table, utf8_values
 
 HIDDEN = 16
 SPAN = 24
@@ -187,12 +187,15 @@ def training_runs(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_runs:
     ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     own = labelled.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # at most sample_docs rows
     runs = own.select("doc_id", "lang", F.posexplode(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(r"[a-z\x{80}-\x{10FFFF}]+"), F.lit(0))).alias("pos", "run"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("draw", "run"))
-    return runs.select("lang", "run", F.xxhash64("doc_id", "pos").alias("draw")).withColumn("rank", rank).where(F.col("rank") <= sample_runs).orderBy("lang", "rank").select("lang", "run")
+    drawn = stored(runs.select("lang", "run", F.xxhash64("doc_id", "pos").alias("draw")), "runs")
+    languages = sorted(row["lang"] for row in drawn.select("lang").distinct().collect())
+    # One ordered limit a language: no language's runs have to meet in one task.
+    parts = [drawn.where(F.col("lang") == x).orderBy("draw", "run").limit(sample_runs) for x in languages]
+    return reduce(DataFrame.unionByName, parts, drawn.limit(0)).select("lang", "run")
 
 
 def train(docs: DataFrame, hidden: int = HIDDEN, epochs: int = EPOCHS) -> ByteTagger:
-    rows = training_runs(docs).collect()  # at most SAMPLE_RUNS for each language
+    rows = sorted(training_runs(docs).collect())  # at most SAMPLE_RUNS for each language
     languages = sorted({row["lang"] for row in rows})
     model = ByteTagger.fresh(languages, hidden)
     pairs = [(cut, languages.index(row["lang"])) for row in rows for cut in cut_runs(row["run"].encode())]
