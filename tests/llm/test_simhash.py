@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from emberlog.llm import components, simhash
+from emberlog.llm import simhash
+from emberlog.operators import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
