@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from struct import pack as pack_ids
 from zlib import crc32
 
 import numpy as np
@@ -51,8 +52,12 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in seen else chr(next(spare)) for b in range(256)]
 
 
+#: A worker keeps the ids of so many words, and of so many of their pieces, from block to block; then it starts anew.
+HELD_WORDS, HELD_PIECES = 400_000, 300_000
+
+
 class WordTokenizer:
-    """Token ids of texts, each distinct word of a block encoded once.
+    """Token ids of texts, each distinct word of a block encoded once, and few of them again in the next.
 
     The vocabulary drops white space and never joins across it, so a text's ids are those of its words. A word of plain
     Latin characters is cut as the tokenizer's own split rule does and given to its model; any other word goes through
@@ -66,21 +71,28 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.model, self.letters = self.whole.model, _byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [_SPACES(text) if _SEPARATORS(text) else text.split() for text in texts]
-        words = {w for own in split for w in own}
-        odd = [w for w in words if not _PLAIN(w)]
-        ids = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(odd, self.whole.encode_batch(odd, add_special_tokens=False), strict=True)}
-        known: dict[str, bytes] = {}
-        for w in words:
-            if w not in ids:
-                pieces = _SPLIT(w.lower())
-                for p in pieces:
-                    if p not in known:
-                        text = p if p.isascii() else "".join([self.letters[b] for b in p.encode()])
-                        known[p] = np.array([t.id for t in self.model.tokenize(text)], np.uint32).tobytes()
-                ids[w] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
+        if len(self.words) > HELD_WORDS:
+            self.words.clear()
+        if len(self.pieces) > HELD_PIECES:
+            self.pieces.clear()
+        ids, known = self.words, self.pieces
+        fresh = set().union(*split).difference(ids)
+        odd = [w for w in fresh if not _PLAIN(w)]
+        for w, e in zip(odd, self.whole.encode_batch(odd, add_special_tokens=False), strict=True):
+            ids[w] = np.array(e.ids, np.uint32).tobytes()
+        for w in fresh.difference(odd):
+            parts = _SPLIT(w.lower())
+            for p in parts:
+                if p not in known:
+                    text = p if p.isascii() else "".join([self.letters[b] for b in p.encode()])
+                    found = [t.id for t in self.model.tokenize(text)]
+                    known[p] = pack_ids(f"<{len(found)}I", *found)
+            ids[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
         return [np.frombuffer(b"".join([ids[w] for w in own]), np.uint32) for own in split]
 
 
