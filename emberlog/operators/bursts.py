@@ -7,19 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def find_bursts(events: DataFrame, key: Column, window: int, threshold: int) -> DataFrame:
+def find_bursts(events: DataFrame, key: Column, window: int, threshold: int | Column, scale: Column | None = None) -> DataFrame:
     """For each key the event that ends the densest window of ``window`` seconds, if it holds ``threshold`` events.
 
     Returns key, id, epoch, count, first_id and first_epoch (the window's first event). Among equally dense windows the
     earliest counts. Events of one second count in record order: those up to the ending event. Events without time or
     key take no part. Two windows over one partitioning by key, hence one shuffle.
     """
-    own = events.select(key.alias("key"), "id", "id_seq", F.unix_timestamp("ts").alias("epoch")).where(F.col("epoch").isNotNull() & F.col("key").isNotNull() & (F.col("key") != ""))
+    least, scale = (threshold if isinstance(threshold, Column) else F.lit(threshold)), F.lit(1) if scale is None else scale
+    own = events.select(key.alias("key"), "id", "id_seq", F.unix_timestamp("ts").alias("epoch"), scale.cast("long").alias("scale"), least.alias("least")).where(F.col("epoch").isNotNull() & F.col("key").isNotNull() & (F.col("key") != ""))
     ordered = W.partitionBy("key").orderBy("epoch", "id_seq")
-    ranged = W.partitionBy("key").orderBy("epoch").rangeBetween(-window, 0)
-    numbered = own.withColumn("rn", F.row_number().over(ordered))
+    ranged = W.partitionBy("key").orderBy("scaled").rangeBetween(-window, 0)
+    numbered = own.withColumn("scaled", F.col("epoch") * F.col("scale")).withColumn("rn", F.row_number().over(ordered))
     counted = numbered.withColumn("first_rn", F.min("rn").over(ranged)).withColumn("count", F.col("rn") - F.col("first_rn") + 1)
-    firsts = counted.withColumn("first", F.min(F.struct("rn", "id", "epoch")).over(ranged)).where(F.col("count") >= threshold)
+    firsts = counted.withColumn("first", F.min(F.struct("rn", "id", "epoch")).over(ranged)).where(F.col("count") >= F.col("least"))
     best = firsts.groupBy("key").agg(F.max_by(F.struct("id", "epoch", "count", "first"), F.struct("count", -F.col("rn"))).alias("b"))
     return best.select("key", "b.id", "b.epoch", "b.count", F.col("b.first.id").alias("first_id"), F.col("b.first.epoch").alias("first_epoch"))
 

@@ -9,6 +9,7 @@ port scans come after them. Events without time take no part in bursts.
 from __future__ import annotations
 
 from functools import reduce
+from math import lcm
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,6 +19,7 @@ from emberlog.functions.network import is_public_ip
 from emberlog.functions.severity import sev_name, sev_rank
 from emberlog.functions.text import any_of, fmt_bytes, fmt_span
 from emberlog.operators.bursts import find_bursts
+from emberlog.operators.durable import stored
 from emberlog.operators.rules import Rule
 
 # Patterns of the catalogue.
@@ -79,8 +81,21 @@ RULES = {
 HIT = "struct<id:string,name:string,level:string>"
 
 
+#: The fields that rules look at; each is taken out of the map once.
+FIELDS = [
+    "src_ip", "src", "dst", "dst_ip", "http.status", "http.path", "http.method", "user_agent", "eventName", "MFAUsed", "result", "userIdentity.type",
+    "EventID", "LogonType", "AuthenticationPackageName", "SubjectUserName", "PrivilegeList", "CommandLine", "NewProcessName", "TargetUserName", "program",
+    "op", "resource", "verb", "namespace", "rows", "event", "action", "IpAddress", "responseStatus", "bytes", "sourceIPAddress",
+]
+
+
+def prepared(events: DataFrame) -> DataFrame:
+    """Events with a column for each field that a rule looks at, empty where it is absent."""
+    return events.withColumns({f"f_{n.replace('.', '_')}": F.coalesce(F.try_element_at("fields", F.lit(n)), F.lit("")) for n in FIELDS})
+
+
 def _f(name: str) -> Column:
-    return F.coalesce(F.try_element_at("fields", F.lit(name)), F.lit(""))
+    return F.col(f"f_{name.replace('.', '_')}")
 
 
 def _is(value: Column, wanted) -> Column:
@@ -200,13 +215,21 @@ def burst_rules(rules: dict[str, Rule]) -> dict[str, tuple[Column, Column]]:
 
 
 def bursts(events: DataFrame, rules: dict[str, Rule]) -> DataFrame:
-    """All burst hits: rule_id, key, id, epoch, count, first_id, first_epoch."""
-    found = []
-    for key, (condition, by) in burst_rules(rules).items():
-        if rules[key].enabled:
-            p = rules[key].params
-            found.append(find_bursts(events.where(condition), by, p["window"], p["threshold"]).withColumn("rule_id", F.lit(key)))
-    return reduce(DataFrame.unionByName, found)
+    """All burst hits of prepared events: rule_id, key, id, epoch, count, first_id, first_epoch.
+
+    One job for all rules: an event is listed under each rule that counts it, and seconds are scaled so that every rule's
+    window is the same number of units. Rules whose windows have no common multiple of reasonable size go one by one.
+    """
+    own = {k: v for k, v in burst_rules(rules).items() if rules[k].enabled}
+    units = lcm(*[rules[k].params["window"] for k in own], 1)
+    if units > 10**9:
+        single = [find_bursts(events.where(c), by, rules[k].params["window"], rules[k].params["threshold"]).withColumn("rule_id", F.lit(k)) for k, (c, by) in own.items()]
+        return reduce(DataFrame.unionByName, single)
+    mark = lambda k, by: F.struct(F.lit(k).alias("rule_id"), by.alias("by"), F.lit(units // rules[k].params["window"]).alias("scale"), F.lit(rules[k].params["threshold"]).alias("least"))
+    marks = F.array_compact(F.array(*[F.when(c & (by != ""), mark(k, by)) for k, (c, by) in own.items()]))
+    listed = events.where("ts IS NOT NULL").select("id", "id_seq", "ts", F.inline(marks))
+    found = find_bursts(listed, F.concat_ws("|", "rule_id", "by"), units, F.col("least"), F.col("scale"))
+    return found.withColumn("rule_id", F.substring_index("key", "|", 1)).withColumn("key", F.expr("substring(key, instr(key, '|') + 1)"))
 
 
 def attackers(events: DataFrame, burst_hits: DataFrame, rules: dict[str, Rule]) -> DataFrame:
@@ -236,12 +259,13 @@ def followed_logins(events: DataFrame, web_bursts: DataFrame, rules: dict[str, R
 
 def hits(events: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
     """The long table of hits: id (event), rule_id, name, level, burst_count, burst_first_id, note."""
-    rules = rules or RULES
+    rules, events = rules or RULES, prepared(events)
     alone = stateless(rules)
     marks = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(k).alias("rule_id"), level.alias("level"))) for k, (c, level) in alone.items() if rules[k].enabled]))
     none = [F.lit(None).cast("bigint").alias("burst_count"), F.lit(None).cast("string").alias("burst_first_id")]
     single = events.select("id", F.inline(marks)).select("id", "rule_id", "level", *none, F.lit(None).cast("string").alias("note"))
-    burst_hits = bursts(events, rules)
+    # Bursts feed four later steps; written once, they are not computed again for each.
+    burst_hits = stored(bursts(events, rules), "bursts")
     level_of = F.coalesce(*[F.when(F.col("rule_id") == k, F.lit(rules[k].level)) for k in burst_rules(rules)])
     ended = burst_hits.select("id", "rule_id", level_of.alias("level"), F.col("count").alias("burst_count"), F.col("first_id").alias("burst_first_id"), F.concat(F.col("count"), F.lit(" events within "), fmt_span(F.col("epoch") - F.col("first_epoch"))).alias("note"))
     found = attackers(events, burst_hits, rules)

@@ -98,7 +98,7 @@ def success_after_burst(ev):
 @query(HITS_SQL + "SELECT id FROM hits WHERE rule_id = 'SIGMA-AUTH-0203'")
 def service_account_login(ev):
     condition, _ = detections.stateless(RULES)["SIGMA-AUTH-0203"]
-    return ev.where(condition).select("id")
+    return detections.prepared(ev).where(condition).select("id")
 
 
 @query(HITS_SQL + "SELECT id FROM large")
