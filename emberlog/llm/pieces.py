@@ -31,7 +31,7 @@ from emberlog.llm.common import map_arrow, table
 
 SPAN = 48
 TEMPER = 1.5
-BLOCK_CHARS = 3 << 19
+BLOCK_CHARS = 2 << 20
 _CUT = re.compile(r" {1,48}[^ \n]{0,40}|[^ \n]{1,48}|\n").findall
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 1 << 18
@@ -96,48 +96,54 @@ class Lattice:
             live = live[place[live] < end[live]]
         return found
 
-    def filter(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the runs' positions one after the other: starts; share and key place of each last piece by its length; characters."""
+    def filter(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Forward filtering of all runs at once, step by step from their starts.
+
+        Runs are ranked by falling length, so those that reach a step are the first ones: every step works on slices.
+        Cell ``base[step] + rank`` has a run's character at a step. Returns ranks, bases, characters, and for each cell
+        the summed shares, by length, of the pieces that end there, and those pieces' places among the keys.
+        """
         length = np.fromiter(map(len, runs), np.int64, len(runs))
-        chars = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        n, starts = len(chars), np.cumsum(length) - length
-        ahead = np.repeat(starts + length, length) - np.arange(n)  # characters from here to the run's end
-        # weight[e, l - 1]: of the piece of l characters that ends with character e
-        weight, place = np.zeros((n, self.longest)), np.full((n, self.longest), -1, np.int32)
-        h = np.zeros(n, np.uint64)
-        for size in range(1, self.longest + 1):
-            at = np.flatnonzero(ahead >= size)
-            if not len(at):
-                break
-            h[at] = h[at] * _PRIME + (chars[at + size - 1] + np.uint64(1))
-            found = self._find(_mix(h[at]))
-            hit = found >= 0
-            weight[at[hit] + size - 1, size - 1] = self.weight[found[hit]]
-            place[at[hit] + size - 1, size - 1] = found[hit]
-        spelled = place[:, 0] < 0
-        weight[spelled, 0] = self.spell_weight
-        # alpha of the position before each character, scaled so that a run's positions stay near one
         order = np.argsort(-length, kind="stable")
+        rank = np.empty(len(runs), np.int64)
+        rank[order] = np.arange(len(runs))
+        text = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = (np.cumsum(length) - length)[order]
         reach = np.searchsorted(-length[order], -np.arange(1, int(length.max(initial=0)) + 1), side="right")
-        alpha = np.zeros((int(length.max(initial=0)) + 1, len(runs)))
-        alpha[0] = 1
-        first = starts[order]
-        for t, m in enumerate(reach):
-            own = first[:m] + t
-            total = np.zeros(m)
-            for size in range(1, min(self.longest, t + 1) + 1):
-                weight[own, size - 1] *= alpha[t + 1 - size, :m]
-                total += weight[own, size - 1]
-            weight[own] /= total[:, None]
-            alpha[t + 1, :m] = total
-            if t >= self.longest:
-                # Rescale the last positions: only ratios count, and the next shares use these alone.
-                top = alpha[t + 2 - self.longest : t + 2, :m].max(axis=0)
-                alpha[t + 2 - self.longest : t + 2, :m] /= top
-        return starts, np.cumsum(weight, axis=1), place, chars
+        base = np.concatenate([[0], np.cumsum(reach)])
+        share = np.zeros((len(text), self.longest), np.float32)
+        place = np.full((len(text), self.longest), -1, np.int16)
+        chars = np.empty(len(text), np.uint32)
+        hashes: list[np.ndarray] = []  # of what starts at each of the last steps, up to here
+        alpha = [np.ones(len(runs))]  # weight of all paths to each of the last steps
+        for t, m in enumerate(reach.tolist()):
+            cell = slice(base[t], base[t] + m)
+            chars[cell] = text[first[:m] + t]
+            c = chars[cell].astype(np.uint64) + np.uint64(1)
+            hashes = [h[:m] * _PRIME + c for h in hashes[-(self.longest - 1) :]] + [c]
+            weights, total = [], np.zeros(m)
+            for size in range(1, len(hashes) + 1):
+                found = self._find(_mix(hashes[-size]))
+                hit = np.flatnonzero(found >= 0)
+                own = np.zeros(m)
+                own[hit] = self.weight[found[hit]] * alpha[-size][hit]
+                place[cell, size - 1] = found
+                if size == 1:
+                    bare = np.flatnonzero(found < 0)
+                    own[bare] = self.spell_weight * alpha[-1][bare]
+                total += own
+                weights.append(total.copy())
+            for size, summed in enumerate(weights[:-1]):
+                share[cell, size] = summed / total
+            share[cell, len(weights) - 1 :] = 1
+            alpha = [x[:m] for x in alpha[-(self.longest - 1) :]] + [total]
+            if t % self.longest == self.longest - 1:  # only ratios count: keep them near one
+                top = np.maximum.reduce(alpha)
+                alpha = [x / top for x in alpha]
+        return rank, base, chars, share, place
 
     def sample(self, texts: list[str], keys: list) -> list[np.ndarray]:
-        """Piece ids of each text."""
+        """Piece ids of each text, drawn backwards from each run's end."""
         index: dict[str, int] = {}
         put = index.setdefault
         found = [[put(run, len(index)) for run in _CUT(" " + text)] if text else [] for text in texts]
@@ -145,34 +151,39 @@ class Lattice:
         if not count.sum():
             return [np.zeros(0, np.int32) for _ in texts]
         runs = list(index)
-        starts, share, place, chars = self.filter(runs)
+        rank, base, chars, share, place = self.filter(runs)
         length = np.fromiter(map(len, runs), np.int64, len(runs))
-        own = np.fromiter((r for x in found for r in x), np.int64)
-        row = np.repeat(np.arange(len(texts)), count)
-        seed = np.array([crc32(repr(k).encode()) for k in keys], np.uint64)[row] << np.uint64(32)
+        own = np.fromiter((r for x in found for r in x), np.int64, int(count.sum()))
+        seed = np.repeat(np.array([crc32(repr(k).encode()) for k in keys], np.uint64) << np.uint64(32), count)
         seed += (np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
-        at, live, steps = length[own].copy(), np.arange(len(own)), []
+        seed = _mix(seed)
+        at, ranks, live, steps, drawn = length[own], rank[own], np.arange(len(own)), [], np.zeros(len(own), np.int64)
         while len(live):
-            here = starts[own[live]] + at[live] - 1  # the last character of what is left
-            u = (_mix(_mix(seed[live]) + at[live].astype(np.uint64) * _PRIME) >> np.uint64(11)) / 2.0**53
-            size = np.minimum((share[here] <= (u * share[here, -1])[:, None]).sum(axis=1) + 1, self.longest)
-            steps.append((live, at[live] - size, place[here, size - 1], here))
-            at[live] -= size
+            here = base[at[live] - 1] + ranks[live]
+            u = ((_mix(seed[live] + at[live].astype(np.uint64) * _PRIME) >> np.uint64(40)) / 2.0**24).astype(np.float32)
+            size = np.minimum((share[here] <= u[:, None]).sum(axis=1), self.longest - 1)
+            steps.append((live, place[here, size], here))
+            drawn[live] += 1
+            at[live] -= size + 1
             live = live[at[live] > 0]
-        who, begin = np.concatenate([s[0] for s in steps]), np.concatenate([s[1] for s in steps])
-        piece, last = np.concatenate([s[2] for s in steps]), np.concatenate([s[3] for s in steps])
-        order = np.lexsort((begin, who))
-        who, piece, last = who[order], piece[order], last[order]
-        ids, rows, odd = self.ids[piece], row[who], np.flatnonzero(piece < 0)
+        ends = np.cumsum(drawn)
+        piece, last = np.empty(ends[-1], np.int16), np.empty(ends[-1], np.int64)
+        for k, (who, what, here) in enumerate(steps):
+            to = ends[who] - 1 - k
+            piece[to], last[to] = what, here
+        ids, odd = self.ids[piece], np.flatnonzero(piece < 0)
+        sizes = np.add.reduceat(np.append(drawn, 0), np.minimum(np.cumsum(count) - count, len(drawn))) * (count > 0)
         if len(odd):
             spelled = [np.frombuffer(chr(int(c)).encode("utf-8", "surrogatepass"), np.uint8) for c in chars[last[odd]]]
             times = np.ones(len(ids), np.int64)
             times[odd] = [len(s) for s in spelled]
             to = np.cumsum(times) - times
-            ids, rows = np.repeat(ids, times), np.repeat(rows, times)
+            rows = np.repeat(np.arange(len(texts)), sizes)
+            sizes = np.bincount(np.repeat(rows, times), minlength=len(texts))
+            ids = np.repeat(ids, times)
             for k, s in zip(to[odd].tolist(), spelled, strict=True):
                 ids[k : k + len(s)] = self.byte_ids[s]
-        return np.split(ids, np.searchsorted(rows, np.arange(1, len(texts))))
+        return np.split(ids, np.cumsum(sizes)[:-1])
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.spelled.__getitem__, ids.tolist()))[1:]
