@@ -54,7 +54,7 @@ def infer_severity(explicit: Column, fields: Column, msg: Column) -> Column:
     explicit_sev = F.when(own.isin(*SEVERITIES), own).otherwise(level_severity(own))
     level = level_severity(F.coalesce(*[_filled(F.try_element_at(fields, F.lit(k))) for k in ("level", "severity", "log.level")]))
     status = F.coalesce(*[_filled(F.try_element_at(fields, F.lit(k))) for k in ("http.status", "status")])
-    code = F.when(status.rlike("^[0-9]+$"), F.expr("1") * status.try_cast("bigint"))
+    code = F.when(status.rlike("^[0-9]+$"), status.try_cast("bigint"))
     by_status = F.when(code >= 500, "high").when(code.isin(401, 403), "medium").when(code >= 400, "low")
     by_words = F.when(msg.rlike(WORDS_HIGH), "medium").when(msg.rlike(WORDS_MEDIUM), "low").otherwise("info")
     return F.coalesce(explicit_sev, by_status, level, F.when(code.isNotNull(), F.lit("info")), by_words)

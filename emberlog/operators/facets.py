@@ -65,15 +65,12 @@ def histogram(found: DataFrame, unit: str = "auto") -> DataFrame:
 
     ``auto`` takes minutes up to three hours of span, hours up to five days, else days.
     """
-    own = found
     if unit == "auto":
-        span = found.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).select((F.unix_timestamp("hi") - F.unix_timestamp("lo")).alias("_span"))
-        own = found.join(F.broadcast(span))  # one row
-        step = F.when(F.col("_span") <= 3 * 3600, 60).when(F.col("_span") <= 5 * 86_400, 3600).otherwise(86_400)
-    else:
-        step = F.lit(UNITS[unit])
+        row = found.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+        span = (row["hi"] - row["lo"]).total_seconds() if row["lo"] else 0
+        unit = "minute" if span <= 3 * 3600 else "hour" if span <= 5 * 86_400 else "day"
     at = F.unix_timestamp("ts")
-    return own.groupBy(F.timestamp_seconds(at - F.pmod(at, step)).alias("bucket")).agg(F.count("*").alias("n"))
+    return found.groupBy(F.timestamp_seconds(at - F.pmod(at, F.lit(UNITS[unit]))).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def peak(buckets: DataFrame) -> DataFrame:
@@ -91,15 +88,15 @@ def field_vocabulary(events: DataFrame) -> DataFrame:
 
 def case_snapshot(events: DataFrame) -> DataFrame:
     """One row: events, tally of severities, range, distinct detections and entities."""
-    once = events.agg(
+    entities = events.select(F.explode("entities").alias("e")).agg(F.count_distinct("e")).first()[0]
+    return events.agg(
         F.count("*").alias("events"),
         *[F.count_if(F.col("sev") == s).alias(s) for s in ("critical", "high", "medium", "low", "info")],
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
         F.sum(F.size("detections")).alias("detections"),
+        F.lit(entities).cast("long").alias("entities"),
     )
-    entities = events.select(F.explode("entities").alias("e")).agg(F.count_distinct("e").alias("entities"))
-    return once.join(F.broadcast(entities))  # one row each
 
 
 def entity_profile(events: DataFrame, entity: str, top: int = 8, sample: int = 5) -> dict[str, DataFrame]:

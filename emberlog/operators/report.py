@@ -28,9 +28,9 @@ def findings(cluster_rows: DataFrame, members: DataFrame, rules: int = 6, eviden
 def summary(detected: DataFrame, cluster_rows: DataFrame) -> DataFrame:
     """One row: overall severity and a sentence."""
     once = detected.agg(F.count("*").alias("events"), F.count_if(F.size("detections") > 0).alias("hit_events"), F.max(F.when(F.size("detections") > 0, sev_rank(F.col("sev"))).otherwise(0)).alias("rank"))
-    both = once.join(cluster_rows.agg(F.count("*").alias("clusters"), F.min("start").alias("start"), F.max("end").alias("end")))  # one row each
-    text = F.format_string("%d events, %d with detections, in %d clusters.", "events", "hit_events", "clusters")
-    return both.select(sev_name(F.col("rank")).alias("severity"), text.alias("summary"), "start", "end")
+    span = cluster_rows.agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end")).first()
+    text = F.format_string("%d events, %d with detections, in %d clusters.", "events", "hit_events", F.lit(span["n"]))
+    return once.select(sev_name(F.col("rank")).alias("severity"), text.alias("summary"), F.lit(span["start"]).alias("start"), F.lit(span["end"]).alias("end"))
 
 
 def markdown(title: str, summary_row, finding_rows: list, indicator_rows: list) -> str:

@@ -77,9 +77,10 @@ def positions(found: DataFrame, order: list[Column], name: str = "pos") -> DataF
 
 def spread_sample(found: DataFrame, n: int) -> DataFrame:
     """At most n events at even distances over the time order: positions floor(i * total / n)."""
-    total = found.agg(F.count("*").alias("_total"))
-    numbered = positions(found, time_order()).join(F.broadcast(total))  # one row
+    total = found.count()
+    numbered = positions(found, time_order())
+    if total <= n:
+        return numbered
     # pos is floor(i * total / n) for some i exactly if ceil(pos * n / total) * total / n, rounded down, is pos
-    step = F.ceil(F.col("pos") * n / F.col("_total"))
-    chosen = (step < n) & (F.floor(step * F.col("_total") / n) == F.col("pos"))
-    return numbered.where((F.col("_total") <= n) | chosen).drop("_total")
+    step = F.ceil(F.col("pos") * n / total)
+    return numbered.where((step < n) & (F.floor(step * total / n) == F.col("pos")))
