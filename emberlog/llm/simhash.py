@@ -141,15 +141,19 @@ def op9_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: 64-bit segments of the wide ring, and sampled seeds of so many shingles each.
 LANES, SEEDS, SEED_SHINGLES = 16, 16, 4
-#: Leaders that each seed's other holders are compared with.
-LEADERS = 8
+#: Leaders that each seed's other holders meet first, and the closest of them that a class is compared with.
+LEADERS, CLOSEST = 8, 3
+#: Rings prune pairs where both sets have so many shingles, and from so many standard deviations over the mean.
+RING_SHINGLES, RING_DEVIATIONS = 0, 2
+#: One text in so many is sampled to order shingles by frequency, and at most so many frequent ones are told apart.
+SAMPLED, MOST_FREQUENT = 16, 1 << 19
 _LANE = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1) | 1 for i in range(LANES + SEEDS)], np.uint64)
 
 
 def wide_budget(similarity: float, bits: int = 64 * LANES) -> int:
-    """Differing bits that sets of this Jaccard similarity have on average, and twice the standard deviation."""
+    """Differing bits that sets of this Jaccard similarity have on average, and RING_DEVIATIONS standard deviations."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * share + 2 * (bits * share * (1 - share)) ** 0.5)
+    return int(bits * share + RING_DEVIATIONS * (bits * share * (1 - share)) ** 0.5)
 
 
 def _spread(h: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -178,11 +182,8 @@ def counted_majority(rows: np.ndarray) -> np.ndarray:
     return np.packbits(2 * total > n, bitorder="little").view("<u8")
 
 
-def wide_fingerprint(text: bytes | None, size: int) -> tuple[np.ndarray, np.ndarray] | None:
+def wide_fingerprint(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The wide ring of a text's distinct shingles, and its seeds: hashes of the shingles least under each permutation."""
-    h = np.unique(shingle_hashes(text, size))
-    if not len(h):
-        return None
     order = np.ascontiguousarray(_spread(h, _LANE[LANES:]).T)
     take = min(SEED_SHINGLES, len(h))
     least = np.sort(np.partition(order, take - 1, axis=1)[:, :take], axis=1)
@@ -192,18 +193,57 @@ def wide_fingerprint(text: bytes | None, size: int) -> tuple[np.ndarray, np.ndar
     return counted_majority(_spread(h, _LANE[:LANES])), seed
 
 
-def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, class (XXH64 of the text as it is), wide ring and seeds of every row; null rings where there is no word."""
+def prefix(h: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a sorted set, so many that two sets of at least this similarity have one of them in common.
+
+    Shingles are ordered by (count, hash), one order for all sets. Any order is exact; the counts only keep common
+    passages out of the prefixes.
+    """
+    take = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
+    if not len(frequent):
+        return h[:take]
+    at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+    seen = np.where(frequent[at] == h, counts[at], 0)
+    rare = h[seen == 0]
+    return rare[:take] if len(rare) >= take else h[np.lexsort((h, seen))[:take]]
+
+
+def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of the sampled distinct texts hold, sorted, and by how many; they decide about order only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in utf8_values(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(x, size)).view(np.int64))], ["shingle"])
+
+    own = docs.select(text_class(F.col("text")).alias("class"), "text").where(F.pmod("class", F.lit(SAMPLED)) == 0)
+    held = map_arrow(own.groupBy("class").agg(F.first("text").alias("text")), run, "shingle long")
+    held = stored(held.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "frequent")
+    least, total = 2, 0
+    for n, many in sorted(((r["size"], r["n"]) for r in held.groupBy(F.least("n", F.lit(10_000)).alias("size")).agg(F.count("*").alias("n")).collect()), reverse=True):
+        if (total := total + many) > MOST_FREQUENT:
+            least = n + 1
+            break
+    rows = held.where(F.col("n") >= least).toPandas()
+    shingles = rows["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], rows["n"].to_numpy(np.int64)[order]
+
+
+def wide_fingerprints(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """doc_id, class (XXH64 of the text as it is), wide ring, seeds, number of shingles and prefix of every row; null where there is no word."""
+    frequent, counts = frequent_shingles(docs, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [wide_fingerprint(x, size) for x in utf8_values(batch.column(2))]
-            lists = [pa.array([None if r is None else r[k].view(np.int64) for r in rows], pa.list_(pa.int64())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "class", "ring", "seeds"])
+            sets = [np.unique(shingle_hashes(x, size)) for x in utf8_values(batch.column(2))]
+            rows = [(*wide_fingerprint(h), prefix(h, similarity, frequent, counts)) if len(h) else None for h in sets]
+            lists = [pa.array([None if r is None else r[k].view(np.int64) for r in rows], pa.list_(pa.int64())) for k in (0, 1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, pa.array([len(h) for h in sets], pa.int64())], ["doc_id", "class", "ring", "seeds", "prefix", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", text_class(F.col("text")).alias("class"), "text")
-    return map_arrow(own, run, f"doc_id {kind}, class long, ring array<long>, seeds array<long>")
+    return map_arrow(own, run, f"doc_id {kind}, class long, ring array<long>, seeds array<long>, prefix array<long>, n long")
 
 
 def text_class(text: Column) -> Column:
@@ -231,30 +271,97 @@ def _ring_links(budget: int, chain: int = 4) -> Column:
     return F.transform(F.array(differ), within)[0]
 
 
-def near_copy_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """Edges ``(a, b)`` between the classes of a table (class, ring, seeds) whose rings are within the similarity's budget.
+def _with_rings(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    end = lambda x: classes.select(F.col("class").alias(x), F.col("ring").alias(f"ring_{x}"), F.col("n").alias(f"n_{x}"))
+    return pairs.join(end("a"), "a").join(end("b"), "b")
+
+
+def _sizes_allow(similarity: float) -> Column:
+    return F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-9
+
+
+def leader_pairs(classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of a class and the closest leaders of its seeds; not complete, but in proportion to the classes.
+
+    A seed's leaders are those holders, one a salt, whose seeds have most holders: the original of a group of copies
+    shares more seeds than the copies do among themselves.
+    """
+    held = stored(classes.where(F.col("seeds").isNotNull()).select("class", F.posexplode("seeds").alias("place", "seed")), "seeds")
+    known = held.groupBy("place", "seed").agg(F.count("*").alias("many")).where("many > 1")
+    shared = stored(held.join(known, ["place", "seed"]), "held")
+    fame = shared.groupBy("class").agg(F.sum("many").alias("fame"))
+    salted = shared.join(fame, "class").groupBy("place", "seed", F.pmod(F.xxhash64("class", "place"), F.lit(LEADERS)).alias("salt")).agg(F.max(F.struct("fame", "class"))["class"].alias("leader"))
+    leaders = salted.groupBy("place", "seed").agg(F.collect_list("leader").alias("leaders"))
+    met = shared.join(leaders, ["place", "seed"]).select(F.col("class").alias("a"), F.explode("leaders").alias("b")).where("a <> b").distinct()
+    differ = F.aggregate(F.zip_with("ring_a", "ring_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    near = _with_rings(met, classes).where(_sizes_allow(similarity)).select("a", F.struct(differ.alias("bits"), "b").alias("to"))
+    best = near.groupBy("a").agg(F.slice(F.array_sort(F.collect_list("to")), 1, CLOSEST).alias("to")).select("a", F.explode("to").alias("to"))
+    return best.select(F.least("a", "to.b").alias("a"), F.greatest("a", "to.b").alias("b")).distinct()
+
+
+def prefix_pairs(classes: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """All pairs ``(a, b)`` of classes of different groups that can have the similarity: a prefix shingle in common, and sizes that allow it.
+
+    ``groups`` (node, component) is what is linked already; groups meet first, then their members, so that members of
+    one group never do.
+    """
+    of = groups.select(F.col("node").alias("class"), "component")
+    own = classes.where("n > 0").select("class", "n", "prefix").join(of, "class", "left")
+    held = own.select(F.explode("prefix").alias("shingle"), F.coalesce("component", "class").alias("g"), "class", "n").repartition("shingle")
+    shared = held.groupBy("shingle").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("shingle")
+    held = stored(held.join(shared, "shingle"), "prefixes")
+    places = held.select("shingle", "g").distinct()
+    met = places.withColumnRenamed("g", "g_a").join(places.withColumnRenamed("g", "g_b"), "shingle").where("g_a < g_b")
+    end = lambda x: held.select("shingle", F.col("g").alias(f"g_{x}"), F.col("class").alias(x), F.col("n").alias(f"n_{x}"))
+    both = met.join(end("a"), ["shingle", "g_a"]).join(end("b"), ["shingle", "g_b"]).where(_sizes_allow(similarity))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def shingle_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """class and set of shingles of the given classes (class, least), each from the row that names it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x, size)).view(np.int64) for x in utf8_values(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["class", "shingles"])
+
+    own = docs.select("doc_id", text_class(F.col("text")).alias("class"), "text")
+    wanted = classes.select(F.col("class").alias("_class"), F.col("least").alias("_least"))
+    found = own.join(wanted, (F.col("class") == F.col("_class")) & F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
+    return map_arrow(found.select("class", "text"), run, "class long, shingles array<long>").dropDuplicates(["class"])
+
+
+def similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those pairs ``(a, b)`` whose sets of shingles have at least the Jaccard similarity; rings prune before."""
+    pruned = _with_rings(pairs, classes).where((F.least("n_a", "n_b") < RING_SHINGLES) | _ring_links(wide_budget(similarity)))
+    pruned = stored(pruned.select("a", "b", "n_a", "n_b"), "candidates")
+    ends = pruned.select(F.col("a").alias("class")).unionByName(pruned.select(F.col("b").alias("class"))).distinct()
+    sets = stored(shingle_sets(docs, classes.select("class", "least").join(ends, "class", "left_semi"), size), "sets")
+    end = lambda x: sets.select(F.col("class").alias(x), F.col("shingles").alias(f"of_{x}"))
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return pruned.join(end("a"), "a").join(end("b"), "b").where(common >= (F.col("n_a") + F.col("n_b") - common) * similarity - 1e-9).select("a", "b")
+
+
+def near_copy_links(docs: DataFrame, classes: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Edges ``(a, b)`` whose components are those of all pairs of classes with at least the similarity.
 
-    Classes that share a seed are compared through at most LEADERS of its holders each, so a group of any size makes rows
-    in proportion to it; with SEEDS seeds, two members of one group meet through several leaders.
+    Leaders link most of each group by rows in proportion to it; then every pair across groups that has a prefix shingle
+    in common is compared.
     """
-    held = classes.where(F.col("seeds").isNotNull()).select("class", F.posexplode("seeds").alias("place", "seed"))
-    salted = held.groupBy("place", "seed", F.pmod(F.xxhash64("class", "place"), F.lit(LEADERS)).alias("salt")).agg(F.min("class").alias("leader"), F.count("*").alias("n"))
-    leaders = salted.groupBy("place", "seed").agg(F.collect_list("leader").alias("leaders"), F.sum("n").alias("n")).where(F.col("n") > 1).drop("n")
-    met = held.join(leaders, ["place", "seed"]).select("class", F.explode("leaders").alias("leader")).where(F.col("class") != F.col("leader"))
-    pairs = met.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
-    ring = lambda x: classes.select(F.col("class").alias(x), F.col("ring").alias(f"ring_{x}"))
-    return pairs.join(ring("a"), "a").join(ring("b"), "b").where(_ring_links(wide_budget(similarity))).select("a", "b")
+    near = stored(similar(docs, classes, leader_pairs(classes, similarity), size, similarity), "near")
+    groups = stored(connected_components(near), "groups")
+    return near.unionByName(stored(similar(docs, classes, prefix_pairs(classes, groups, similarity), size, similarity), "far"))
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of copies and near copies: the one of smallest doc_id. All columns and other rows stay.
 
     Groups are the connected components over pairs of texts whose sets of ``size``-word shingles have at least the given
-    Jaccard similarity, as told by 1024-bit SimHash rings. Texts without words are copies only of equal ones.
+    Jaccard similarity, decided on the sets. Texts without words are copies only of equal ones.
     """
-    prints = stored(wide_fingerprints(docs, size), "rings")
-    classes = stored(prints.groupBy("class").agg(F.min("doc_id").alias("least"), F.first("ring").alias("ring"), F.first("seeds").alias("seeds")), "classes")
-    nodes = connected_components(near_copy_links(classes, similarity))
+    prints = stored(wide_fingerprints(docs, size, similarity), "rings")
+    classes = stored(prints.groupBy("class").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("ring", "seeds", "prefix", "n")]), "classes")
+    nodes = connected_components(near_copy_links(docs, classes, size, similarity))
     linked = classes.join(nodes, F.col("class") == F.col("node")).select("class", "least", "component")
     best = linked.groupBy("component").agg(F.min_by("class", F.struct(F.col("least").isNull(), "least", "class")).alias("class"))
     stays = classes.select("class", "least").join(nodes.select(F.col("node").alias("class")), "class", "left_anti").unionByName(linked.join(best, ["component", "class"]).select("class", "least"))

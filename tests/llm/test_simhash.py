@@ -119,3 +119,37 @@ def test_near_copies_at_point_eight(spark):
     kept = [r["doc_id"] for r in simhash.drop_near_copies(frame).collect()]
     assert sorted({base_of[i] for i in kept}) == list(range(30))
     assert len(kept) == 30
+
+
+def brute_kept(texts, similarity=0.8):
+    """Smallest doc_id of each component over all pairs of five-word shingle sets."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for i, t in texts.items() for w in [t.split()]}
+    edges = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9]
+    return sorted(set(brute_components(list(texts), edges).values()))
+
+
+def kept_of(spark, texts):
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return sorted(r["doc_id"] for r in simhash.drop_near_copies(frame).collect())
+
+
+def test_near_copies_meet_beyond_leaders(spark):
+    """Stars of 250 copies that are near their original but not each other, and texts that share a long passage."""
+    draw = random.Random(23)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    texts = {}
+    for _ in range(2):
+        base = [word() for _ in range(500)]
+        rows = [list(base) for _ in range(251)]
+        for own in rows[1:]:
+            for at in draw.sample(range(500), 10):
+                own[at] = word()
+        draw.shuffle(rows)
+        texts |= {len(texts) + k: " ".join(own) for k, own in enumerate(rows)}
+    passage = [word() for _ in range(90)]
+    for _ in range(60):
+        own = [word() for _ in range(draw.randint(8, 30))]
+        texts[len(texts)] = " ".join(passage + own)
+        if draw.random() < 0.5:
+            texts[len(texts)] = " ".join(passage + own[:-1] + [word()])
+    assert kept_of(spark, texts) == brute_kept(texts)
