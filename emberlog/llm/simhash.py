@@ -143,8 +143,8 @@ def op9_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 LANES, SEEDS, SEED_SHINGLES = 16, 16, 4
 #: Leaders that each seed's other holders meet first, and the closest of them that a class is compared with.
 LEADERS, CLOSEST = 8, 3
-#: Rings prune pairs where both sets have so many shingles, and from so many standard deviations over the mean.
-RING_SHINGLES, RING_DEVIATIONS = 0, 2
+#: Rings prune pairs only where both sets have so many shingles, and from so many standard deviations over the mean.
+RING_SHINGLES, RING_DEVIATIONS = 64, 10
 #: One text in so many is sampled to order shingles by frequency, and at most so many frequent ones are told apart.
 SAMPLED, MOST_FREQUENT = 16, 1 << 19
 _LANE = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1) | 1 for i in range(LANES + SEEDS)], np.uint64)
@@ -332,7 +332,7 @@ def shingle_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
 
 
 def similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those pairs ``(a, b)`` whose sets of shingles have at least the Jaccard similarity; rings prune before."""
+    """Those pairs ``(a, b)`` whose sets of shingles have at least the Jaccard similarity; rings only prune pairs of long texts."""
     pruned = _with_rings(pairs, classes).where((F.least("n_a", "n_b") < RING_SHINGLES) | _ring_links(wide_budget(similarity)))
     pruned = stored(pruned.select("a", "b", "n_a", "n_b"), "candidates")
     ends = pruned.select(F.col("a").alias("class")).unionByName(pruned.select(F.col("b").alias("class"))).distinct()

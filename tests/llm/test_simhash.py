@@ -153,3 +153,24 @@ def test_near_copies_meet_beyond_leaders(spark):
         if draw.random() < 0.5:
             texts[len(texts)] = " ".join(passage + own[:-1] + [word()])
     assert kept_of(spark, texts) == brute_kept(texts)
+
+
+def test_near_copies_are_decided_on_sets(spark):
+    """Short texts at exactly 0.8 and just below, and long ones around 0.75, which fingerprints cannot tell apart."""
+    draw = random.Random(29)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    texts = {}
+    for n in (8, 7, 19, 18, 24, 23):  # 4 of 5, 3 of 4, 15 of 19 shingles, ...
+        for more in (1, 4, 5):
+            for _ in range(6):
+                base = [word() for _ in range(n)]
+                texts[len(texts)] = " ".join(base)
+                texts[len(texts)] = " ".join(base + [word() for _ in range(more)])
+    for edits in (10, 11, 12, 13, 14, 15):
+        for _ in range(6):
+            base = [word() for _ in range(500)]
+            texts[len(texts)] = " ".join(base)
+            for at in draw.sample(range(500), edits):
+                base[at] = word()
+            texts[len(texts)] = " ".join(base)
+    assert kept_of(spark, texts) == brute_kept(texts)
