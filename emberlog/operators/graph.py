@@ -48,8 +48,8 @@ AUTH_WORDS = ["login", "logon", "auth", "signin", "sign-in", "password", "creden
 WRITE_WORDS = ["write", "wrote", "create", "created", "modif", "put", "upload", "export", "save", "copy", "cp ", "mv ", "rename"]
 READ_WORDS = ["read", "open", "get", "download", "cat ", "type ", "less ", "more ", "view", "access"]
 DELETE_WORDS = ["delet", "remove", "unlink", "rm ", "del ", "truncat", "wipe", "shred", "purge"]
-#: How many values of a type one event may bring into cross products.
-MOST_VALUES, VALUE_LENGTH = 8, 200
+#: Longer values are cut.
+VALUE_LENGTH = 200
 
 
 def _values(names: list[str]) -> Column:
@@ -58,13 +58,12 @@ def _values(names: list[str]) -> Column:
 
 def _clean(values: Column) -> Column:
     trimmed = F.transform(values, lambda v: F.substring(F.trim(v), 1, VALUE_LENGTH))
-    return F.slice(F.array_distinct(F.filter(trimmed, lambda v: v.isNotNull() & ~F.lower(v).isin(STOP))), 1, MOST_VALUES)
+    return F.array_distinct(F.filter(trimmed, lambda v: v.isNotNull() & ~F.lower(v).isin(STOP)))
 
 
-def _in_text(column: str, length: int, pattern: str, hints: list[str], group: int = 1) -> Column:
-    """Matches in the first characters of a text, looked for only where a plain substring says that there can be some."""
-    head = F.substring(column, 1, length)
-    return F.when(any_of([head.contains(h) for h in hints]), text.every(head, pattern, group)).otherwise(F.array().cast("array<string>"))
+def _in_text(column: str, pattern: str, hints: list[str], group: int = 1) -> Column:
+    """Matches in a text, looked for only where a plain substring says that there can be some."""
+    return F.when(any_of([F.col(column).contains(h) for h in hints]), text.every(F.col(column), pattern, group)).otherwise(F.array().cast("array<string>"))
 
 
 def _with(*arrays: Column) -> Column:
@@ -73,12 +72,12 @@ def _with(*arrays: Column) -> Column:
 
 def extract(events: DataFrame) -> DataFrame:
     """Events with an array column for each type of entity, and flags that decide about relations."""
-    low = F.lower(F.substring("raw", 1, 6000))
+    low = F.lower("raw")
     ips = lambda v: network.find_ipv4(v)
     src = _clean(F.flatten(F.transform(_values(SRC_IP), ips)))
     dst = _clean(F.flatten(F.transform(_values(DST_IP), ips)))
-    emails = _clean(_with(F.flatten(F.transform(_values(EMAILS), lambda v: text.every(v, text.EMAIL))), _in_text("raw", 2000, text.EMAIL, ["@"])))
-    urls = _clean(_with(F.filter(_values(URLS), lambda v: v.contains("://")), _in_text("raw", 2000, text.URL, ["://"])))
+    emails = _clean(_with(F.flatten(F.transform(_values(EMAILS), lambda v: text.every(v, text.EMAIL))), _in_text("raw", text.EMAIL, ["@"])))
+    urls = _clean(_with(F.filter(_values(URLS), lambda v: v.contains("://")), _in_text("raw", text.URL, ["://"])))
     has = lambda words: any_of([low.contains(w) for w in words])
     action = F.lower(F.concat_ws(" ", _values(ACTIONS), F.substring("msg", 1, 200)))
     said = lambda words: any_of([action.contains(w) for w in words])
@@ -86,21 +85,21 @@ def extract(events: DataFrame) -> DataFrame:
     return events.select(
         "id", "id_seq", "ts", "source", "file", "msg", sev_rank(F.col("sev")).alias("rank"), F.size("detections").alias("hits"),
         src.alias("src"), dst.alias("dst"),
-        _clean(network.find_ipv4(F.substring("raw", 1, 6000))).alias("text_ip"),
+        _clean(network.find_ipv4(F.col("raw"))).alias("text_ip"),
         _clean(F.transform(_with(F.array("user"), _values(USER)), lambda v: text.clean_user(v))).alias("user"),
         _clean(F.filter(_with(F.array("host"), _values(HOST)), lambda v: ~v.rlike(f"^{network.IPV4}$") & ~v.rlike(r"\s"))).alias("host"),
         _clean(F.transform(_values(PROCESS), text.proc_label)).alias("process"),
         _clean(F.transform(_values(PARENT), text.proc_label)).alias("parent"),
-        _clean(_with(F.filter(_values(PID), lambda v: v.rlike("^[0-9]+$")), _in_text("raw", 400, text.PROC_PID, ["["], 2))).alias("pid"),
+        _clean(_with(F.filter(_values(PID), lambda v: v.rlike("^[0-9]+$")), _in_text("raw", text.PROC_PID, ["["], 2))).alias("pid"),
         _clean(F.filter(_values(PARENT_PID), lambda v: v.rlike("^[0-9]+$"))).alias("parent_pid"),
-        _clean(_with(F.filter(_values(FILE), lambda v: v.rlike(r"[\\/]") & ~v.contains("://")), _in_text("raw", 2000, text.WIN_PATH, [":\\"]), _in_text("raw", 2000, text.UNIX_PATH, ["/"]))).alias("path"),
-        _clean(_with(F.flatten(F.transform(_values(HASHES), lambda v: text.every(v, text.HASH))), text.every(F.substring("raw", 1, 3000), text.HASH))).alias("hash"),
+        _clean(_with(F.filter(_values(FILE), lambda v: v.rlike(r"[\\/]") & ~v.contains("://")), _in_text("raw", text.WIN_PATH, [":\\"]), _in_text("raw", text.UNIX_PATH, ["/"]))).alias("path"),
+        _clean(_with(F.flatten(F.transform(_values(HASHES), lambda v: text.every(v, text.HASH))), text.every(F.col("raw"), text.HASH))).alias("hash"),
         _clean(F.transform(_with(_values(DOMAIN), F.transform(urls, network.url_host)), network.clean_domain)).alias("domain"),
         urls.alias("url"), emails.alias("email"),
         _clean(F.filter(_values(DST_PORT), lambda v: v.rlike("^[0-9]{1,5}$"))).alias("port"),
-        _clean(_with(_values(KEYS), _in_text("raw", 4000, text.ACCESS_KEY, ["AKIA", "ASIA"]), _in_text("raw", 4000, text.KEY_PRINT, ["SHA256:"]))).alias("key"),
+        _clean(_with(_values(KEYS), _in_text("raw", text.ACCESS_KEY, ["AKIA", "ASIA"]), _in_text("raw", text.KEY_PRINT, ["SHA256:"]))).alias("key"),
         _clean(_values(SESSION)).alias("session"), _clean(_values(PODS)).alias("pod"), _clean(_values(SERVICES)).alias("service"),
-        _clean(_in_text("raw", 2000, text.REGISTRY, ["HK", "hk"])).alias("registry"),
+        _clean(_in_text("raw", text.REGISTRY, ["HK", "hk"])).alias("registry"),
         has(AUTH_WORDS).alias("auth"), (F.size(_values(DOMAIN)) > 0).alias("dns"), outcome.alias("outcome"),
         F.when(said(DELETE_WORDS), "deleted").when(said(WRITE_WORDS), "wrote").when(said(READ_WORDS), "read").otherwise("co_occurred").alias("access"),
     )
@@ -120,11 +119,14 @@ def event_nodes(extracted: DataFrame) -> DataFrame:
 
 
 def event_edges(extracted: DataFrame) -> DataFrame:
-    """One row for each event and relation (src, dst, rel); ends are crossed, so their arrays are short."""
+    """One row for each event and relation (src, dst, rel).
+
+    Ends are crossed by exploding one side and then the other, so no row holds a cross product.
+    """
 
     def cross(a: Column, b: Column, rel) -> Column:
         rel = rel if isinstance(rel, Column) else F.lit(rel)
-        return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.struct(x.alias("src"), y.alias("dst"), rel.alias("rel")))))
+        return F.struct(a.alias("srcs"), b.alias("dsts"), rel.alias("rel"))
 
     n = {c: _named(kind, c) for kind, c in NODE_COLUMNS}
     empty = F.array().cast("array<string>")
@@ -160,12 +162,17 @@ def event_edges(extracted: DataFrame) -> DataFrame:
         cross(others, n["host"], "co_occurred"),
         cross(n["user"], n["email"], "session"),
     ]
-    own = extracted.withColumn("other_ip", F.array_except("text_ip", F.concat("src", "dst"))).withColumn("edges", F.array_distinct(F.filter(F.flatten(F.array(*made)), lambda e: e["src"] != e["dst"])))
+    linked = lambda s: (F.size(s["srcs"]) > 0) & (F.size(s["dsts"]) > 0) & (F.size(F.array_union(s["srcs"], s["dsts"])) > 1)
+    own = extracted.withColumn("other_ip", F.array_except("text_ip", F.concat("src", "dst"))).withColumn("sides", F.filter(F.array(*made), linked))
     anchors = F.slice(_with(n["user"], n["host"], n["src"]), 1, 2)
     rest = F.slice(F.array_except(F.flatten(F.array(*n.values())), anchors), 1, 6)
-    fallback = cross(anchors, rest, "co_occurred")
-    made_or = F.when(F.size("edges") > 0, F.col("edges")).otherwise(F.array_distinct(F.filter(fallback, lambda e: e["src"] != e["dst"])))
-    return own.select("id", "id_seq", "ts", "source", "file", "rank", "outcome", F.inline(made_or))
+    fallback = F.array(cross(anchors, rest, "co_occurred"))
+    about = ["id", "id_seq", "ts", "source", "file", "rank", "outcome"]
+    sided = own.select(*about, F.when(F.size("sides") > 0, F.col("sides")).otherwise(fallback).alias("sides"))
+    starts = F.array_distinct(F.flatten(F.transform("sides", lambda s: F.transform(s["srcs"], lambda x: F.struct(x.alias("src"), s["rel"].alias("rel"))))))
+    started = sided.select(*about, "sides", F.inline(starts))
+    ends = F.flatten(F.transform(F.filter("sides", lambda s: (s["rel"] == F.col("rel")) & F.array_contains(s["srcs"], F.col("src"))), lambda s: s["dsts"]))
+    return started.select(*about, "src", "rel", F.explode(F.array_except(ends, F.array("src"))).alias("dst")).select(*about, "src", "dst", "rel")
 
 
 def _tally(long: DataFrame, key: list[str], by: str) -> DataFrame:

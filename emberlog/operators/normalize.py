@@ -15,7 +15,7 @@ HOST_FIELDS = ["host", "hostname", "Computer", "computer", "svc", "service", "no
 IOC_FIELDS = ["url", "email", "domain", "onion", "registry_key"]
 STOP = ["", "-", "—", "unknown", "none", "null", "n/a", "root?"]
 NO_ADDRESS = ["0.0.0.0", "127.0.0.1", "255.255.255.255"]
-TEXT_LENGTH, NAME_LENGTH, ENTITY_LENGTH, IOC_ITEMS = 4000, 64, 128, 5
+NAME_LENGTH, ENTITY_LENGTH, IOC_ITEMS = 64, 128, 5
 
 
 def forward_fill(df: DataFrame) -> DataFrame:
@@ -47,18 +47,17 @@ def _values(fields: Column, names: list[str], fit=lambda v: F.lit(True)) -> Colu
 def extract_entities(fields: Column, raw: Column, user: Column, host: Column) -> Column:
     """Addresses, accounts, hosts, keys, pods, processes and indicators of a record, in this order, each once."""
     empty = F.array().cast("array<string>")
-    head = F.substring(raw, 1, TEXT_LENGTH)
     short = lambda v: (F.length(v) < NAME_LENGTH) & ~v.contains(" ")
     addresses = F.flatten(F.transform(_values(fields, IP_FIELDS), lambda v: F.concat(network.find_ipv4(v), network.find_ipv6(v))))
-    in_text = F.filter(network.find_ipv4(head), lambda v: ~v.isin(NO_ADDRESS))
+    in_text = F.filter(network.find_ipv4(raw), lambda v: ~v.isin(NO_ADDRESS))
     pod = F.get(_values(fields, ["pod", "objectRef.name", "kubernetes.pod_name"]), F.lit(0))
     base = F.regexp_replace(pod, "(-[a-f0-9]{4,10})?(-[a-z0-9]{5})?$", "")
     pid, program = F.get(_values(fields, ["pid", "process.pid"]), F.lit(0)), F.get(_values(fields, ["program"]), F.lit(0))
     process = F.when(pid.rlike("^[0-9]+$"), F.concat(program, F.lit("["), pid, F.lit("]")))
     items = F.flatten(F.transform(_values(fields, IOC_FIELDS), lambda v: F.slice(F.split(v, ","), 1, IOC_ITEMS)))
     # Text is searched for keys only where one can be: the patterns are lazy behind a plain substring test.
-    keys = F.when(head.contains("AKIA") | head.contains("ASIA"), text.every(head, text.ACCESS_KEY)).otherwise(empty)
-    prints = F.when(head.contains("SHA256:"), text.every(head, text.KEY_PRINT)).otherwise(empty)
+    keys = F.when(raw.contains("AKIA") | raw.contains("ASIA"), text.every(raw, text.ACCESS_KEY)).otherwise(empty)
+    prints = F.when(raw.contains("SHA256:"), text.every(raw, text.KEY_PRINT)).otherwise(empty)
     every = F.concat(
         addresses, in_text, F.array(user), _values(fields, USER_FIELDS, short), F.array(host), _values(fields, HOST_FIELDS, short),
         keys, prints, F.array(pod, F.when((base != "") & (base != pod), base), process), items,

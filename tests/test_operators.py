@@ -118,6 +118,24 @@ def test_story(spark):
     assert len(names) == 3 and all(r["src"] in names and r["dst"] in names for r in closed.collect())
 
 
+def test_graph_keeps_every_value(spark):
+    """An event with 20 addresses, paths and hashes, some of them late in a long record, brings all nodes and edges, each once."""
+    ips = [f"45.83.140.{i}" for i in range(1, 21)]
+    hashes = [f"{i:064x}" for i in range(1, 21)]
+    paths = [f"/opt/data/file{i}" for i in range(20)]
+    raw = " ".join(ips[:5] + paths + hashes[:5]) + " filler" * 2000 + " " + " ".join(ips[5:] + hashes[5:])
+    frame = spark.createDataFrame([event(1, 1_700_000_000, host="web", user="root", raw=raw, fields={"process": "cp"})], EVENT)
+    extracted = graph.extract(frame)
+    names = [r["node"] for r in graph.event_nodes(extracted).collect()]
+    assert len(names) == len(set(names))
+    assert {f"ip:{x}" for x in ips} | {f"file:{x}" for x in paths} | {f"hash:{x}" for x in hashes} <= set(names)
+    rows = [(r["src"], r["dst"], r["rel"]) for r in graph.event_edges(extracted).collect()]
+    assert len(rows) == len(set(rows))
+    assert {(f"file:{p}", f"hash:{h}", "session") for p in paths for h in hashes} | {(f"ip:{x}", "host:web", "co_occurred") for x in ips} <= set(rows)
+    entities = normalize.extract_entities(F.col("fields"), F.col("raw"), F.col("user"), F.col("host"))
+    assert set(ips) <= set(frame.select(entities.alias("e")).first()["e"])
+
+
 def test_components(spark):
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
