@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm.common import map_arrow, table, utf8_values
+from emberlog.llm.common import by_bytes, map_arrow, table
 
 CAPACITY = 2048
 END_ID = 1
@@ -60,8 +60,8 @@ class WordTokenizer:
     """Token ids of texts, each distinct word of a block encoded once, and few of them again in the next.
 
     The vocabulary drops white space and never joins across it, so a text's ids are those of its words. A word of plain
-    Latin characters is cut as the tokenizer's own split rule does and given to its model; any other word goes through
-    the whole tokenizer.
+    Latin characters is cut as the tokenizer's own split rule does and given to its model; any other word, and one that
+    may hold a special token's string, goes through the whole tokenizer as it is.
     """
 
     def __init__(self, path: str):
@@ -69,7 +69,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model, self.letters = self.whole.model, _byte_letters()
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -82,7 +81,7 @@ class WordTokenizer:
             self.pieces.clear()
         ids, known = self.words, self.pieces
         fresh = set().union(*split).difference(ids)
-        odd = [w for w in fresh if not _PLAIN(w)]
+        odd = [w for w in fresh if "<|" in w or not _PLAIN(w)]
         for w, e in zip(odd, self.whole.encode_batch(odd, add_special_tokens=False), strict=True):
             ids[w] = np.array(e.ids, np.uint32).tobytes()
         for w in fresh.difference(odd):
@@ -180,22 +179,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
             return pa.RecordBatch.from_arrays(columns, names)
 
         end, keys, ids, size, kind = np.array([END_ID], np.uint32), [], [], 0, pa.int64()
-        for batch in batches:
-            kind, texts = batch.column(0).type, batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                stop, some = at, 0
-                while stop < len(texts) and (some < BLOCK_BYTES or stop == at):
-                    some += len(texts[stop] or "")
-                    stop += 1
-                for key, own in zip(batch.column(0).slice(at, stop - at).to_pylist(), encoder.encode([x or "" for x in texts[at:stop]]), strict=True):
-                    keys.append(key)
-                    ids.append(np.concatenate([own, end]))
-                    size += len(own) + 1
-                    if size >= BLOCK_TOKENS:
-                        yield packed(keys, ids)
-                        keys, ids, size = [], [], 0
-                at = stop
+        for batch in by_bytes(batches, 1, BLOCK_BYTES):
+            kind = batch.column(0).type
+            for key, own in zip(batch.column(0).to_pylist(), encoder.encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+                keys.append(key)
+                ids.append(np.concatenate([own, end]))
+                size += len(own) + 1
+                if size >= BLOCK_TOKENS:
+                    yield packed(keys, ids)
+                    keys, ids, size = [], [], 0
         if ids:
             yield packed(keys, ids)
 
