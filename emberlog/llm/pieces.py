@@ -6,9 +6,11 @@ weights of all paths to each position; backward sampling draws the last piece in
 so on, which samples whole paths in proportion to their weights. Draws are hashes of the row's key, the piece run's place
 in the text and the position, so the same row always gets the same segmentation.
 
-No piece of the vocabulary holds a line end, or a space after another character, so the lattice falls apart at such
-places into short runs (runs of over ``SPAN`` characters are cut there). Filtering works on the distinct runs of a block
-of documents at once, sampling on all their occurrences, in numpy.
+No piece of the vocabulary holds a line end, or a space after another character (asserted when it is read), so the
+lattice falls apart at such places into runs. The distinct runs of up to ``SPAN`` characters of a block are filtered at
+once, step by step, and sampled at all their occurrences. A longer run is filtered by itself, whole: the weights of what
+ends at each position are looked up by blocks, forwards and once more backwards, so that only one number a character is
+kept. Texts are read in parts that end between runs, so memory does not grow with a text, but for its longest run.
 
 Decoding joins the pieces' bytes and drops the one space put before the text, so it gives the text back to the byte.
 
@@ -27,12 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm.common import map_arrow, table
+from emberlog.llm.common import by_bytes, map_arrow, table
 
 SPAN = 48
 TEMPER = 1.5
-BLOCK_CHARS = 2 << 20
-_CUT = re.compile(r" {1,48}[^ \n]{0,40}|[^ \n]{1,48}|\n").findall
+BLOCK_CHARS = 1 << 20
+#: Positions of a long run that are looked up together.
+LOOKUP = 4096
+_CUT = re.compile(r" +[^ \n]*|[^ \n]+|\n").findall
+_PART_END = re.compile(r"(?<=[^ ])(?= )|(?<=\n)").search
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 1 << 18
 
@@ -62,6 +67,7 @@ class Lattice:
                 ids.append(i)
                 self.spelled[i] = pieces[-1].encode()
         self.longest = max(map(len, pieces))
+        assert not any("\n" in p or " " in p.lstrip(" ") for p in pieces), "pieces that reach over a cut"
         rank = np.arange(len(pieces)) + 2.7
         self.ids, self.weight = np.array(ids, np.int32), rank**-temper / (rank**-temper).sum()
         self.spell_weight = float(self.weight.min()) * 1e-3
@@ -112,7 +118,7 @@ class Lattice:
         reach = np.searchsorted(-length[order], -np.arange(1, int(length.max(initial=0)) + 1), side="right")
         base = np.concatenate([[0], np.cumsum(reach)])
         share = np.zeros((len(text), self.longest), np.float32)
-        place = np.full((len(text), self.longest), -1, np.int16)
+        place = np.full((len(text), self.longest), -1, np.int32)
         chars = np.empty(len(text), np.uint32)
         hashes: list[np.ndarray] = []  # of what starts at each of the last steps, up to here
         alpha = [np.ones(len(runs))]  # weight of all paths to each of the last steps
@@ -142,22 +148,90 @@ class Lattice:
                 alpha = [x / top for x in alpha]
         return rank, base, chars, share, place
 
-    def sample(self, texts: list[str], keys: list) -> list[np.ndarray]:
+    def _endings(self, codes: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and weights (positions, lengths) of the pieces that end at the positions from ``begin`` to ``end``."""
+        place, weight = np.full((end - begin, self.longest), -1, np.int32), np.zeros((end - begin, self.longest))
+        h, power = np.zeros(end - begin, np.uint64), np.ones(1, np.uint64)
+        for size in range(1, self.longest + 1):
+            own = np.arange(max(begin, size - 1), end)
+            h[own - begin] += (codes[own - size + 1] + np.uint64(1)) * power
+            power *= _PRIME
+            found = self._find(_mix(h[own - begin]))
+            place[own - begin, size - 1] = found
+            weight[own - begin, size - 1] = np.where(found >= 0, self.weight[found], self.spell_weight * (size == 1))
+        return place, weight
+
+    def _filter_long(self, codes: np.ndarray) -> np.ndarray:
+        """Log weight of all paths to each position of a run, 0 before its start, after ``longest`` places of -inf."""
+        size = self.longest
+        alpha = np.full(size + len(codes) + 1, -np.inf)
+        alpha[size] = 0
+        for begin in range(0, len(codes), LOOKUP):
+            _, weight = self._endings(codes, begin, min(len(codes), begin + LOOKUP))
+            for t, w in enumerate(weight[:, ::-1], size + begin + 1):
+                before = alpha[t - size : t]
+                top = before.max()
+                alpha[t] = top + np.log(w @ np.exp(before - top))
+        return alpha
+
+    def _sample_long(self, codes: np.ndarray, alpha: np.ndarray, seed: np.uint64) -> tuple[list[int], list[int]]:
+        """Places of a run's pieces, and the position of each one's last character, drawn backwards."""
+        size, at, begin, places, lasts = self.longest, len(codes), len(codes), [], []
+        while at:
+            if at <= begin:
+                begin = (at - 1) // LOOKUP * LOOKUP
+                place, weight = self._endings(codes, begin, at)
+                draw = ((_mix(seed + np.arange(begin + 1, at + 1).astype(np.uint64) * _PRIME) >> np.uint64(40)) / 2.0**24).astype(np.float32)
+            before = alpha[at : at + size][::-1]
+            share = np.cumsum(weight[at - 1 - begin] * np.exp(before - before.max()))
+            step = min(int((share / share[-1] <= draw[at - 1 - begin]).sum()), size - 1)
+            places.append(int(place[at - 1 - begin, step]))
+            lasts.append(at - 1)
+            at -= step + 1
+        return places[::-1], lasts[::-1]
+
+    def sample(self, texts: list[str], keys: list, block: int = BLOCK_CHARS) -> list[np.ndarray]:
         """Piece ids of each text, drawn backwards from each run's end."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        parts, seeds, of, held = [], [], [], 0
+
+        def drawn() -> None:
+            for k, ids in zip(of, self._sample(parts, seeds), strict=True):
+                out[k].append(ids)
+
+        for k, text in enumerate(texts):
+            whole, at = " " + text if text else "", 0
+            while at < len(whole):
+                cut = _PART_END(whole, at + block) if len(whole) - at > block else None
+                end = cut.start() if cut else len(whole)
+                parts.append(whole[at:end])
+                seeds.append(crc32(repr((keys[k], at) if at else keys[k]).encode()))
+                of.append(k)
+                held, at = held + end - at, end
+                if held >= block:
+                    drawn()
+                    parts, seeds, of, held = [], [], [], 0
+        drawn()
+        return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.int32) for x in out]
+
+    def _sample(self, parts: list[str], seeds: list[int]) -> list[np.ndarray]:
         index: dict[str, int] = {}
         put = index.setdefault
-        found = [[put(run, len(index)) for run in _CUT(" " + text)] if text else [] for text in texts]
-        count = np.array([len(x) for x in found])
+        found = [[put(run, len(index)) for run in _CUT(part)] for part in parts]
+        count = np.array([len(x) for x in found], np.int64)
         if not count.sum():
-            return [np.zeros(0, np.int32) for _ in texts]
+            return [np.zeros(0, np.int32) for _ in parts]
         runs = list(index)
-        rank, base, chars, share, place = self.filter(runs)
         length = np.fromiter(map(len, runs), np.int64, len(runs))
+        short = np.flatnonzero(length <= SPAN)
+        ranks, base, chars, share, place = self.filter([runs[i] for i in short])
+        rank = np.zeros(len(runs), np.int64)
+        rank[short] = ranks
         own = np.fromiter((r for x in found for r in x), np.int64, int(count.sum()))
-        seed = np.repeat(np.array([crc32(repr(k).encode()) for k in keys], np.uint64) << np.uint64(32), count)
+        seed = np.repeat(np.array(seeds, np.uint64) << np.uint64(32), count)
         seed += (np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
         seed = _mix(seed)
-        at, ranks, live, steps, drawn = length[own], rank[own], np.arange(len(own)), [], np.zeros(len(own), np.int64)
+        at, ranks, live, steps, drawn = length[own], rank[own], np.flatnonzero(length[own] <= SPAN), [], np.zeros(len(own), np.int64)
         while len(live):
             here = base[at[live] - 1] + ranks[live]
             u = ((_mix(seed[live] + at[live].astype(np.uint64) * _PRIME) >> np.uint64(40)) / 2.0**24).astype(np.float32)
@@ -166,11 +240,24 @@ class Lattice:
             drawn[live] += 1
             at[live] -= size + 1
             live = live[at[live] > 0]
+        filtered, longer, first = {}, [], len(chars)
+        for who in np.flatnonzero(length[own] > SPAN).tolist():
+            run = int(own[who])
+            if run not in filtered:
+                codes = np.frombuffer(runs[run].encode("utf-32-le", "surrogatepass"), np.uint32)
+                filtered[run] = (codes.astype(np.uint64), self._filter_long(codes.astype(np.uint64)), first)
+                chars, first = np.concatenate([chars, codes]), first + len(codes)
+            codes, alpha, start = filtered[run]
+            places, lasts = self._sample_long(codes, alpha, seed[who])
+            longer.append((who, places, np.array(lasts) + start))
+            drawn[who] = len(places)
         ends = np.cumsum(drawn)
-        piece, last = np.empty(ends[-1], np.int16), np.empty(ends[-1], np.int64)
+        piece, last = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.int64)
         for k, (who, what, here) in enumerate(steps):
             to = ends[who] - 1 - k
             piece[to], last[to] = what, here
+        for who, what, here in longer:
+            piece[ends[who] - len(what) : ends[who]], last[ends[who] - len(what) : ends[who]] = what, here
         ids, odd = self.ids[piece], np.flatnonzero(piece < 0)
         sizes = np.add.reduceat(np.append(drawn, 0), np.minimum(np.cumsum(count) - count, len(drawn))) * (count > 0)
         if len(odd):
@@ -178,8 +265,8 @@ class Lattice:
             times = np.ones(len(ids), np.int64)
             times[odd] = [len(s) for s in spelled]
             to = np.cumsum(times) - times
-            rows = np.repeat(np.arange(len(texts)), sizes)
-            sizes = np.bincount(np.repeat(rows, times), minlength=len(texts))
+            rows = np.repeat(np.arange(len(parts)), sizes)
+            sizes = np.bincount(np.repeat(rows, times), minlength=len(parts))
             ids = np.repeat(ids, times)
             for k, s in zip(to[odd].tolist(), spelled, strict=True):
                 ids[k : k + len(s)] = self.byte_ids[s]
@@ -199,19 +286,12 @@ def encode_sampled(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(model_path)
-        for batch in batches:
-            keys, texts, at = batch.column(0), [x or "" for x in batch.column(1).to_pylist()], 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (size < BLOCK_CHARS or stop == at):
-                    size += len(texts[stop])
-                    stop += 1
-                part = keys.slice(at, stop - at)
-                ids = own.sample(texts[at:stop], part.to_pylist())
-                good = [own.decode(x) == t.encode() for x, t in zip(ids, texts[at:stop], strict=True)]
-                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32())), pa.array(good)], ["doc_id", "ids", "lossless"])
-                at = stop
+        for batch in by_bytes(batches, 1):
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            ids = own.sample(texts, batch.column(0).to_pylist())
+            good = [own.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
+            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32())), pa.array(good)], ["doc_id", "ids", "lossless"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, ids array<int>, lossless boolean")
