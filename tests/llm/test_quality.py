@@ -2,6 +2,7 @@
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -82,21 +83,30 @@ def test_odd_rows(spark, odd_docs, no_docs):
 
 def test_importance_weights_against_brute_force(spark, small, sf):
     good = importance.good_ids(spark.read.parquet(f"{sf}/labels.parquet"))
-    fitted, _ = importance.split_target(good)
     texts = {r["doc_id"]: r["text"].encode() for r in small.collect()}
-    raw, target = np.zeros(importance.BUCKETS), np.zeros(importance.BUCKETS)
+    size = importance.BUCKETS
+    raw, folds = np.zeros(size), np.zeros((2, size))
     for i, t in texts.items():
-        own = np.bincount(importance.features(t), minlength=importance.BUCKETS)
+        own = np.bincount(importance.features(t), minlength=size)
         raw += own
-        target += own * (i in fitted)
-    p = (raw + 0.5) / (raw.sum() + 0.5 * len(raw))
-    prior = importance.PRIOR * len(raw)
-    ratio = np.log((target + prior * p) / (target.sum() + prior) / p)
+        if i in good:
+            folds[zlib.crc32(str(i).encode()) % 2] += own
+    p = (raw + 0.5) / (raw.sum() + 0.5 * size)
+    prior = importance.PRIOR * size
+    models = [np.log((own + prior * p) / (own.sum() + prior) / p) for own in folds[::-1]]
+    expected = {}
+    for i, t in texts.items():
+        own = (sum(models) / 2 if i not in good else models[zlib.crc32(str(i).encode()) % 2])[importance.features(t)]
+        expected[i] = 1000 * own.mean() if len(own) else 0.0
     rows = importance.resample(small, good, k=50).collect()
     for r in rows:
-        assert r["log_weight"] == pytest.approx(ratio[importance.features(texts[r["doc_id"]])].sum(), abs=1e-6)
+        assert r["log_weight"] == pytest.approx(expected[r["doc_id"]], abs=1e-6)
     top = sorted((r["key"] for r in rows), reverse=True)[:50]
     assert sorted((r["key"] for r in rows if r["kept"]), reverse=True) == top
+    share = importance.resample(small, good, target_share=0.9).collect()
+    keys = sorted((r["key"] for r in share if r["doc_id"] in good), reverse=True)
+    bar = keys[math.ceil(0.9 * len(keys)) - 1]
+    assert all(r["kept"] == (r["key"] >= bar) for r in share)
 
 
 def test_draws_follow_weights(spark):
@@ -115,10 +125,24 @@ def test_kth_largest(spark):
     assert importance.kth_largest(values.limit(0), "v", 1) is None
 
 
-def test_held_out_quality(spark, sf):
-    """Good documents stay, junk goes."""
+@pytest.mark.parametrize("half", [0, 1])
+def test_held_out_quality(spark, half):
+    """Good documents stay, junk goes, whichever half of the labels is learned from."""
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    half = labels.where("doc_id % 2 = 0")
-    for judged in (importance.resample(docs, importance.good_ids(half)), quality_rules.judge(docs, half).where("not base_failed")):
-        rates = {r["quality"]: r["rate"] for r in judged.join(labels.where("doc_id % 2 = 1"), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("rate")).collect()}
-        assert rates[1] > 0.97 and rates[0] < 0.3
+    known = labels.where(F.col("doc_id") % 2 == half)
+    for judged in (importance.resample(docs, importance.good_ids(known)), quality_rules.judge(docs, known).where("not base_failed")):
+        rates = {r["quality"]: r["rate"] for r in judged.join(labels.where(F.col("doc_id") % 2 != half), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("rate")).collect()}
+        assert rates[1] > 0.95 and rates[0] < 0.3
+
+
+def test_registered_query_on_labels(spark):
+    judged = importance.op1_importance_resampling(spark, "/root/testdata/sf0.01")
+    rates = {r["quality"]: r["rate"] for r in judged.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("rate")).collect()}
+    assert rates[1] > 0.95 and rates[0] < 0.3
+
+
+def test_text_ids(spark, odd_docs):
+    named = odd_docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert importance.resample(named, {"d4", "d9"}).count() == 11
+    kept = importance.keep_resampled(named, {"d4", "d9"})
+    assert kept.columns == named.columns and {"d4"} <= {r["doc_id"] for r in kept.collect()}
