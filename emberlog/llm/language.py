@@ -1,15 +1,18 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
-Method. Runs of letters (A-Z lower-cased, and every non-ASCII byte), cut after ``SPAN`` bytes, are read byte by byte by a
-forward and a backward gated recurrent unit; a softmax over both states labels every position. The network is trained in
-numpy by backpropagation through time on a bounded sample of labelled documents. A document's probabilities are the mean
-of its positions' ones; the most likely language and its probability are returned.
+Method. A text's UTF-8 bytes (A-Z lower-cased), all of them, are read in windows of ``WINDOW`` positions, with
+``CONTEXT`` more on either side that warm the states up and get no label here, so that every position is labelled once,
+with words on both sides in sight. In each window a forward and a backward gated recurrent unit run over the bytes; a
+softmax over both states labels every position. The network is trained in numpy by backpropagation through time on a
+bounded sample of labelled documents. A document's probabilities are the mean of its letters' ones (A-Z and bytes beyond
+ASCII); the most likely language and its probability are returned.
 
-A run's labels depend on its bytes alone, so each distinct run of a batch is read once and counted as often as it occurs;
-every run of the whole text takes part.
+Memory. Texts are read in slices of about two megabytes and windows in blocks of ``BLOCK``, so a task's memory does not
+grow with a batch or a text.
 
 Nulls and edges. A null text, or one without a letter, is ``und`` with score 0. Rows without a language are predicted but
-never learned from; without any labelled row everything is ``und``. Ties go to the language that sorts first.
+never learned from; without any labelled row everything is ``und``. Ties go to the language that sorts first. Repeated
+rows are judged alike; ``keep_identified`` carries other columns along under any name.
 """
 
 from __future__ import annotations
@@ -24,31 +27,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import crc32_mod, lower_ascii, map_arrow, stored, table, utf8_values
+from emberlog.llm.common import by_bytes, crc32_mod, map_arrow, stored, table, utf8_values
 
-HIDDEN = 16
-SPAN = 24
-#: Training sample: at most so many documents, and so many letter runs of each language.
-SAMPLE_DOCS = 3000
-SAMPLE_RUNS = 12_000
-EPOCHS = 4
-RUNS = re.compile(rb"[a-z\x80-\xff]+").findall
-
-
-def cut_runs(text: bytes) -> list[bytes]:
-    """The letter runs of a text, none longer than SPAN bytes."""
-    found = RUNS(text.lower())
-    if max(map(len, found), default=0) <= SPAN:
-        return found
-    return [run[at : at + SPAN] for run in found for at in range(0, len(run), SPAN)]
+HIDDEN = 8
+WINDOW, CONTEXT = 128, 16
+BLOCK = 1024
+#: Training sample, for each language: at most so many documents, and so many windows of theirs.
+SAMPLE_DOCS = 1000
+SAMPLE_WINDOWS = 1500
+EPOCHS = 5
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(97, 123), *range(128, 256)]] = True
 
 
 def has_letter(text: bytes | None) -> bool:
     return bool(text) and (re.search(rb"[A-Za-z]", text) is not None or any(map(str.isalpha, text.decode("utf-8", "ignore"))))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def windows(size: int) -> list[tuple[int, int, int, int]]:
+    """(first byte, first labelled byte, end of the labelled bytes, end) of each window of a text of ``size`` bytes."""
+    return [(max(0, at - CONTEXT), at, min(size, at + WINDOW), min(size, at + WINDOW + CONTEXT)) for at in range(0, size, WINDOW)]
 
 
 def padded(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,7 +62,10 @@ def padded(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class ByteTagger:
-    """Weights: for each direction input table (256, 3h), recurrence (h, 3h), output (h, languages); a bias."""
+    """Weights: for each direction input table (3h, 256), recurrence (3h, h), output (languages, h); a bias.
+
+    States are (h, n) for n runs at a step, gates stacked in the order keep, reset, candidate.
+    """
 
     languages: list[str]
     weights: dict[str, np.ndarray]
@@ -74,75 +75,88 @@ class ByteTagger:
         draw = np.random.default_rng(seed)
         w = {"bias": np.zeros(len(languages), np.float32)}
         for way in "fb":
-            w[f"x{way}"] = draw.normal(0, 0.3, (256, 3 * hidden)).astype(np.float32)
-            w[f"u{way}"] = draw.normal(0, hidden**-0.5, (hidden, 3 * hidden)).astype(np.float32)
-            w[f"o{way}"] = draw.normal(0, hidden**-0.5, (hidden, len(languages))).astype(np.float32)
+            w[f"x{way}"] = draw.normal(0, 0.3, (3 * hidden, 256)).astype(np.float32)
+            w[f"u{way}"] = draw.normal(0, hidden**-0.5, (3 * hidden, hidden)).astype(np.float32)
+            w[f"o{way}"] = draw.normal(0, hidden**-0.5, (len(languages), hidden)).astype(np.float32)
         return cls(languages, w)
 
     def _states(self, way: str, cells: np.ndarray, reach: np.ndarray, keep: list | None) -> np.ndarray:
-        """Hidden states (steps, n, h) of one direction; ``keep`` gets what the way back needs."""
+        """Hidden states (steps, h, n) of one direction; ``keep`` gets what the way back needs."""
         x, u = self.weights[f"x{way}"], self.weights[f"u{way}"]
-        h_size, steps = u.shape[0], len(cells)
-        out = np.zeros((steps, cells.shape[1], h_size), np.float32)
-        h = np.zeros((cells.shape[1], h_size), np.float32)
+        size, (steps, n) = u.shape[1], cells.shape
+        out = np.zeros((steps, size, n), u.dtype)
+        h = np.zeros((size, n), u.dtype)
         for t in range(steps) if way == "f" else reversed(range(steps)):
-            m = reach[t]
-            given, before = x[cells[t, :m]], h[:m]
-            recur = before @ u
-            gates = _sigmoid(given[:, : 2 * h_size] + recur[:, : 2 * h_size])
-            z, r = gates[:, :h_size], gates[:, h_size:]
-            new = np.tanh(given[:, 2 * h_size :] + r * recur[:, 2 * h_size :])
-            after = new + z * (before - new)
+            m = int(reach[t])
+            given, before = x.take(cells[t, :m], axis=1, out=np.empty((3 * size, m), x.dtype), mode="clip"), h[:, :m]
+            recur = u @ before
+            gates = given[: 2 * size]
+            gates += recur[: 2 * size]
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
+            z, r = gates[:size], gates[size:]
+            new = r * recur[2 * size :]
+            new += given[2 * size :]
+            np.tanh(new, out=new)
+            after = out[t, :, :m]
+            np.subtract(before, new, out=after)
+            after *= z
+            after += new
             if keep is not None:
-                keep.append((t, m, before.copy(), z, r, new, recur[:, 2 * h_size :]))
-            h[:m] = after
-            out[t, :m] = after
+                keep.append((t, m, before.copy(), z, r, new, recur[2 * size :]))
+            h[:, :m] = after
         return out
 
     def positions(self, cells: np.ndarray, reach: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Language probabilities (steps, n, languages) of every position; beyond a run's end they are zero."""
-        logits = self.weights["bias"]
+        """Language probabilities (steps, languages, n) of every position; beyond a run's end they are zero."""
+        p = np.zeros((len(cells), len(self.languages), cells.shape[1]), self.weights["bias"].dtype)
+        p += self.weights["bias"][:, None]
         for way in "fb":
             states = self._states(way, cells, reach, None if keep is None else keep.setdefault(way, []))
-            logits = logits + states @ self.weights[f"o{way}"]
+            p += self.weights[f"o{way}"] @ states
             if keep is not None:
                 keep[f"states{way}"] = states
-        p = np.exp(logits - logits.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        p[np.arange(cells.shape[1]) >= reach[:, None]] = 0
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True)
+        p *= (np.arange(cells.shape[1]) < reach[:, None])[:, None, :]
         return p
 
     def gradient(self, cells: np.ndarray, reach: np.ndarray, answer: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
         """Gradient of the mean cross entropy of all positions, backwards through time; and that mean."""
         keep: dict = {}
         p = self.positions(cells, reach, keep)
-        live, total = np.arange(cells.shape[1]) < reach[:, None], int(reach.sum())
-        right = np.take_along_axis(p, np.broadcast_to(answer[None, :, None], (*p.shape[:2], 1)), axis=2)[..., 0]
-        loss = -np.log(np.maximum(right[live], 1e-9)).mean()
-        d = p.copy()
-        d[:, np.arange(len(answer)), answer] -= 1
-        d[~live] = 0
+        runs = np.arange(len(answer))
+        live, total = runs < reach[:, None], int(reach.sum())
+        loss = -np.log(np.maximum(p[:, answer, runs][live], 1e-9)).mean()
+        d = p
+        d[:, answer, runs] -= live
         d /= total
-        grad = {"bias": d.sum(axis=(0, 1))}
+        grad = {"bias": d.sum(axis=(0, 2))}
         for way in "fb":
             u, o = self.weights[f"u{way}"], self.weights[f"o{way}"]
-            h_size = u.shape[0]
-            grad[f"o{way}"] = np.einsum("tnh,tnl->hl", keep[f"states{way}"], d, optimize=True)
+            size = u.shape[1]
+            grad[f"o{way}"] = np.einsum("tln,thn->lh", d, keep[f"states{way}"], optimize=True)
             grad[f"x{way}"], grad[f"u{way}"] = np.zeros_like(self.weights[f"x{way}"]), np.zeros_like(u)
-            back = np.zeros((cells.shape[1], h_size), np.float32)
+            back, read, into = np.zeros((size, cells.shape[1]), u.dtype), [], []
             for t, m, before, z, r, new, recur_n in reversed(keep[way]):
-                dh = back[:m] + d[t, :m] @ o.T
+                dh = back[:, :m] + o.T @ d[t, :, :m]
                 dn = dh * (1 - z) * (1 - new * new)
                 dz = dh * (before - new) * z * (1 - z)
                 dr = dn * recur_n * r * (1 - r)
-                into = np.concatenate([dz, dr, dn], axis=1)
-                over = np.concatenate([dz, dr, dn * r], axis=1)
-                np.add.at(grad[f"x{way}"], cells[t, :m], into)
-                grad[f"u{way}"] += before.T @ over
-                back[:m] = dh * z + over @ u.T
+                read.append(cells[t, :m])
+                into.append(np.concatenate([dz, dr, dn]))
+                over = np.concatenate([dz, dr, dn * r])
+                grad[f"u{way}"] += over @ before.T
+                back[:, :m] = dh * z + u.T @ over
+            read, into = np.concatenate(read), np.concatenate(into, axis=1)
+            for k in range(3 * size):
+                grad[f"x{way}"][k] = np.bincount(read, into[k], 256)
         return grad, float(loss)
 
-    def fit(self, runs: list[bytes], answer: np.ndarray, epochs: int = EPOCHS, batch: int = 256, rate: float = 0.02, seed: int = 2) -> list[float]:
+    def fit(self, runs: list[bytes], answer: np.ndarray, epochs: int = EPOCHS, batch: int = 128, rate: float = 0.02, seed: int = 2) -> list[float]:
         """Adam over shuffled batches; returns the mean loss of each epoch."""
         draw, first, second, step, losses = np.random.default_rng(seed), {}, {}, 0, []
         steps = epochs * -(-len(runs) // batch)
@@ -162,65 +176,71 @@ class ByteTagger:
             losses.append(float(np.mean(epoch)))
         return losses
 
-    def run_sums(self, runs: list[bytes], block: int = 16_384) -> np.ndarray:
-        """Sum of the position probabilities of each run, (n, languages)."""
-        out = np.zeros((len(runs), len(self.languages)))
-        order = np.argsort(np.fromiter(map(len, runs), np.int64, len(runs)), kind="stable")
-        for at in range(0, len(runs), block):
-            own = order[at : at + block]
-            cells, reach, inner = padded([runs[i] for i in own])
-            out[own[inner]] = self.positions(cells, reach).sum(axis=0)
+    def label_positions(self, text: bytes) -> list[str]:
+        """The language of each byte of a text."""
+        text, out = text.lower(), []
+        for first, begin, end, stop in windows(len(text)):
+            cells, reach, _ = padded([text[first:stop]])
+            out += [self.languages[i] for i in self.positions(cells, reach)[begin - first : end - first, :, 0].argmax(axis=1)]
         return out
 
-    def label_positions(self, text: bytes) -> list[tuple[bytes, list[str]]]:
-        """Each letter run of a text with the language of each of its bytes."""
-        out = []
-        for run in cut_runs(text):
-            cells, reach, _ = padded([run])
-            out.append((run, [self.languages[i] for i in self.positions(cells, reach)[:, 0].argmax(axis=1)]))
-        return out
+    def letter_sums(self, texts: list[bytes], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the sum of its letters' probabilities (texts, languages), and the number of its letters."""
+        sums, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        cut = [(i, *w) for i, text in enumerate(texts) for w in windows(len(text))]
+        for at in range(0, len(cut), block):
+            own = cut[at : at + block]
+            cells, reach, inner = padded([texts[i][first:stop] for i, first, _, _, stop in own])
+            of, first, begin, end, _ = np.array(own)[inner].T
+            step = np.arange(len(cells))[:, None]
+            counted = _LETTERS[cells] & (step >= begin - first) & (step < end - first)
+            p = np.einsum("tln,tn->nl", self.positions(cells, reach), counted, optimize=True)
+            np.add.at(sums, of, p)
+            np.add.at(letters, of, counted.sum(axis=0))
+        return sums, letters
+
+
+def training_windows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> DataFrame:
+    """(lang, bytes) of a bounded sample: for each language the documents of smallest hash, and of their windows again those."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc32_mod(F.col("doc_id"), 4) != 2))
+    languages = sorted(row["lang"] for row in labelled.select("lang").distinct().collect())
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, 1):
+            langs, found = [], []
+            for lang, text in zip(batch.column(0).to_pylist(), utf8_values(batch.column(1)), strict=True):
+                part = [text.lower()[begin:end] for _, begin, end, _ in windows(len(text))]
+                found += part
+                langs += [lang] * len(part)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "window"])
 
-def training_runs(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_runs: int = SAMPLE_RUNS) -> DataFrame:
-    """(lang, run) of a bounded sample of labelled documents: those of smallest hash, and of their runs again those."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc32_mod(F.col("doc_id"), 4) != 2))
-    ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    own = labelled.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # at most sample_docs rows
-    runs = own.select("doc_id", "lang", F.posexplode(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(r"[a-z\x{80}-\x{10FFFF}]+"), F.lit(0))).alias("pos", "run"))
-    drawn = stored(runs.select("lang", "run", F.xxhash64("doc_id", "pos").alias("draw")), "runs")
-    languages = sorted(row["lang"] for row in drawn.select("lang").distinct().collect())
-    # One ordered limit a language: no language's runs have to meet in one task.
-    parts = [drawn.where(F.col("lang") == x).orderBy("draw", "run").limit(sample_runs) for x in languages]
-    return reduce(DataFrame.unionByName, parts, drawn.limit(0)).select("lang", "run")
+    # One ordered limit a language: no language's documents or windows have to meet in one task.
+    pick = lambda df, k, *order: reduce(DataFrame.unionByName, [df.where(F.col("lang") == x).orderBy(*order).limit(k) for x in languages], df.limit(0))
+    ids = pick(labelled.select("doc_id", "lang").distinct(), sample_docs, F.xxhash64("doc_id"), "doc_id")
+    own = labelled.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")  # at most sample_docs rows a language
+    drawn = stored(map_arrow(own.select("lang", "text"), cut, "lang string, window binary"), "windows")
+    return pick(drawn, sample_windows, F.xxhash64("window"), "window")
 
 
 def train(docs: DataFrame, hidden: int = HIDDEN, epochs: int = EPOCHS) -> ByteTagger:
-    rows = sorted(training_runs(docs).collect())  # at most SAMPLE_RUNS for each language
-    languages = sorted({row["lang"] for row in rows})
+    rows = sorted((row["lang"], bytes(row["window"])) for row in training_windows(docs).collect())  # at most SAMPLE_WINDOWS for each language
+    languages = sorted({lang for lang, _ in rows})
     model = ByteTagger.fresh(languages, hidden)
-    pairs = [(cut, languages.index(row["lang"])) for row in rows for cut in cut_runs(row["run"].encode())]
     if len(languages) > 1:
-        model.fit([run for run, _ in pairs], np.array([k for _, k in pairs]), epochs)
+        model.fit([window for _, window in rows], np.array([languages.index(lang) for lang, _ in rows]), epochs)
     return model
 
 
 def pooled(model: ByteTagger, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
-    index: dict[bytes, int] = {}
-    place, count = index.setdefault, []
-    seen = [[place(run, len(index)) for run in cut_runs(text or b"")] for text in texts]
-    sums = model.run_sums(list(index)) if index and model.languages else np.zeros((0, len(model.languages)))
-    size = np.fromiter(map(len, index), np.int64, len(index))
+    if not model.languages:
+        return ["und"] * len(texts), [0.0] * len(texts)
+    sums, letters = model.letter_sums([(text or b"").lower() for text in texts])
     names, scores = [], []
-    for text, own in zip(texts, seen, strict=True):
-        if not own or not model.languages or not has_letter(text):
-            names.append("und")
-            scores.append(0.0)
-            continue
-        count = np.array(own)
-        mean = sums[count].sum(axis=0) / size[count].sum()
-        best = int(mean.argmax())
-        names.append(model.languages[best])
-        scores.append(min(1.0, float(mean[best])))
+    for text, own, n in zip(texts, sums, letters, strict=True):
+        known = bool(n) and has_letter(text)
+        best = int(own.argmax())
+        names.append(model.languages[best] if known else "und")
+        scores.append(min(1.0, float(own[best] / n)) if known else 0.0)
     return names, scores
 
 
@@ -228,7 +248,7 @@ def identify(docs: DataFrame, model: ByteTagger) -> DataFrame:
     """The columns of ``docs`` named doc_id and text, with lang_pred and score, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             names, scores = pooled(model, utf8_values(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -243,11 +263,11 @@ def op10_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: ByteTagger, least_score: float = 0.35) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has letters and a language of at least ``least_score``."""
-    names = docs.columns
+    text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, scores = pooled(model, utf8_values(batch.column(names.index("text"))))
+        for batch in by_bytes(batches, text_at):
+            found, scores = pooled(model, utf8_values(batch.column(text_at)))
             yield batch.filter(pa.array([name != "und" and score >= least_score for name, score in zip(found, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -59,6 +59,38 @@ def test_pieces_follow_the_lattice():
     assert set(got) <= set(every)
 
 
+def test_long_runs_follow_the_lattice():
+    """A run beyond SPAN is drawn as a short one is: the same draws where both ways apply, lossless where only one does."""
+    own, span = pieces.lattice(pieces.vocabulary_path()), pieces.SPAN
+    texts = ["abcdefgh" * 4 + "漢字" * 3 + "x\ny  z " + "q" * 30, " lead", "", "the end"]
+    short = own.sample(texts, [1, 2, 3, 4])
+    try:
+        pieces.SPAN = 3
+        longer = own.sample(texts, [1, 2, 3, 4])
+    finally:
+        pieces.SPAN = span
+    assert [x.tolist() for x in short] == [x.tolist() for x in longer]
+    draw = random.Random(5)
+    run = "".join(draw.choice("abcde漢") for _ in range(9000))
+    assert own.decode(own.sample([run], [1])[0]) == run.encode()
+    # Pieces reach over where any cut would be: a place in a long run is an inner one of a piece as often as elsewhere.
+    inner = Counter()
+    for ids in own.sample(["these" * 40] * 200, list(range(200))):
+        at = 0
+        for i in ids.tolist():
+            inner.update(x % 5 for x in range(at + 1, at + len(own.spelled[i].decode())))
+            at += len(own.spelled[i].decode())
+    assert set(inner) == set(range(5))
+
+
+def test_parts_of_a_text_are_exact():
+    own = pieces.lattice(pieces.vocabulary_path())
+    text = "lorem  ipsum\n\n dolor " * 400
+    parts = own.sample([text], [3], block=500)[0]
+    assert own.decode(parts) == text.encode()
+    assert parts.tolist() == own.sample(["x", text, "y"], [1, 3, 2], block=500)[1].tolist()
+
+
 # Packing
 
 
@@ -101,8 +133,8 @@ def test_packed_ids(spark, odd_docs, no_docs, small):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(packing.vocabulary_path())
-    own.encode_special_tokens = True
-    for docs in (small, odd_docs):
+    special = small.limit(1).selectExpr("-7L AS doc_id", "'a<|endoftext|>b <|startoftext|>\n<|ENDOFTEXT|> <| endoftext|> it<|endoftext|>\\'s' AS text")
+    for docs in (small, odd_docs, special):
         rows = packing.pack_documents(docs, packing.vocabulary_path()).collect()
         texts = defaultdict(list)
         for r in docs.collect():
@@ -314,9 +346,16 @@ def test_language_held_out_and_odd(spark, odd_docs, no_docs):
     assert language.keep_identified(no_docs, model).count() == 0
 
 
-def test_runs_are_read_as_one_by_one():
+def test_texts_are_read_as_one_by_one():
     model = language.ByteTagger.fresh(["a", "b"], 6)
-    runs = [b"abc", b"x", b"yz" * 9, b"abc"]
-    together, alone = model.run_sums(runs, block=2), np.concatenate([model.run_sums([r]) for r in runs])
-    assert np.allclose(together, alone, atol=1e-5)
-    assert [len(labels) for _, labels in model.label_positions(b"Abc, x" + b"q" * 30)] == [3, 24, 7]
+    texts = [b"abc", b"x, 12", b"yz \xc3\xa9" * 90, b"", b"abc"]
+    together, letters = model.letter_sums(texts, block=2)
+    assert letters.tolist() == [3, 1, 360, 0, 3]
+    for k, text in enumerate(texts):
+        assert np.allclose(together[k], model.letter_sums([text])[0][0], atol=1e-4)
+        assert len(model.label_positions(text)) == len(text)
+    assert not np.allclose(together[1], model.letter_sums([b"x, 99 other"])[0][0])
+    # A window's neighbours are read: its first labels are those of a reading that begins CONTEXT bytes before.
+    text = bytes(97 + k * k % 26 for k in range(300))
+    cells, reach, _ = language.padded([text[128 - 16 : 256 + 16]])
+    assert model.label_positions(text)[128:256] == [model.languages[i] for i in model.positions(cells, reach)[16:144, :, 0].argmax(axis=1)]
