@@ -1,29 +1,30 @@
 """URL filters by a sort-merge range join.
 
 A host's canonical key is its labels in reverse order, each followed by a dot: a rule's host and all its subdomains are
-the keys with the rule's key as prefix, an interval of the sorted order. Urls and rules are range-partitioned and sorted
-together by key; a sweep over each partition keeps a stack of the rules' hosts whose interval is open. Such intervals
-nest, so a url's rules are the stack. A partition starts with the stack that is open at its first key: rules whose key is
-a prefix of it, found by a join and bounded by the partitions times a host's labels (with the path rules of those hosts).
+the keys with the rule's key as prefix, an interval of the sorted order. The order is cut into ranges at the quantiles
+of a sample of the urls (it decides about sizes only); a url goes to its range, a rule to each range that its interval
+meets, in one shuffle. A sweep over each range's sorted rows keeps a stack of the rules' hosts whose interval is open.
+Such intervals nest, so a url's rules are the stack. Neither rules nor urls pass through the driver.
 
 The deepest fitting host wins, within it the longest fitting path, among equals ``block``. Without a fitting rule the
-verdict is the default's. Hot hosts, and even a repeated url, are split over partitions, as path and page id belong to
-the sort key.
+verdict is the default's. Hot hosts, and even a repeated url, are split over ranges, as path and a hash of the row's
+place belong to the sort key.
 
-Nulls and edges. A null url, or one without ``://``, has empty host and path. Null page ids and repeated rows are judged
-row by row. Without any rule all verdicts are the default's; an empty table gives an empty result.
+Nulls and edges. A null url, or one without ``://``, has empty host and path. Page ids may be of any type; null ones and
+repeated rows are judged row by row. Without any rule all verdicts are the default's; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import lower_ascii, map_arrow, shared_dir, table
+from emberlog.llm.common import lower_ascii, map_arrow, table
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: (action, host, path)
@@ -76,43 +77,63 @@ class Sweep:
         return None
 
 
+def boundaries(keys: DataFrame, ranges: int, sampled: int = 50) -> list[tuple]:
+    """At most ``ranges`` - 1 cuts of ``keys`` (key, path, salt) into ranges of about equal size, from ``sampled`` rows for each."""
+    total = keys.count()
+    own = keys if total <= ranges * sampled else keys.sample(ranges * sampled / total, 1)
+    drawn = sorted(map(tuple, own.limit(2 * ranges * sampled).collect()))
+    return sorted({drawn[len(drawn) * k // ranges] for k in range(1, ranges)}) if drawn else []
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule (null if none fits) and verdict of every row; rules have action, host and path."""
-    rule = rules.where(F.col("host").isNotNull()).select(
-        host_key(lower_ascii(F.col("host"))).alias("key"), F.lit(0).alias("kind"), F.coalesce("path", F.lit("")).alias("path"),
-        F.lit(None).cast("long").alias("page_id"), lower_ascii(F.col("host")).alias("host"), F.col("action"),
-    )
-    urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).select(
-        host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), "path", "page_id", "host", F.lit(None).cast("string").alias("action")
-    )
-    order = ["key", "kind", "path", "page_id"]
-    shared_dir(pages.sparkSession)
-    swept = urls.unionByName(rule).repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
-    firsts = swept.groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("first"))
-    labels = F.expr("transform(sequence(1, size(split(first, '[.]')) - 1), n -> concat(substring_index(first, '.', n), '.'))")
-    prefixes = firsts.select("part", F.explode(labels).alias("key"))
-    opened: dict[int, list[tuple]] = {}
-    for row in prefixes.join(rule, "key").select("part", "key", "path", "action", F.concat("host", "path").alias("rule")).collect():
-        opened.setdefault(row["part"], []).append((row["key"], row["path"], row["action"], row["rule"]))
-    shared = pages.sparkSession.sparkContext.broadcast({part: sorted(found) for part, found in opened.items()})
-    names = ["page_id", "host", "path", "rule", "verdict"]
+    rule = rules.where(F.col("host").isNotNull()).select(lower_ascii(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "action")
+    rule = rule.select(host_key(F.col("host")).alias("key"), "path", "host", "action")
+    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    urls = urls.select(host_key(F.col("host")).alias("key"), "path", F.xxhash64(F.monotonically_increasing_id()).alias("salt"), "page_id", "host")
+    cuts = boundaries(urls.select("key", "path", "salt"), 4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    id_type = pages.schema["page_id"].dataType.simpleString()
+    names = ["part", "key", "kind", "path", "salt", "page_id", "host", "action"]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, path, salt, page_id, host = batch.columns
+            part = [bisect_right(cuts, row) for row in zip(key.to_pylist(), path.to_pylist(), salt.to_pylist(), strict=True)]
+            n = len(part)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), key, pa.array([1] * n, pa.int32()), path, salt, page_id, host, pa.nulls(n, pa.string())], names)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, path, host, action in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # Keys with this one as prefix end before the key whose last dot is replaced by the next character.
+                part = range(bisect_right(cuts, (key, "", -(1 << 63))), bisect_left(cuts, (key[:-1] + "/", "", -(1 << 63))) + 1)
+                n = len(part)
+                yield pa.RecordBatch.from_pydict(
+                    {"part": pa.array(part, pa.int32()), "key": [key] * n, "kind": pa.array([0] * n, pa.int32()), "path": [path] * n, "salt": pa.array([0] * n, pa.int64()), "host": [host] * n, "action": [action] * n}
+                )
+
+    dealt = "part int, key string, kind int, path string, salt long, page_id {}, host string, action string"
+    spread_rules = map_arrow(rule, spread, "part int, key string, kind int, path string, salt long, host string, action string").withColumn("page_id", F.lit(None).cast(id_type))
+    both = map_arrow(urls, placed, dealt.format(id_type)).unionByName(spread_rules)
+    swept = both.repartition("part").sortWithinPartitions("part", "key", "kind", "path", "salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sweep = Sweep()
-        for found in shared.value.get(TaskContext.get().partitionId(), []):
-            sweep.add(*found)
+        sweep, now = Sweep(), None
         for batch in batches:
-            out = []
-            for key, kind, path, page_id, host, action in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own, rows = [], []
+            for i, (part, key, kind, path, host, action) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True)):
+                if part != now:
+                    sweep, now = Sweep(), part
                 if kind:
                     found = sweep.best(key, path)
-                    out.append((page_id, host, path, found[1] if found else None, found[0] if found else default))
+                    own.append(i)
+                    rows.append((host, path, found[1] if found else None, found[0] if found else default))
                 else:
                     sweep.add(key, path, action, host + path)
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string() if i else pa.int64()) for i, c in enumerate(columns)], names)
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(6).take(pa.array(own, pa.int64())), *[pa.array(list(c), pa.string()) for c in columns]], ["page_id", "host", "path", "rule", "verdict"])
 
-    return map_arrow(swept.select("key", "kind", "path", "page_id", "host", "action"), run, "page_id long, host string, path string, rule string, verdict string")
+    return map_arrow(swept.select("part", "key", "kind", "path", "host", "action", "page_id"), run, f"page_id {id_type}, host string, path string, rule string, verdict string")
 
 
 def op7_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
