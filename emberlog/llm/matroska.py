@@ -11,6 +11,7 @@ error text. A null text is stored as an empty one. Equal payloads give equal fil
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm.common import map_arrow, table, utf8_values
+from emberlog.llm.common import by_bytes, map_arrow, table, utf8_values
 
 # Fixed values of the format: element ids.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -179,13 +180,15 @@ def _frames(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tuple[i
 def parse(data: bytes) -> Parsed:
     """Tracks, packets and cues of a Matroska file."""
     out, scale = Parsed(), 1e6
-    durations: dict[int, float] = {}
+    durations: dict[int, float] = {}  # of a frame, in milliseconds
+    samples: dict[int, float] = {}  # bytes a millisecond of uncompressed tracks: their frames last as long as they are
 
     def block(at: int, end: int, cluster_ticks: int, key: bool | None) -> None:
         track, ticks, flags, frames = _frames(data, at, end)
-        for k, (first, size) in enumerate(frames):
-            time = (cluster_ticks + ticks) * scale / 1e6 + k * durations.get(track, 0.0)
+        time = (cluster_ticks + ticks) * scale / 1e6
+        for first, size in frames:
             out.packets.append((track, time, first, size, bool(flags & 0x80) if key is None else key, out.clusters))
+            time += durations.get(track) or size / samples.get(track, math.inf)
 
     def cluster(at: int, end: int, open_ended: bool) -> int:
         ticks = 0
@@ -228,10 +231,10 @@ def parse(data: bytes) -> Parsed:
                             elif c in (TRACK_NUMBER, TRACK_TYPE, DEFAULT_DURATION):
                                 track[{TRACK_NUMBER: "number", TRACK_TYPE: "type", DEFAULT_DURATION: "default_duration"}[c]] = _uint(data, x, y)
                         out.tracks.append(track)
-                        frame_ms = track.get("default_duration", 0) / 1e6
-                        if not frame_ms and track.get("codec", "").startswith("A_PCM") and track.get("rate"):
-                            frame_ms = FRAME / (track.get("channels", 1) * track.get("bits", 8) // 8) * 1000 / track["rate"]
-                        durations[track.get("number", 0)] = frame_ms
+                        durations[track.get("number", 0)] = track.get("default_duration", 0) / 1e6
+                        pace = track.get("channels", 1) * track.get("bits", 8) / 8 * track.get("rate", 0) / 1000
+                        if track.get("codec", "").startswith("A_PCM") and pace > 0:
+                            samples[track.get("number", 0)] = pace
                 elif code == CLUSTER:
                     at = cluster(body, at, stop < 0)
                     out.clusters += 1
@@ -266,11 +269,9 @@ def store(docs: DataFrame) -> DataFrame:
     """doc_id, number of text bytes, and the text's payload as a Matroska file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [x or b"" for x in utf8_values(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([mux(payload_of(x)) for x in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+        for batch in by_bytes(batches, 1):
+            texts = [x or b"" for x in utf8_values(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([mux(payload_of(x)) for x in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, media binary")
