@@ -171,31 +171,66 @@ def test_scores_against_brute_force(spark, small, odd_docs, no_docs, monkeypatch
             assert g["base_score"] == pytest.approx(e[3], rel=1e-9, abs=1e-9)
 
 
-def test_tree_is_a_distribution_and_counts_are_exact(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    _, index, counts, tree, total, vocabulary = suffix_tree.learn(docs)
-    assert len(tree.contexts[0]) and len(tree.keys[0])
-    pairs, triples = Counter(), Counter()
-    for r in docs.collect():
-        if not suffix_tree.is_held_out(r["doc_id"]):
-            x = suffix_tree.tokens(r["text"].encode())
-            pairs.update(zip(x, x[1:], strict=False))
-            triples.update(zip(x, x[1:], x[2:], strict=False))
-    names = list(index)
-    least = max(suffix_tree.LEAST_COUNT, math.ceil(suffix_tree.P_MIN * total))
-    frequent = tree.base - 1
-    root = (counts[:frequent] + 0.1) / (total + 0.1 * (vocabulary + 1))
-    everything = np.arange(frequent)
-    for context in tree.contexts[0][:20]:
-        last = np.full(frequent, context)
-        p = root * 10 ** tree.log_ratios(everything, last, np.full(frequent, -1))
-        rest = (1 - root.sum()) * 10 ** tree.rest[0][np.searchsorted(tree.contexts[0], context)]
-        assert p.sum() + rest == pytest.approx(1, abs=1e-6)
-    for key in tree.keys[0][:200]:
-        assert pairs[names[key // tree.base], names[key % tree.base]] >= least
-    for key in tree.keys[1][:200]:
-        two, one, x = key // tree.base**2, key // tree.base % tree.base, key % tree.base
-        assert triples[names[two], names[one], names[x]] >= least
+class Brute:
+    """The tree by its definition: dictionaries of all strings, probabilities by recursion."""
+
+    def __init__(self, train, depth):
+        self.counts, self.depth = Counter(), depth
+        for x in train:
+            for n in range(1, depth + 2):
+                self.counts.update(tuple(x[i : i + n]) for i in range(len(x) - n + 1))
+        words = {s[0]: c for s, c in self.counts.items() if len(s) == 1}
+        self.total, self.vocabulary = sum(words.values()), len(words)
+        self.next = defaultdict(dict)
+        for s, c in self.counts.items():
+            if len(s) > 1 and c >= suffix_tree.LEAST:
+                self.next[s[:-1]][s[-1]] = c
+        self.stays = {}
+        for context in sorted(self.next, key=len):
+            n, listed = self.counts[context], self.next[context]
+            parent = {x: self.p(x, context[1:]) for x in listed}
+            left, free = n - sum(listed.values()), max(1e-12, 1 - sum(parent.values()))
+            gain = sum(c * math.log(c / n / parent[x]) for x, c in listed.items()) + (left * math.log(left / n / free) if left else 0)
+            if gain >= suffix_tree.DIVERGENCE * math.log(n) * len(listed):
+                self.stays[context] = (n, (left / free + suffix_tree.SMOOTHING) / (n + suffix_tree.SMOOTHING))
+
+    def p(self, x, context):
+        while context and context not in self.stays:
+            context = context[1:]
+        if not context:
+            return (self.counts[(x,)] + 0.1) / (self.total + 0.1 * (self.vocabulary + 1))
+        parent, (n, rest) = self.p(x, context[1:]), self.stays[context]
+        c = self.next[context].get(x)
+        return rest * parent if c is None else (c + suffix_tree.SMOOTHING * parent) / (n + suffix_tree.SMOOTHING)
+
+
+@pytest.mark.parametrize("head", [1 << 20, 300, 0])
+def test_score_against_brute_force(spark, small, odd_docs, head):
+    """All lengths of contexts, wherever the border between broadcast and joined terms lies."""
+    docs = small.select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text"))
+    rows = docs.collect()
+    texts = [suffix_tree.tokens((r["text"] or "").encode()) for r in rows]
+    tree = Brute([x for r, x in zip(rows, texts, strict=True) if not suffix_tree.is_held_out(r["doc_id"])], suffix_tree.DEPTH)
+    assert {len(c) for c in tree.stays} == set(range(1, suffix_tree.DEPTH + 1))
+    expected = sorted((str(r["doc_id"]), sum(math.log10(tree.p(w, tuple(x[max(0, i - suffix_tree.DEPTH) : i]))) for i, w in enumerate(x))) for r, x in zip(rows, texts, strict=True))
+    got = sorted((str(r["doc_id"]), r["score"]) for r in suffix_tree.score(docs, head_strings=head).collect())
+    assert [g[0] for g in got] == [e[0] for e in expected]
+    assert np.allclose([g[1] for g in got], [e[1] for e in expected], rtol=1e-6, atol=1e-6)
+    if head:
+        return
+    words = [s[0] for s in tree.counts if len(s) == 1]
+    for context in sorted(tree.stays, key=lambda c: (-len(c), c))[:20]:
+        unseen = 1 - sum(tree.p(x, ()) for x in words)
+        given = sum(tree.p(x, context) for x in words)
+        far = math.prod(tree.stays[context[i:]][1] for i in range(len(context)) if context[i:] in tree.stays)
+        assert given + unseen * far == pytest.approx(1, abs=1e-6)
+
+
+def test_text_ids_and_depth(spark, odd_docs):
+    named = odd_docs.withColumn("doc_id", odd_docs["doc_id"].cast("string"))
+    for depth in (1, 5):
+        got = {r["doc_id"] for r in suffix_tree.score(named, depth=depth).collect()}
+        assert got == {None, *map(str, range(1, 10))}
 
 
 def test_tree_beats_unigrams_on_held_out(spark):
