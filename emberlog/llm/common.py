@@ -45,8 +45,22 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20
             at = stop
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+#: Rows of an Arrow batch where the session leaves Spark's default: texts are large, and workers hold whole batches.
+BATCH_ROWS = 1000
+_ROWS_KEY, _ROWS_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` over small batches; a worker gives memory that it no longer needs back at a task's end."""
+    conf = df.sparkSession.conf
+    if conf.get(_ROWS_KEY, _ROWS_DEFAULT) == _ROWS_DEFAULT:
+        conf.set(_ROWS_KEY, str(BATCH_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def crc_words(text: bytes) -> np.ndarray:

@@ -270,4 +270,4 @@ def keep_identified(docs: DataFrame, model: ByteTagger, least_score: float = 0.3
             found, scores = pooled(model, utf8_values(batch.column(text_at)))
             yield batch.filter(pa.array([name != "und" and score >= least_score for name, score in zip(found, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
