@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberlog.functions.text import clean_labels, raw_hash
+from emberlog.functions.text import clean_labels, fmt_span, raw_hash
 
 
 def case_set(events: DataFrame, picked: DataFrame) -> DataFrame:
@@ -47,3 +48,13 @@ def file_page(lines: DataFrame, needle: str = "", offset: int = 0, limit: int =
     """A page of a file's numbered lines that hold a text, apart from case; long lines are cut for display."""
     found = lines.where(F.lower("raw").contains(needle.lower())) if needle else lines
     return found.orderBy("file", "id_seq").offset(offset).limit(limit).select("file", F.col("id_seq").alias("line"), F.substring("raw", 1, cut).alias("text"))
+
+
+def gaps(entries: DataFrame, *by: str) -> DataFrame:
+    """Timeline entries (ts, id_seq) with the seconds since the one before, of the same ``by`` if given, and their text, as ``+3m 12s``.
+
+    A case's timeline is small; pool-wide timelines should be told apart by something.
+    """
+    at = F.unix_timestamp("ts")
+    before = F.lag(at).over(W.partitionBy(*by).orderBy(F.col("ts").asc_nulls_last(), "id_seq"))
+    return entries.withColumn("gap_seconds", at - before).withColumn("gap", F.when(F.col("gap_seconds").isNotNull(), F.concat(F.lit("+"), fmt_span(F.col("gap_seconds")))))

@@ -78,6 +78,42 @@ RULES = {
         Rule("SIGMA-NET-0027", "Denied connections burst", "medium", {"denyActions": DENY, "window": 60, "threshold": 50}),
     ]
 }
+# The phase of an incident that each rule belongs to (0 recon, 1 access, 2 lateral, 3 egress).
+PHASE_OF = {
+    "SIGMA-WEB-0042": 0,
+    "SIGMA-WEB-0050": 0,
+    "SIGMA-WEB-0058": 0,
+    "SIGMA-AUTH-0111": 1,
+    "SIGMA-AUTH-0203": 1,
+    "SIGMA-WEB-0063": 0,
+    "SIGMA-AWS-0007": 1,
+    "SIGMA-AWS-0031": 1,
+    "SIGMA-AWS-0044": 3,
+    "SIGMA-AWS-0052": 1,
+    "SIGMA-AWS-0060": 1,
+    "SIGMA-AWS-0071": 1,
+    "SIGMA-WIN-0088": 2,
+    "SIGMA-WIN-0091": 2,
+    "SIGMA-WIN-0104": 3,
+    "SIGMA-WIN-0120": 1,
+    "SIGMA-WIN-0133": 2,
+    "SIGMA-WIN-0150": 1,
+    "SIGMA-WIN-0140": 0,
+    "SIGMA-LNX-0012": 2,
+    "SIGMA-LNX-0030": 3,
+    "SIGMA-LNX-0041": 2,
+    "SIGMA-LNX-0050": 1,
+    "SIGMA-LNX-0045": 0,
+    "SIGMA-K8S-0004": 2,
+    "SIGMA-K8S-0011": 2,
+    "SIGMA-K8S-0017": 2,
+    "SIGMA-K8S-0025": 0,
+    "SIGMA-APP-0055": 3,
+    "SIGMA-APP-0061": 0,
+    "SIGMA-NET-0019": 2,
+    "SIGMA-NET-0022": 3,
+    "SIGMA-NET-0027": 0,
+}
 HIT = "struct<id:string,name:string,level:string>"
 
 
@@ -85,7 +121,7 @@ HIT = "struct<id:string,name:string,level:string>"
 FIELDS = [
     "src_ip", "src", "dst", "dst_ip", "http.status", "http.path", "http.method", "user_agent", "eventName", "MFAUsed", "result", "userIdentity.type",
     "EventID", "LogonType", "AuthenticationPackageName", "SubjectUserName", "PrivilegeList", "CommandLine", "NewProcessName", "TargetUserName", "program",
-    "op", "resource", "verb", "namespace", "rows", "event", "action", "IpAddress", "responseStatus", "bytes", "sourceIPAddress",
+    "op", "resource", "verb", "namespace", "rows", "row_count", "records", "dest", "path", "name", "dst_port", "LmPackageName", "event", "action", "IpAddress", "responseStatus", "bytes", "sourceIPAddress",
 ]
 
 
@@ -132,8 +168,15 @@ def _number(value: Column) -> Column:
     return F.when(value.rlike("^[0-9]+$"), value.try_cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
 
+def exported_rows() -> Column:
+    """How many rows an application says it has given out."""
+    said = F.coalesce(*[F.when(_f(k) != "", _f(k)) for k in ("rows", "row_count", "records")], F.lit(""))
+    return F.coalesce(F.floor(F.regexp_replace(said, "[,_]", "").try_cast("double")).cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def _src() -> Column:
-    return F.coalesce(*[F.when(_f(k) != "", _f(k)) for k in ("src_ip", "src")], F.lit(""))
+    """A flow's source: ``src``, or ``src_ip`` where a format has no ``src``."""
+    return F.coalesce(*[F.when(_f(k) != "", _f(k)) for k in ("src", "src_ip")], F.lit(""))
 
 
 def _dst() -> Column:
@@ -166,7 +209,7 @@ def stateless(rules: dict[str, Rule]) -> dict[str, tuple[Column, Column]]:
     add("SIGMA-AWS-0071", "ct", _is(_f("eventName"), q["eventName"]) & any_of([F.col("raw").contains(c) for c in q["cidrs"]]))
     event = _f("EventID")
     q = p["SIGMA-WIN-0088"]
-    add("SIGMA-WIN-0088", "win", (event == q["eventId"]) & _starts(_f("LogonType"), q["logonTypes"]) & _holds(_f("AuthenticationPackageName"), q["packages"]))
+    add("SIGMA-WIN-0088", "win", (event == q["eventId"]) & _starts(_f("LogonType"), q["logonTypes"]) & _holds(F.concat_ws(" ", _f("AuthenticationPackageName"), _f("LmPackageName")), q["packages"]))
     q = p["SIGMA-WIN-0091"]
     subject = _f("SubjectUserName")
     add("SIGMA-WIN-0091", "win", (event == q["eventId"]) & _holds(_f("PrivilegeList"), q["privileges"]) & ~_is(subject, q["ignoreAccounts"]) & ~subject.endswith("$"))
@@ -179,7 +222,7 @@ def stateless(rules: dict[str, Rule]) -> dict[str, tuple[Column, Column]]:
     q = p["SIGMA-LNX-0012"]
     add("SIGMA-LNX-0012", "lnx", _is(_f("program"), q["program"]) & _is(_f("result"), q["result"]) & _is(F.col("user"), q["users"]))
     q = p["SIGMA-LNX-0030"]
-    removed = F.when(_f("op") != "", _is(_f("op"), q["auditOps"])).otherwise(_like(F.col("raw"), q["removalPattern"]))
+    removed = F.when(_is(_f("program"), ["audit", "auditd"]), _is(_f("op"), q["auditOps"])).otherwise(_like(F.col("raw"), q["removalPattern"]))
     add("SIGMA-LNX-0030", "lnx", _like(F.col("raw"), q["pattern"]) & removed)
     q = p["SIGMA-LNX-0041"]
     add("SIGMA-LNX-0041", "lnx", _is(_f("program"), q["program"]) & _like(F.col("raw"), q["pattern"]))
@@ -193,11 +236,26 @@ def stateless(rules: dict[str, Rule]) -> dict[str, tuple[Column, Column]]:
     q = p["SIGMA-K8S-0017"]
     add("SIGMA-K8S-0017", "k8s", (_f("resource") == q["resource"]) & (_f("verb") == q["verb"]) & any_of([F.regexp_replace("raw", r"\s", "").contains(m.replace(" ", "")) for m in q["markers"]]))
     q = p["SIGMA-APP-0055"]
-    rows = _number(F.regexp_replace(_f("rows"), "[,_]", ""))
+    rows = exported_rows()
     add("SIGMA-APP-0055", "app", _holds(F.coalesce(F.when(_f("event") != "", _f("event")), _f("action")), q["keywords"]) & (rows >= q["minRows"]))
     return {k: (c, level[k]) for k, c in out.items()}
 
 
+def detect_stateless(events: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
+    """Events, of a batch or a stream, with the hits of the rules that look at one event alone, and severity raised to the gravest.
+
+    No shuffle and no state; bursts, follow-ups and reputations need ``detect`` over a written table, or
+    ``streaming.ingest.burst_alerts``.
+    """
+    rules = rules or RULES
+    marks = [F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(k).alias("id"), F.lit(rules[k].name).alias("name"), level.alias("level"))) for k, (c, level) in stateless(rules).items() if rules[k].enabled]
+    found = prepared(events).withColumn("_hits", F.array_compact(F.array(*marks)))
+    fresh = F.filter("_hits", lambda h: ~F.exists("detections", lambda d: d["id"] == h["id"]))
+    gravest = F.aggregate("_hits", F.lit(0), lambda top, h: F.greatest(top, sev_rank(h["level"])))
+    out = {"detections": F.concat("detections", fresh), "sev": sev_name(F.greatest(sev_rank(F.col("sev")), gravest))}
+    return found.select(*[out[c].alias(c) if c in out else c for c in events.columns])
+
+
 def burst_rules(rules: dict[str, Rule]) -> dict[str, tuple[Column, Column]]:
     """Condition and key of each burst rule."""
     p = {k: r.params for k, r in rules.items()}
@@ -257,56 +315,122 @@ def followed_logins(events: DataFrame, web_bursts: DataFrame, rules: dict[str, R
     return tries.join(anchors, "ip").where(F.col("at").between(F.col("epoch"), F.col("epoch") + a["within"])).select("id")
 
 
-def hits(events: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
-    """The long table of hits: id (event), rule_id, name, level, burst_count, burst_first_id, note."""
-    rules, events = rules or RULES, prepared(events)
+def evaluate(events: DataFrame, rules: dict[str, Rule]) -> tuple[DataFrame, DataFrame]:
+    """Hits of prepared events (see ``hits``), and the addresses that became known as attackers."""
     alone = stateless(rules)
     marks = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(k).alias("rule_id"), level.alias("level"))) for k, (c, level) in alone.items() if rules[k].enabled]))
-    none = [F.lit(None).cast("bigint").alias("burst_count"), F.lit(None).cast("string").alias("burst_first_id")]
-    single = events.select("id", F.inline(marks)).select("id", "rule_id", "level", *none, F.lit(None).cast("string").alias("note"))
+    columns = {"burst_count": "bigint", "burst_first_id": "string", "burst_span": "bigint", "burst_key": "string", "note": "string"}
+
+    def hit(df: DataFrame, rule_id, level, **told) -> DataFrame:
+        as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return df.select("id", as_column(rule_id).alias("rule_id"), as_column(level).alias("level"), *[as_column(told.get(c)).cast(kind).alias(c) for c, kind in columns.items()])
+
+    single = hit(events.select("id", F.inline(marks)), F.col("rule_id"), F.col("level"))
     # Bursts feed four later steps; written once, they are not computed again for each.
     burst_hits = stored(bursts(events, rules), "bursts")
     level_of = F.coalesce(*[F.when(F.col("rule_id") == k, F.lit(rules[k].level)) for k in burst_rules(rules)])
-    ended = burst_hits.select("id", "rule_id", level_of.alias("level"), F.col("count").alias("burst_count"), F.col("first_id").alias("burst_first_id"), F.concat(F.col("count"), F.lit(" events within "), fmt_span(F.col("epoch") - F.col("first_epoch"))).alias("note"))
+    span = F.col("epoch") - F.col("first_epoch")
+    ended = hit(burst_hits, F.col("rule_id"), level_of, burst_count=F.col("count"), burst_first_id=F.col("first_id"), burst_span=span, burst_key=F.col("key"), note=F.concat(F.col("count"), F.lit(" events within "), fmt_span(span)))
     found = attackers(events, burst_hits, rules)
     web, net = found.where("stage <= 2"), found.where("stage <= 4")
     out = [single, ended]
+    level = lambda key: rules[key].level
     if rules["SIGMA-AUTH-0111"].enabled:
         after = followed_logins(events, burst_hits.where("rule_id = 'SIGMA-WEB-0042'"), rules)
-        out.append(after.distinct().select("id", F.lit("SIGMA-AUTH-0111").alias("rule_id"), F.lit(rules["SIGMA-AUTH-0111"].level).alias("level"), *none, F.lit(None).cast("string").alias("note")))
+        out.append(hit(after.distinct(), "SIGMA-AUTH-0111", level("SIGMA-AUTH-0111")))
     if rules["SIGMA-AWS-0031"].enabled:
-        made = events.where(family("ct") & _is(_f("eventName"), rules["SIGMA-AWS-0031"].params["eventName"]) & _is(_f("result"), "success")).select("id", F.coalesce(F.when(_f("src_ip") != "", _f("src_ip")), _f("sourceIPAddress")).alias("ip"))
-        grave = made.join(web, "ip", "left").select("id", F.lit("SIGMA-AWS-0031").alias("rule_id"), F.when(is_public_ip(F.col("ip")) | F.col("reason").isNotNull(), "critical").otherwise(rules["SIGMA-AWS-0031"].level).alias("level"), *none, F.col("reason").alias("note"))
-        out.append(grave)
+        made = events.where(family("ct") & _is(_f("eventName"), rules["SIGMA-AWS-0031"].params["eventName"]) & _is(_f("result"), "success")).select("id", F.coalesce(F.when(_f("sourceIPAddress") != "", _f("sourceIPAddress")), _f("src_ip")).alias("ip"))
+        grave = made.join(web, "ip", "left")
+        out.append(hit(grave, "SIGMA-AWS-0031", F.when(is_public_ip(F.col("ip")) | F.col("reason").isNotNull(), "critical").otherwise(level("SIGMA-AWS-0031")), note=F.col("reason")))
     flows = events.where(family("net"))
     if rules["SIGMA-NET-0019"].enabled:
         p = rules["SIGMA-NET-0019"].params
         reached = flows.where(_is(_f("action"), p["allowActions"])).select("id", _dst().alias("ip")).join(net, "ip")
-        out.append(reached.select("id", F.lit("SIGMA-NET-0019").alias("rule_id"), F.lit(rules["SIGMA-NET-0019"].level).alias("level"), *none, F.col("reason").alias("note")))
+        out.append(hit(reached, "SIGMA-NET-0019", level("SIGMA-NET-0019"), note=F.col("reason")))
     if rules["SIGMA-NET-0022"].enabled:
         p = rules["SIGMA-NET-0022"].params
         sent = flows.where(_is(_f("action"), p["allowActions"]) & is_public_ip(_dst())).select("id", _src().alias("src"), _number(_f("bytes")).alias("bytes"))
         judged = sent.join(host_p99(events, p["p99MinFlows"]), "src", "left")
         # A host's baseline can only lower nothing: the floor holds for every flow, the multiple only where it is higher.
         large = judged.where(F.col("bytes") >= F.greatest(F.lit(float(p["minBytes"])), F.coalesce(F.col("p99") * p["p99Multiplier"], F.lit(0.0))))
-        out.append(large.select("id", F.lit("SIGMA-NET-0022").alias("rule_id"), F.lit(rules["SIGMA-NET-0022"].level).alias("level"), *none, fmt_bytes(F.col("bytes")).alias("note")))
+        out.append(hit(large, "SIGMA-NET-0022", level("SIGMA-NET-0022"), note=fmt_bytes(F.col("bytes"))))
     every = reduce(DataFrame.unionByName, out)
-    name = F.coalesce(*[F.when(F.col("rule_id") == k, F.lit(r.name)) for k, r in rules.items()])
-    return every.withColumn("name", name)
+    names = F.create_map(*[F.lit(x) for k, r in rules.items() for x in (k, r.name)])
+    return every.withColumn("name", F.try_element_at(names, F.col("rule_id"))), found
+
+
+def hits(events: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
+    """The long table of hits: id (event), rule_id, name, level, burst_count, burst_first_id, burst_span, burst_key, note."""
+    return evaluate(prepared(events), rules or RULES)[0]
+
+
+def known_sources(events: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, reason) of cloud calls from addresses that web rules found."""
+    calls = events.where(family("ct")).select("id", _f("sourceIPAddress").alias("ip"))
+    return calls.join(found.where("stage <= 2").select("ip", "reason"), "ip").select("id", "reason")
+
+
+def _effects(rules: dict[str, Rule]) -> tuple[Column, dict[str, Column], dict[str, Column]]:
+    """What hits change on an event: its message, fields that are set, and fields that are set where they are absent.
+
+    ``_rules`` has the event's rule ids, ``_web`` its burst of failed requests, ``_burst`` any burst's count, ``_dst`` and
+    ``_src`` what its ends are known for. Null means no change.
+    """
+    has = lambda key: F.array_contains("_rules", key)
+    given = lambda name, other: F.when(_f(name) != "", _f(name)).otherwise(other)
+    history = F.coalesce(F.when(_f("path") != "", _f("path")), F.when(_f("name") != "", _f("name")), F.col("msg"))
+    sent = fmt_bytes(_number(_f("bytes")))
+    to = F.concat(_dst(), F.when(_f("dst_port") != "", F.concat(F.lit(":"), _f("dst_port"))).otherwise(""))
+    where_to = F.coalesce(F.when(_f("dest") != "", _f("dest")), F.when(_f("path") != "", _f("path")))
+    # The wording of rewritten messages and the names and values of the fields.
+    msg = (
+        F.when(has("SIGMA-WEB-0042"), F.concat_ws(" ", given("http.method", F.lit("-")), _f("http.path"), F.lit("401 —"), F.col("_web.burst_count"), F.lit("attempts in"), F.concat(F.greatest(F.lit(1), "_web.burst_span"), F.lit("s from")), F.col("_web.burst_key")))
+        .when(has("SIGMA-AUTH-0111"), F.concat_ws(" ", given("http.method", F.lit("POST")), _f("http.path"), _f("http.status"), F.lit("— first success from"), _f("src_ip")))
+        .when(has("SIGMA-LNX-0030") & ~F.col("msg").startswith("shell history"), F.concat(F.lit("shell history file truncated — "), history))
+        .when(has("SIGMA-APP-0055"), F.concat(F.lit("bulk export completed — "), F.format_number(exported_rows(), 0), F.lit(" customer records"), F.coalesce(F.concat(F.lit(" to "), where_to), F.lit(""))))
+        .when(has("SIGMA-NET-0022"), F.concat(given("action", F.lit("ALLOW")), F.lit(" "), _src(), F.lit(" → "), to, F.lit(" — "), sent))
+    )
+    sets = {
+        "burst.count": F.col("_burst").cast("string"),
+        "burst.window": F.when(has("SIGMA-WEB-0042"), f"{rules['SIGMA-WEB-0042'].params['window']}s"),
+        "persistence": F.when(has("SIGMA-AWS-0031"), "yes"),
+        "tactic": F.when(has("SIGMA-AWS-0044") | has("SIGMA-LNX-0030"), "defense evasion"),
+        "AuthPackage": F.when(has("SIGMA-WIN-0088"), "NTLM"),
+        "dst.reputation": F.col("_dst"),
+        "bytes_human": F.when(has("SIGMA-NET-0022"), sent),
+    }
+    defaults = {
+        "mfa": F.when(has("SIGMA-AUTH-0111"), "not_presented"),
+        "pii": F.when(has("SIGMA-APP-0055"), "yes"),
+        "direction": F.when(has("SIGMA-NET-0019") | has("SIGMA-NET-0022"), "outbound"),
+        "src.reputation": F.col("_src"),
+    }
+    return msg, sets, defaults
 
 
 def detect(events: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
-    """Events with the rules' hits attached, each rule once, severity raised to the gravest hit's, and bursts counted."""
-    own = hits(events, rules)
-    order = F.sort_array(F.collect_list(F.struct("rule_id", "name", "level")))
-    per_event = own.dropDuplicates(["id", "rule_id"]).groupBy("id").agg(order.alias("_hits"), F.max(sev_rank(F.col("level"))).alias("_rank"), F.max("burst_count").alias("_burst"))
-    joined = events.join(per_event, "id", "left")
+    """Events with the rules' hits attached, each rule once, severity raised to the gravest hit's, messages and fields as the hits tell."""
+    rules, ready = rules or RULES, prepared(events)
+    own, found = evaluate(ready, rules)
+    one = F.struct("rule_id", "name", "level")
+    only = lambda key, column: F.max(F.when(F.col("rule_id") == key, column))
+    per_event = own.dropDuplicates(["id", "rule_id"]).groupBy("id").agg(
+        F.sort_array(F.collect_list(one)).alias("_hits"), F.max(sev_rank(F.col("level"))).alias("_rank"), F.max("burst_count").alias("_burst"),
+        only("SIGMA-WEB-0042", F.struct("burst_count", "burst_span", "burst_key")).alias("_web"), only("SIGMA-NET-0019", F.col("note")).alias("_dst"),
+    )
+    told = per_event.join(known_sources(ready, found).withColumnRenamed("reason", "_src"), "id", "full").withColumn("_rules", F.transform(F.coalesce("_hits", F.array().cast("array<struct<rule_id:string,name:string,level:string>>")), lambda h: h["rule_id"]))
+    joined = prepared(events.join(told, "id", "left"))
     added = F.transform(F.coalesce("_hits", F.array().cast("array<struct<rule_id:string,name:string,level:string>>")), lambda h: F.struct(h["rule_id"].alias("id"), h["name"].alias("name"), h["level"].alias("level")))
     kept = F.filter("detections", lambda d: ~F.exists(added, lambda a: a["id"] == d["id"]))
     raised = sev_name(F.greatest(sev_rank(F.col("sev")), F.coalesce("_rank", F.lit(0))))
-    counted = F.map_concat(F.map_filter("fields", lambda k, _: k != "burst.count"), F.create_map(F.lit("burst.count"), F.col("_burst").cast("string")))
-    fields = F.when(F.col("_burst").isNull(), F.col("fields")).otherwise(counted)
-    return joined.withColumn("detections", F.concat(kept, added)).withColumn("sev", raised).withColumn("fields", fields).drop("_hits", "_rank", "_burst")
+    msg, sets, defaults = _effects(rules)
+    entries = lambda named: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in named.items()]), lambda e: e["value"].isNotNull()))
+    changed = joined.withColumn("_set", entries(sets)).withColumn("_default", entries(defaults))
+    left = F.map_filter("fields", lambda k, _: ~F.map_contains_key("_set", k))
+    fresh = F.map_filter("_default", lambda k, _: ~F.map_contains_key("fields", k))
+    fields = F.when(F.col("_rules").isNull(), F.col("fields")).otherwise(F.map_concat(left, F.col("_set"), fresh))
+    out = {"detections": F.concat(kept, added), "sev": raised, "fields": fields, "msg": F.coalesce(msg, F.col("msg"))}
+    return changed.select(*[out[c].alias(c) if c in out else c for c in events.columns])
 
 
 def anomalies(detected: DataFrame, samples: int = 5) -> DataFrame:

@@ -82,6 +82,15 @@ def sources(events: DataFrame) -> DataFrame:
     return events.groupBy("source_id", "file", "source").agg(F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+def source_states(source_rows: DataFrame) -> DataFrame:
+    """One row: how many sources wait for parsing, are not done yet, and need a person's decision.
+
+    ``source_rows`` has state (READY, REVIEW or MAP) and parsed, whether the second phase has run.
+    """
+    undone, asked = ~F.col("parsed"), F.col("state") != "READY"
+    return source_rows.agg(F.count("*").alias("sources"), F.count_if(undone & ~asked).alias("pending"), F.count_if(undone).alias("outstanding"), F.count_if(asked).alias("needs_action"))
+
+
 def field_vocabulary(events: DataFrame) -> DataFrame:
     return events.select(F.explode(F.map_keys("fields")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
@@ -101,7 +110,7 @@ def case_snapshot(events: DataFrame) -> DataFrame:
 
 def entity_profile(events: DataFrame, entity: str, top: int = 8, sample: int = 5) -> dict[str, DataFrame]:
     """What is known of an entity: its events' count, facets, histogram, a spread sample, and mentions in text by source."""
-    own = where(events, node_query(entity)).cache()
+    own = where(events, node_query(entity))
     mentions = where(events, '"' + entity.replace("\\", "\\\\").replace('"', '\\"') + '"').groupBy("source").agg(F.count("*").alias("mentions"))
     return {
         "count": own.agg(F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")),

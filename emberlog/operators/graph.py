@@ -48,22 +48,39 @@ AUTH_WORDS = ["login", "logon", "auth", "signin", "sign-in", "password", "creden
 WRITE_WORDS = ["write", "wrote", "create", "created", "modif", "put", "upload", "export", "save", "copy", "cp ", "mv ", "rename"]
 READ_WORDS = ["read", "open", "get", "download", "cat ", "type ", "less ", "more ", "view", "access"]
 DELETE_WORDS = ["delet", "remove", "unlink", "rm ", "del ", "truncat", "wipe", "shred", "purge"]
-#: Longer values are cut.
+DENIED_WORDS = ["denied", "forbidden", "403", "block"]
+DNS_WORDS = ["query", "resolv", "dns"]
+USER_HINTS = ["user", "sudo:", "account", "failed", "accepted"]
+NO_PROCESS = ["t", "line", "col"]
+AUTH_RULES = ["SIGMA-AUTH", "SIGMA-LNX-0012", "SIGMA-LNX-0045", "SIGMA-WIN-0140"]
+#: Longer values are no names of anything.
 VALUE_LENGTH = 200
 
 
+_NAMED_FIELDS = sorted({n for names in (SRC_IP, DST_IP, DST_PORT, USER, HOST, PROCESS, PARENT, PID, PARENT_PID, FILE, HASHES, DOMAIN, URLS, EMAILS, SESSION, KEYS, PODS, SERVICES, ACTIONS) for n in names})
+
+
+def _bare(value: Column) -> Column:
+    return F.regexp_replace(value, "^[\\s'\"]+|[\\s'\"]+$", "")
+
+
 def _values(names: list[str]) -> Column:
-    return F.filter(F.array(*[F.try_element_at("fields", F.lit(n)) for n in names]), lambda v: v.isNotNull() & (v != ""))
+    """Values of the named fields in the names' order, out of ``known``, the entries of all fields that any list names."""
+    place = lambda e: F.struct(F.array_position(F.array(*map(F.lit, names)), e["key"]).alias("at"), e["value"].alias("value"))
+    own = F.array_sort(F.transform(F.filter("known", lambda e: e["key"].isin(names)), place))
+    return F.array_distinct(F.transform(own, lambda x: x["value"]))
 
 
 def _clean(values: Column) -> Column:
-    trimmed = F.transform(values, lambda v: F.substring(F.trim(v), 1, VALUE_LENGTH))
-    return F.array_distinct(F.filter(trimmed, lambda v: v.isNotNull() & ~F.lower(v).isin(STOP)))
+    """Values that can name a node, each once."""
+    bare = F.transform(values, _bare)
+    return F.array_distinct(F.filter(bare, lambda v: v.isNotNull() & ~F.lower(v).isin(STOP) & (F.length(v) <= VALUE_LENGTH)))
 
 
-def _in_text(column: str, pattern: str, hints: list[str], group: int = 1) -> Column:
-    """Matches in a text, looked for only where a plain substring says that there can be some."""
-    return F.when(any_of([F.col(column).contains(h) for h in hints]), text.every(F.col(column), pattern, group)).otherwise(F.array().cast("array<string>"))
+def _in_text(pattern: str, hints: list[str], group: int = 1, low: bool = False) -> Column:
+    """Matches in an event's text, looked for only where a plain substring says that there can be some."""
+    where = F.col("low" if low else "raw")
+    return F.when(any_of([where.contains(h) for h in hints]), text.every(F.col("raw"), pattern, group)).otherwise(F.array().cast("array<string>"))
 
 
 def _with(*arrays: Column) -> Column:
@@ -71,41 +88,62 @@ def _with(*arrays: Column) -> Column:
 
 
 def extract(events: DataFrame) -> DataFrame:
-    """Events with an array column for each type of entity, and flags that decide about relations."""
-    low = F.lower("raw")
-    ips = lambda v: network.find_ipv4(v)
-    src = _clean(F.flatten(F.transform(_values(SRC_IP), ips)))
-    dst = _clean(F.flatten(F.transform(_values(DST_IP), ips)))
-    emails = _clean(_with(F.flatten(F.transform(_values(EMAILS), lambda v: text.every(v, text.EMAIL))), _in_text("raw", text.EMAIL, ["@"])))
-    urls = _clean(_with(F.filter(_values(URLS), lambda v: v.contains("://")), _in_text("raw", text.URL, ["://"])))
-    has = lambda words: any_of([low.contains(w) for w in words])
-    action = F.lower(F.concat_ws(" ", _values(ACTIONS), F.substring("msg", 1, 200)))
-    said = lambda words: any_of([action.contains(w) for w in words])
-    outcome = F.when(said(SUCCESS) & said(FAILURE), "mixed").when(action.contains("denied"), "denied").when(said(FAILURE), "failure").when(said(SUCCESS), "success").otherwise("")
-    return events.select(
-        "id", "id_seq", "ts", "source", "file", "msg", sev_rank(F.col("sev")).alias("rank"), F.size("detections").alias("hits"),
-        src.alias("src"), dst.alias("dst"),
-        _clean(network.find_ipv4(F.col("raw"))).alias("text_ip"),
-        _clean(F.transform(_with(F.array("user"), _values(USER)), lambda v: text.clean_user(v))).alias("user"),
-        _clean(F.filter(_with(F.array("host"), _values(HOST)), lambda v: ~v.rlike(f"^{network.IPV4}$") & ~v.rlike(r"\s"))).alias("host"),
-        _clean(F.transform(_values(PROCESS), text.proc_label)).alias("process"),
-        _clean(F.transform(_values(PARENT), text.proc_label)).alias("parent"),
-        _clean(_with(F.filter(_values(PID), lambda v: v.rlike("^[0-9]+$")), _in_text("raw", text.PROC_PID, ["["], 2))).alias("pid"),
-        _clean(F.filter(_values(PARENT_PID), lambda v: v.rlike("^[0-9]+$"))).alias("parent_pid"),
-        _clean(_with(F.filter(_values(FILE), lambda v: v.rlike(r"[\\/]") & ~v.contains("://")), _in_text("raw", text.WIN_PATH, [":\\"]), _in_text("raw", text.UNIX_PATH, ["/"]))).alias("path"),
-        _clean(_with(F.flatten(F.transform(_values(HASHES), lambda v: text.every(v, text.HASH))), text.every(F.col("raw"), text.HASH))).alias("hash"),
-        _clean(F.transform(_with(_values(DOMAIN), F.transform(urls, network.url_host)), network.clean_domain)).alias("domain"),
-        urls.alias("url"), emails.alias("email"),
-        _clean(F.filter(_values(DST_PORT), lambda v: v.rlike("^[0-9]{1,5}$"))).alias("port"),
-        _clean(_with(_values(KEYS), _in_text("raw", text.ACCESS_KEY, ["AKIA", "ASIA"]), _in_text("raw", text.KEY_PRINT, ["SHA256:"]))).alias("key"),
-        _clean(_values(SESSION)).alias("session"), _clean(_values(PODS)).alias("pod"), _clean(_values(SERVICES)).alias("service"),
-        _clean(_in_text("raw", text.REGISTRY, ["HK", "hk"])).alias("registry"),
-        has(AUTH_WORDS).alias("auth"), (F.size(_values(DOMAIN)) > 0).alias("dns"), outcome.alias("outcome"),
-        F.when(said(DELETE_WORDS), "deleted").when(said(WRITE_WORDS), "wrote").when(said(READ_WORDS), "read").otherwise("co_occurred").alias("access"),
+    """Events with an array column for each type of entity, and flags that decide about relations.
+
+    Done in three narrow steps, as one would be too large for a compiled stage: the fields that say anything, what fields
+    and text hold, and what follows from both.
+    """
+    about = ["id", "id_seq", "ts", "source", "file", "msg", "rank", "hits"]
+    entry = lambda e: F.struct(e["key"].alias("key"), _bare(e["value"]).alias("value"))
+    known = F.filter(F.transform(F.filter(F.map_entries("fields"), lambda e: e["key"].isin(_NAMED_FIELDS)), entry), lambda e: ~F.lower(e["value"]).isin(STOP))
+    first = events.select(
+        "id", "id_seq", "ts", "source", "file", "msg", "host", "user", "raw", F.lower("raw").alias("low"), sev_rank(F.col("sev")).alias("rank"), F.size("detections").alias("hits"),
+        F.exists("detections", lambda d: any_of([d["id"].startswith(r) for r in AUTH_RULES])).alias("auth_hit"), known.alias("known"),
+    )
+    ips = lambda v: F.filter(network.find_ipv4(v), network.plausible_ip)
+    v6 = lambda v: F.when(v.contains(":"), network.find_ipv6(v)).otherwise(F.array().cast("array<string>"))
+    labelled = lambda values: F.transform(values, text.proc_label)
+    tagged = F.when(F.col("raw").contains("["), F.filter(F.arrays_zip(text.every(F.col("raw"), text.PROC_PID, 1).alias("name"), text.every(F.col("raw"), text.PROC_PID, 2).alias("pid")), lambda x: ~F.lower(x["name"]).isin(NO_PROCESS))).otherwise(F.array().cast("array<struct<name:string,pid:string>>"))
+    number = lambda v: v.rlike("^[0-9]+$")
+    port = F.coalesce(F.get(_values(DST_PORT), F.lit(0)), F.get(_in_text(text.ENDPOINT, ["."], 2), F.lit(0)))
+    action = F.lower(F.concat_ws(" ", F.array_join(_values(ACTIONS), " "), F.substring("msg", 1, 200)))
+    second = first.withColumn("tagged", tagged).select(
+        *about, "low", "auth_hit", "host", action.alias("action"),
+        F.flatten(F.transform(_values(SRC_IP), lambda v: F.concat(ips(v), v6(v)))).alias("src"),
+        F.flatten(F.transform(_values(DST_IP), ips)).alias("dst"),
+        F.when(F.col("raw").contains("."), ips(F.col("raw"))).otherwise(F.array().cast("array<string>")).alias("text_ip"),
+        F.transform(_with(F.array("user"), _values(USER), _in_text(text.USER_IN_TEXT, USER_HINTS, low=True)), text.clean_user).alias("user"),
+        F.filter(_with(F.array("host"), _values(HOST)), lambda v: text.plausible_host(v) & ~v.rlike(f"^{network.IPV4}$")).alias("hosts"),
+        labelled(_with(_values(PROCESS), F.transform("tagged", lambda x: x["name"]))).alias("process"),
+        labelled(_values(PARENT)).alias("parent"),
+        F.filter(_with(_values(PID), F.transform("tagged", lambda x: x["pid"]), _in_text(text.PID_PAIR, ["pid", "process"], low=True)), number).alias("pid"),
+        F.filter(_values(PARENT_PID), number).alias("parent_pid"),
+        F.filter(_with(_values(FILE), _in_text(text.WIN_PATH, [":\\"]), _in_text(text.UNIX_PATH, ["/"])), lambda v: (F.length(v) > 2) & ~number(v) & ~v.rlike(f"^{network.IPV4}$") & ~text.noise_file(v)).alias("path"),
+        F.transform(_with(F.flatten(F.transform(_values(HASHES), lambda v: text.every(v, text.HASH))), text.every(F.col("raw"), text.HASH)), F.lower).alias("hash"),
+        _with(_values(URLS), _in_text(text.URL, ["http"], low=True)).alias("urls"),
+        _with(_values(DOMAIN), _in_text(text.DOMAIN, ["."])).alias("names"),
+        F.transform(_with(F.filter(_values(EMAILS), lambda v: v.rlike(f"^{text.EMAIL}$")), _in_text(text.EMAIL, ["@"])), F.lower).alias("email"),
+        F.array(F.when(port.rlike("^[0-9]{1,5}$") & (port.try_cast("int") < 65536), port)).alias("port"),
+        _with(_values(KEYS), _in_text(text.ACCESS_KEY, ["AKIA", "ASIA"]), _in_text(text.KEY_PRINT, ["SHA256:"])).alias("key"),
+        F.filter(_values(SESSION), lambda v: F.length(v).between(3, 80)).alias("session"),
+        F.slice(_values(PODS), 1, 1).alias("pod"), F.slice(_values(SERVICES), 1, 1).alias("service"),
+        _in_text(text.REGISTRY, ["hk"], low=True).alias("registry"),
+    )
+    words = lambda column, some: any_of([F.col(column).contains(w) for w in some])
+    won, lost = words("action", SUCCESS), words("action", FAILURE)
+    outcome = F.when(won & lost, "mixed").when(lost & words("action", DENIED_WORDS), "denied").when(lost, "failure").when(won, "success").otherwise("")
+    domains = _clean(F.transform(F.concat("names", F.transform("urls", network.url_host)), network.clean_domain))
+    arrays = ["dst", "user", "process", "parent", "pid", "parent_pid", "path", "hash", "email", "port", "key", "session", "pod", "registry"]
+    third = second.select(
+        *about, *[_clean(F.col(c)).alias(c) for c in arrays], _clean(F.col("src")).alias("src"), _clean(F.array_except("text_ip", F.concat("src", "dst"))).alias("text_ip"),
+        _clean(F.col("hosts")).alias("host"), _clean(F.array_except("service", F.array("host"))).alias("service"), domains.alias("domain"), (F.size("urls") > 0).alias("web"),
+        (words("low", AUTH_WORDS) | F.col("auth_hit")).alias("auth"), (F.lower("source").contains("dns") | words("low", DNS_WORDS)).alias("dns_words"), outcome.alias("outcome"), words("low", WRITE_WORDS).alias("writes"),
+        F.when(words("low", DELETE_WORDS), "deleted").when(words("low", WRITE_WORDS), "wrote").when(words("low", READ_WORDS), "read").otherwise("co_occurred").alias("access"),
     )
+    return third.withColumn("dns", F.col("dns_words") & (F.size("domain") > 0)).drop("dns_words")
 
 
-NODE_COLUMNS = [("ip", "src"), ("ip", "dst"), ("ip", "text_ip"), ("user", "user"), ("host", "host"), ("process", "process"), ("process", "parent"), ("pid", "pid"), ("pid", "parent_pid"), ("file", "path"), ("hash", "hash"), ("domain", "domain"), ("url", "url"), ("port", "port"), ("email", "email"), ("key", "key"), ("session", "session"), ("pod", "pod"), ("service", "service"), ("registry", "registry")]
+NODE_COLUMNS = [("ip", "src"), ("ip", "dst"), ("ip", "text_ip"), ("user", "user"), ("host", "host"), ("process", "process"), ("process", "parent"), ("pid", "pid"), ("pid", "parent_pid"), ("file", "path"), ("hash", "hash"), ("domain", "domain"), ("port", "port"), ("email", "email"), ("key", "key"), ("session", "session"), ("pod", "pod"), ("service", "service"), ("registry", "registry")]
 
 
 def _named(kind: str, column: str) -> Column:
@@ -119,60 +157,56 @@ def event_nodes(extracted: DataFrame) -> DataFrame:
 
 
 def event_edges(extracted: DataFrame) -> DataFrame:
-    """One row for each event and relation (src, dst, rel).
+    """One row for each event and relation (src, dst, rel, why).
 
-    Ends are crossed by exploding one side and then the other, so no row holds a cross product.
+    Ends are crossed by exploding one side and then the other, so no row holds a cross product. An event whose entities
+    have no relation of their own links its first two anchors with what else is there, domains only as what was asked for.
     """
-
-    def cross(a: Column, b: Column, rel) -> Column:
-        rel = rel if isinstance(rel, Column) else F.lit(rel)
-        return F.struct(a.alias("srcs"), b.alias("dsts"), rel.alias("rel"))
-
     n = {c: _named(kind, c) for kind, c in NODE_COLUMNS}
     empty = F.array().cast("array<string>")
-    when = lambda c, a: F.when(c, a).otherwise(empty)
     some = lambda c: F.size(c) > 0
     first = lambda *names: reduce(lambda rest, c: F.when(some(c), n[c]).otherwise(rest), reversed(names), empty)
-    others = _named("ip", "other_ip")
+    host = F.slice(n["host"], 1, 1)
     dns, auth = F.col("dns"), F.col("auth")
-    actor = first("process", "user")
-    made = [
-        cross(when(auth, n["user"]), first("src", "text_ip"), "auth_from"),
-        cross(n["src"], n["dst"], "connected_to"),
-        cross(n["dst"], n["port"], "connected_to"),
-        cross(when(~some("dst") & ~auth, n["src"]), n["host"], "connected_to"),
-        cross(n["user"], n["process"], "ran"),
-        cross(n["process"], n["host"], "on_host"),
-        cross(n["process"], n["pid"], "session"),
-        cross(n["parent"], n["process"], "spawned"),
-        cross(n["parent_pid"], n["pid"], "spawned"),
-        cross(actor, n["path"], F.col("access")),
-        cross(n["path"], n["hash"], "session"),
-        cross(when(~some("process") & ~some("user"), n["path"]), n["host"], "on_host"),
-        cross(actor, n["registry"], F.when(F.col("access") == "read", "read").otherwise("wrote")),
-        cross(when(dns, first("src", "host", "text_ip")), n["domain"], "resolved"),
-        cross(when(~dns, first("src", "user", "text_ip", "host")), n["url"], "requested"),
-        cross(n["user"], n["key"], "used_key"),
-        cross(n["key"], n["src"], "auth_from"),
-        cross(n["user"], n["session"], "session"),
-        cross(n["session"], n["src"], "auth_from"),
-        cross(n["user"], n["pod"], "ran"),
-        cross(n["pod"], n["service"], "on_host"),
-        cross(n["user"], n["host"], "on_host"),
-        cross(others, n["host"], "co_occurred"),
-        cross(n["user"], n["email"], "session"),
+    actor, access = first("process", "user"), F.col("access")
+    # (condition, starts, ends, relation, why)
+    table = [
+        (auth, n["user"], first("src", "text_ip"), "auth_from", F.concat(F.lit("authentication "), F.when(F.col("outcome") == "", "attempt").otherwise(F.col("outcome")))),
+        (None, n["src"], n["dst"], "connected_to", "network flow"),
+        (some("src"), n["dst"], n["port"], "connected_to", "listening port"),
+        (~some("dst") & ~auth, n["src"], host, "connected_to", "request to host"),
+        (None, n["user"], n["process"], "ran", "process run by account"),
+        (None, n["process"], host, "on_host", "process on host"),
+        (None, n["process"], n["pid"], "session", "process id"),
+        (None, n["parent"], n["process"], "spawned", "parent and child process"),
+        (None, n["parent_pid"], n["pid"], "spawned", "parent and child process id"),
+        (None, actor, n["path"], access, F.when(access == "co_occurred", "file referenced").otherwise(F.concat(F.lit("file "), access))),
+        (None, n["path"], n["hash"], "session", "file hash"),
+        (~some("process") & ~some("user"), n["path"], host, "on_host", "file on host"),
+        (None, actor, n["registry"], F.when(F.col("writes"), "wrote").otherwise("read"), "registry key"),
+        (dns, reduce(lambda rest, c: F.when(some(c[0]), c[1]).otherwise(rest), [("text_ip", n["text_ip"]), ("host", host), ("src", n["src"])], empty), n["domain"], "resolved", "name lookup"),
+        (~dns & F.col("web"), reduce(lambda rest, c: F.when(some(c[0]), c[1]).otherwise(rest), [("host", host), ("text_ip", n["text_ip"]), ("user", n["user"]), ("src", n["src"])], empty), n["domain"], "requested", "web request"),
+        (None, n["user"], n["key"], "used_key", "credential"),
+        (None, n["key"], first("src", "text_ip"), "auth_from", "key used from"),
+        (None, n["user"], n["session"], "session", "session id"),
+        (None, n["session"], n["src"], "auth_from", "session source"),
+        (None, n["user"], n["pod"], "ran", "action on pod"),
+        (None, n["pod"], n["service"], "on_host", "pod of service"),
+        (None, n["user"], host, "on_host", "account seen on host"),
+        (None, n["text_ip"], host, "co_occurred", "address seen on host"),
+        (None, n["user"], n["email"], "session", "email address"),
     ]
+    text_of = lambda x: x if isinstance(x, Column) else F.lit(x)
+    side = lambda a, b, rel, why: F.struct(a.alias("srcs"), b.alias("dsts"), text_of(rel).alias("rel"), text_of(why).alias("why"))
+    sides = F.array(*[side(a if c is None else F.when(c, a).otherwise(empty), b, rel, why) for c, a, b, rel, why in table])
     linked = lambda s: (F.size(s["srcs"]) > 0) & (F.size(s["dsts"]) > 0) & (F.size(F.array_union(s["srcs"], s["dsts"])) > 1)
-    own = extracted.withColumn("other_ip", F.array_except("text_ip", F.concat("src", "dst"))).withColumn("sides", F.filter(F.array(*made), linked))
-    anchors = F.slice(_with(n["user"], n["host"], n["src"]), 1, 2)
-    rest = F.slice(F.array_except(F.flatten(F.array(*n.values())), anchors), 1, 6)
-    fallback = F.array(cross(anchors, rest, "co_occurred"))
     about = ["id", "id_seq", "ts", "source", "file", "rank", "outcome"]
-    sided = own.select(*about, F.when(F.size("sides") > 0, F.col("sides")).otherwise(fallback).alias("sides"))
-    starts = F.array_distinct(F.flatten(F.transform("sides", lambda s: F.transform(s["srcs"], lambda x: F.struct(x.alias("src"), s["rel"].alias("rel"))))))
-    started = sided.select(*about, "sides", F.inline(starts))
-    ends = F.flatten(F.transform(F.filter("sides", lambda s: (s["rel"] == F.col("rel")) & F.array_contains(s["srcs"], F.col("src"))), lambda s: s["dsts"]))
-    return started.select(*about, "src", "rel", F.explode(F.array_except(ends, F.array("src"))).alias("dst")).select(*about, "src", "dst", "rel")
+    own = extracted.select(*about, F.filter(sides, linked).alias("sides"), F.concat(host, n["user"], n["src"], n["text_ip"]).alias("anchors"), F.flatten(F.array(*[v for c, v in n.items() if c != "domain"])).alias("others"), n["domain"].alias("names"))
+    anchors = F.slice("anchors", 1, 2)
+    fallback = F.array(side(anchors, F.slice(F.array_except("others", "anchors"), 1, 6), "co_occurred", "seen together"), side(anchors, F.slice("names", 1, 6), "requested", "seen with"))
+    sided = own.select(*about, F.inline(F.when(F.size("sides") > 0, F.col("sides")).otherwise(fallback)))
+    started = sided.select(*about, F.explode("srcs").alias("src"), "dsts", "rel", "why")
+    return started.select(*about, "src", F.explode("dsts").alias("dst"), "rel", "why").where("src <> dst")
 
 
 def _tally(long: DataFrame, key: list[str], by: str) -> DataFrame:
@@ -188,11 +222,11 @@ def nodes(per_event: DataFrame) -> DataFrame:
 
 
 def edges(per_event: DataFrame, sample: int = 20) -> DataFrame:
-    """Aggregated edges: count, range, severity, outcomes, files and the first events."""
+    """Aggregated edges: count, range, severity, outcomes, commonest reason, files and the first events."""
     key = ["src", "dst", "rel"]
     once = per_event.groupBy(*key).agg(
         F.count("*").alias("count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max("rank").alias("rank"),
-        F.array_sort(F.array_remove(F.collect_set("outcome"), "")).alias("outcomes"), F.array_sort(F.collect_set("file")).alias("files"),
+        F.array_sort(F.array_remove(F.collect_set("outcome"), "")).alias("outcomes"), F.mode("why", True).alias("why"), F.array_sort(F.collect_set("file")).alias("files"),
     )
     place = F.row_number().over(W.partitionBy(*key).orderBy(F.col("ts").asc_nulls_last(), "id_seq"))
     few = per_event.withColumn("place", place).where(F.col("place") <= sample).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("event_ids"))

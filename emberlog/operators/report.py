@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from emberlog.functions.severity import sev_name, sev_rank
 
@@ -42,9 +40,12 @@ def markdown(title: str, summary_row, finding_rows: list, indicator_rows: list)
     return "\n".join(lines + [f"| {escape(i['value'])} | {i['kind']} | {i['count']} | {', '.join(i['files'])} |" for i in indicator_rows]) + "\n"
 
 
-@F.pandas_udf(T.StringType())
-def _object_id(kind: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([f"{k}--{uuid.uuid5(NAMESPACE, k + t)}" for k, t in zip(kind, text, strict=True)])
+def _object_id(kind: Column, text: Column) -> Column:
+    """``kind--`` and the name-based (version 5) identifier of a text: SHA-1 of the namespace and the text, cut to its form."""
+    digest = F.sha1(F.concat(F.lit(bytearray(NAMESPACE.bytes)), F.concat(kind, text).cast("binary")))
+    part = lambda at, n: F.substring(digest, at, n)
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(kind, F.lit("--"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
 
 
 def stix_objects(indicators: DataFrame, finding_rows: DataFrame) -> DataFrame:
@@ -61,10 +62,16 @@ def stix_objects(indicators: DataFrame, finding_rows: DataFrame) -> DataFrame:
     when = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     first = indicators.select(F.lit("indicator").alias("type"), F.lit("2.1").alias("spec_version"), F.concat_ws(" ", "kind", "value").alias("name"), pattern.alias("pattern"), F.lit("stix").alias("pattern_type"), when("first_ts").alias("valid_from"))
     second = finding_rows.select(F.lit("attack-pattern").alias("type"), F.lit("2.1").alias("spec_version"), F.concat_ws(" ", "id", "title").alias("name"), F.concat(F.lit("Rules: "), F.array_join("rules", ", ")).alias("description"), when("start").alias("valid_from"))
-    to = lambda df, key: df.withColumn("id", _object_id("type", F.col(key))).select("id", F.to_json(F.struct("id", *df.columns)).alias("json"))
+    to = lambda df, key: df.withColumn("id", _object_id(F.col("type"), F.col(key))).select("id", F.to_json(F.struct("id", *df.columns)).alias("json"))
     return to(first, "pattern").unionByName(to(second, "name"))
 
 
+def report_json(summary_frame: DataFrame, finding_rows: DataFrame, indicators: DataFrame) -> DataFrame:
+    """The report as JSON, one object a row: its summary, then each finding and each indicator under its kind."""
+    rows = lambda df, kind: df.select(F.lit(kind).alias("part"), F.to_json(F.struct(*df.columns)).alias("json"))
+    return rows(summary_frame, "summary").unionByName(rows(finding_rows, "finding")).unionByName(rows(indicators, "indicator"))
+
+
 def stix_bundle(objects: list[str]) -> str:
     """The bundle of objects that are already JSON."""
     return f'{{"type":"bundle","id":"bundle--{uuid.uuid5(NAMESPACE, "".join(sorted(objects)))}","objects":[{",".join(objects)}]}}'

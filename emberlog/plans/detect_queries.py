@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.severity import sev_rank
-from emberlog.operators import correlate, detections, graph, iocs, report
+from emberlog.operators import bursts, cases, correlate, detections, graph, iocs, report, search
 from emberlog.operators.durable import stored
 from emberlog.plans.search_queries import burst_sql
 from emberlog.plans.views import EVENTS_SQL, log_events
@@ -40,7 +40,7 @@ def query(sql: str | None = None):
     return add
 
 
-def _named_bursts(name: str, key: str, where: str, window: int, least: int) -> str:
+def named_bursts(name: str, key: str, where: str, window: int, least: int) -> str:
     text = burst_sql(key, where, window, least)
     for old in ("k", "n", "c", "b", "bursts"):
         text = text.replace(f", {old} AS (", f", {name}_{old} AS (").replace(f"\n{old} AS (", f"\n{name}_{old} AS (")
@@ -52,10 +52,10 @@ _LOGIN = "regexp_matches(f_path, '(?i)/(login|signin|sign-in|auth|authenticate|s
 #: ``hits`` (id, rule_id, level, burst_count) as the rules above make them on these tables; no source of the others occurs.
 HITS_SQL = (
     EVENTS_SQL
-    + _named_bursts("web", "f_src_ip", "f_status = '401'", 86_400, 2)
-    + _named_bursts("err", "f_path", "f_status LIKE '5%'", 86_400, 5)
-    + _named_bursts("ssh", "f_src_ip", "f_result = 'Failed'", 604_800, 2)
-    + _named_bursts("net", "f_src_ip", "f_action = 'deny'", 604_800, 2)
+    + named_bursts("web", "f_src_ip", "f_status = '401'", 86_400, 2)
+    + named_bursts("err", "f_path", "f_status LIKE '5%'", 86_400, 5)
+    + named_bursts("ssh", "f_src_ip", "f_result = 'Failed'", 604_800, 2)
+    + named_bursts("net", "f_src_ip", "f_action = 'deny'", 604_800, 2)
     + f""", attackers AS (SELECT key AS ip, arg_min(reason, stage) AS reason, min(stage) AS stage FROM (SELECT key, '401 burst' AS reason, 1 AS stage FROM web_bursts UNION ALL SELECT key, 'ssh brute force', 4 FROM ssh_bursts UNION ALL SELECT key, 'port scan', 5 FROM net_bursts) GROUP BY 1),
 p99 AS (SELECT f_src_ip AS src, quantile_cont(CAST(f_bytes AS BIGINT), 0.99) AS p99, count(*) AS flows FROM ev WHERE source = 'firewall.edge' GROUP BY 1 HAVING count(*) >= 3),
 large AS (SELECT id FROM ev LEFT JOIN p99 ON src = f_src_ip WHERE f_action = 'allow' AND CAST(f_bytes AS BIGINT) >= greatest(20000000, coalesce(p99, 0))),
@@ -72,6 +72,7 @@ hit AS (SELECT id, max(CASE level WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN
 dv AS (SELECT ev.*, rules, burst_count, greatest(CASE sev WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END, coalesce(hit_rank, 0)) AS rank FROM ev LEFT JOIN hit USING (id))
 """
 )
+CORE = 4
 _SEV = "CASE rank WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'info' END"
 
 
@@ -154,14 +155,63 @@ def clusters(ev):
     return rows.join(members.groupBy("cluster").agg(F.max("phase").alias("phase")), "cluster").select("cluster", "phase", "start", "end", "members", "events", "sev")
 
 
-@query()
+_NAME = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{r.name}'" for k, r in detections.RULES.items()) + " END"
+_SPAN = "CASE WHEN {0} >= 3600 THEN format('{{}}h {{:02d}}m', {0} // 3600, {0} % 3600 // 60) WHEN {0} >= 60 THEN format('{{}}m {{:02d}}s', {0} // 60, {0} % 60) ELSE format('{{}}s', {0}) END"
+_BYTES = "CASE WHEN {0} >= 1073741824 THEN format('{{:.2f}} GB', {0} / 1073741824.0) WHEN {0} >= 1048576 THEN format('{{:.2f}} MB', {0} / 1048576.0) WHEN {0} >= 1024 THEN format('{{:.2f}} KB', {0} / 1024.0) ELSE format('{{}} B', {0}) END"
+_FINDINGS = _CLUSTERS + f""", m AS (SELECT mem.*, row_number() OVER (PARTITION BY cluster ORDER BY epoch, id_seq) AS place, {_NAME.format('list_sort(rules)[1]')} AS rule1,
+  CASE WHEN list_contains(rules, 'SIGMA-APP-0055') THEN 'bulk export completed — ' || format('{{:,}}', CAST(f_rows AS BIGINT)) || ' customer records' WHEN list_contains(rules, 'SIGMA-NET-0022') THEN f_action || ' ' || f_src_ip || ' → ' || f_dst || ' — ' || {_BYTES.format('CAST(f_bytes AS BIGINT)')} END AS loud FROM mem),
+c AS (SELECT cluster, max(phase) AS phase, min(ts) AS start, max(rank) AS rank, count(*) AS n, max(epoch) - min(epoch) AS span, count(DISTINCT source) AS many FROM m GROUP BY 1),
+t AS (SELECT *, 'c' || row_number() OVER (ORDER BY start, cluster) AS cid, CASE phase WHEN 0 THEN CASE WHEN many >= 2 THEN 'ENTITY LINK' ELSE 'FREQUENCY' END WHEN 3 THEN 'ANOMALY' ELSE 'ENTITY LINK' END AS tag FROM c),
+src AS (SELECT cluster, string_agg(source, ',' ORDER BY seen) AS sources FROM (SELECT cluster, source, min(place) AS seen FROM m GROUP BY ALL) GROUP BY 1),
+ru AS (SELECT cluster, {_NAME.format('r')} AS rule, min(place * 100 + i) AS seen FROM (SELECT cluster, place, unnest(list_sort(rules)) AS r, unnest(range(len(rules))) AS i FROM m) GROUP BY ALL),
+ru2 AS (SELECT cluster, string_agg(rule, ',' ORDER BY seen) AS rules FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY seen) AS k FROM ru) WHERE k <= 6 GROUP BY 1),
+evi AS (SELECT cluster, string_agg(id, ',' ORDER BY place) AS evidence FROM m WHERE place <= 5 GROUP BY 1),
+step AS (SELECT cluster, string_agg(strftime(ts, '%H:%M:%S') || ' ' || lower(rule1) || ' (' || source || ')', '; ' ORDER BY place) AS steps FROM m WHERE place <= 6 GROUP BY 1),
+ld AS (SELECT cluster, string_agg(loud, '; ' ORDER BY place) AS loud FROM (SELECT cluster, place, loud, row_number() OVER (PARTITION BY cluster ORDER BY place) AS nth FROM m WHERE loud IS NOT NULL) WHERE nth <= 2 GROUP BY 1),
+sh AS (SELECT cluster, string_agg(e, ', ' ORDER BY k) AS shared, min_by(e, k) AS first_shared FROM (SELECT cluster, e, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, e) AS k FROM (SELECT cluster, e, count(*) AS n FROM m JOIN (SELECT id, e FROM ent WHERE e NOT IN (SELECT e FROM gen)) USING (id) GROUP BY ALL HAVING count(*) >= 2)) WHERE k <= 3 GROUP BY 1),
+lo AS (SELECT source_id, min(epoch) AS lo, count(*) AS total FROM ev WHERE epoch IS NOT NULL GROUP BY 1), bn AS (SELECT id, source_id, (epoch - lo) // 3600 AS bin, total FROM ev JOIN lo USING (source_id) WHERE epoch IS NOT NULL), cb AS (SELECT source_id, bin, count(*) AS in_bin FROM bn GROUP BY ALL), md AS (SELECT source_id, median(in_bin) AS med, count(*) AS bins FROM cb GROUP BY 1),
+ra AS (SELECT id, in_bin / med AS ratio FROM bn JOIN cb USING (source_id, bin) JOIN md USING (source_id) WHERE total >= 30 AND bins >= 3),
+f1 AS (SELECT cluster, rule1, burst_count, f_src_ip, list_contains(rules, 'SIGMA-WEB-0042') AS web, ratio FROM m LEFT JOIN ra USING (id) WHERE place = 1),
+said AS (SELECT *, {_SPAN.format('span')} AS span_text FROM t JOIN src USING (cluster) JOIN ru2 USING (cluster) JOIN evi USING (cluster) JOIN step USING (cluster) JOIN f1 USING (cluster) LEFT JOIN sh USING (cluster) LEFT JOIN ld USING (cluster))
+SELECT cid AS id, tag, start, {_SEV} AS sev, sources, rules, evidence, CASE WHEN tag = 'FREQUENCY' THEN
+    CASE WHEN burst_count IS NOT NULL THEN burst_count || ' events of ' || chr(39) || rule1 || chr(39) || ' from ' || f_src_ip || ' in ' || CASE WHEN web THEN '86400s' ELSE span_text END || coalesce(CASE WHEN ratio > 2 THEN ', ' || format('{{:,.0f}}', ratio) || 'x the usual rate of its source' END, '') || '.'
+    ELSE n || ' detections in ' || span_text || coalesce(CASE WHEN ratio > 2 THEN ', ' || format('{{:,.0f}}', ratio) || 'x the usual rate' END, '') || '.' END || ' Grouped by nearness in time' || coalesce(' and shared ' || first_shared, '') || '.'
+  ELSE 'Sequence: ' || steps || CASE WHEN n > 6 THEN '; …' ELSE '' END || '.' || coalesce(' Linked by ' || shared || ' across ' || many || ' source(s) within ' || span_text || '.', ' Linked by nearness in time within ' || span_text || '.') || CASE WHEN tag = 'ANOMALY' AND loud IS NOT NULL THEN ' Volume: ' || loud || '.' ELSE '' END END AS why FROM said
+"""
+
+
+def _found_clusters(ev: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    detected = _detected(ev)
+    members = stored(correlate.cluster_members(detected), "members")
+    return detected, members, stored(correlate.clusters(members), "clusters")
+
+
+@query(_RECURSIVE(HITS_SQL + _FINDINGS))
 def cluster_findings(ev):
-    members = correlate.cluster_members(_detected(ev))
-    found = report.findings(correlate.clusters(members), members).join(correlate.why(members), "cluster")
-    return found.select("id", "title", "tag", "start", "sev", F.array_join("sources", ",").alias("sources"), F.array_join("rules", ",").alias("rules"), F.array_join("evidence", ",").alias("evidence"), "why")
+    _, members, rows = _found_clusters(ev)
+    told = correlate.why(members, correlate.generic_entities(ev), rows, bursts.burst_ratio(ev, 3600))
+    found = report.findings(rows, members).join(told, "cluster")
+    return found.select("id", "tag", "start", "sev", F.array_join("sources", ",").alias("sources"), F.array_join("rules", ",").alias("rules"), F.array_join("evidence", ",").alias("evidence"), "why")
+
+
+@query(_RECURSIVE(HITS_SQL + _CLUSTERS) + "SELECT (SELECT min(ts) FROM ev) AS first_ts, (SELECT max(ts) FROM ev) AS last_ts, (SELECT coalesce(sum(CAST(f_bytes AS BIGINT)), 0)::BIGINT FROM ev WHERE id IN (SELECT id FROM large)) AS egress_bytes, (SELECT count(DISTINCT cluster) FROM mem) AS clusters, (SELECT count(DISTINCT e) FROM ent) AS entities")
+def timeline_stats(ev):
+    detected, _, rows = _found_clusters(ev)
+    return correlate.timeline_stats(detected, rows)
+
+
+@query(_RECURSIVE(HITS_SQL + _CLUSTERS) + f"SELECT {_SEV.replace('rank', 'max(rank)')} AS severity, format('{{}} events, {{}} with detections, in {{}} clusters.', count(*), count(rules), (SELECT count(DISTINCT cluster) FROM mem)) AS summary FROM dv")
+def report_summary(ev):
+    detected, _, rows = _found_clusters(ev)
+    return report.summary(detected, rows).select("severity", "summary")
+
+
+@query(HITS_SQL + """, h AS (SELECT id, ts, id_seq, source, epoch - lag(epoch) OVER (PARTITION BY source ORDER BY ts NULLS LAST, id_seq) AS g FROM dv WHERE rules IS NOT NULL) SELECT id, g AS gap_seconds, '+' || """ + _SPAN.format("g") + " AS gap FROM h")
+def timeline_gaps(ev):
+    return cases.gaps(_detected(ev).where(F.size("detections") > 0), "source").select("id", "gap_seconds", "gap")
 
 
-@query(HITS_SQL + """, gen AS (SELECT e FROM ent GROUP BY 1 HAVING count(*) > 0.5 * (SELECT count(*) FROM ev)), f AS (SELECT * FROM dv WHERE id_seq % 997 = 3),
+@query(HITS_SQL + """, gen AS (SELECT e FROM ent GROUP BY 1 HAVING count(*) > 0.5 * (SELECT count(*) FROM ev)), f AS (SELECT * FROM dv WHERE id_seq % 20 = 0),
 sh AS (SELECT a.id AS event, b.id AS other, count(*) AS shares FROM ent a JOIN f ON f.id = a.id JOIN ent b ON a.e = b.e AND a.id <> b.id WHERE a.e NOT IN (SELECT e FROM gen) GROUP BY ALL),
 sm AS (SELECT DISTINCT f.id AS event, d.id AS other FROM f JOIN dv d ON list_has_any(f.rules, d.rules) AND f.id <> d.id),
 nr AS (SELECT f.id AS event, d.id AS other FROM f JOIN dv d ON abs(f.epoch - d.epoch) <= 90 AND f.id <> d.id),
@@ -170,7 +220,7 @@ sc AS (SELECT event, other, shares, 2 * shares + CASE WHEN d.rules IS NULL THEN
 SELECT event, other, shares::INT AS shares, score::INT AS score, dt, place FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY score DESC, rank DESC, dt, other)::INT AS place FROM sc) WHERE place <= 7""")
 def correlations_topk(ev):
     detected = _detected(ev)
-    return correlate.correlations(detected, detected.where("id_seq % 997 = 3")).select("event", "other", "shares", "score", "dt", "place")
+    return correlate.correlations(detected, detected.where("id_seq % 20 = 0")).select("event", "other", "shares", "score", "dt", "place")
 
 
 @query(HITS_SQL + """, t AS (SELECT e, sum(CASE WHEN rules IS NULL THEN 0 ELSE 1 END) * 1000 + least(count(*), 999) AS score FROM ent JOIN dv USING (id) GROUP BY 1 ORDER BY score DESC, e LIMIT 48)
@@ -184,18 +234,20 @@ def entity_links(ev):
     return correlate.entity_card(ev, "host-2")[1].select("other", "n")
 
 
-@query(EVENTS_SQL + r""", t AS (SELECT *, substr(regexp_replace(msg, '[0-9]+|\b[0-9a-f]{6,}\b', '#', 'g'), 1, 80) AS template FROM ev)
-SELECT id, template, (SELECT count(*) FROM t u WHERE u.source_id = t.source_id AND u.template = t.template) AS n, round((SELECT count(*) FROM t u WHERE u.source_id = t.source_id AND u.template = t.template) / (SELECT greatest(1.0, (max(epoch) - min(epoch)) / 3600.0) FROM t u WHERE u.source_id = t.source_id), 3) AS per_hour FROM t WHERE id_seq % 997 = 3""")
+@query(EVENTS_SQL + r""", t AS (SELECT *, substr(regexp_replace(msg, '[0-9]+|\b[0-9a-f]{6,}\b', '#', 'g'), 1, 80) AS template FROM ev), c AS (SELECT source_id, template, count(*) AS n FROM t GROUP BY ALL),
+h AS (SELECT source_id, greatest(1.0, (max(epoch) - min(epoch)) / 3600.0) AS hours FROM t GROUP BY 1)
+SELECT id, template, n, round(n / hours, 3) AS per_hour FROM t JOIN c USING (source_id, template) JOIN h USING (source_id)""")
 def event_baseline(ev):
-    return correlate.baseline(ev, ev.where("id_seq % 997 = 3"))
+    return correlate.baseline(ev).select("id", "template", "n", "per_hour")
 
 
-_GRAPH = """, word AS (SELECT *, regexp_matches(lower(raw), 'login|logon|auth|signin|sign-in|password|credential|sshd|kerberos|ntlm') AS auth FROM dv),
-nd AS (SELECT id, id_seq, ts, file, rank, rules, 'ip:' || f_src_ip AS node FROM word UNION SELECT id, id_seq, ts, file, rank, rules, 'ip:' || f_dst FROM word WHERE f_dst IS NOT NULL UNION SELECT id, id_seq, ts, file, rank, rules, 'user:' || "user" FROM word
+_GRAPH = """, word AS (SELECT *, regexp_matches(lower(raw), 'login|logon|auth|signin|sign-in|password|credential|sshd|kerberos|ntlm') AS auth,
+  CASE WHEN NOT contains(f_src_ip, '.0.') THEN f_src_ip END AS ip, CASE WHEN NOT contains(f_dst, '.0.') THEN f_dst END AS to_ip FROM dv),
+nd AS (SELECT id, id_seq, ts, file, rank, rules, 'ip:' || ip AS node FROM word WHERE ip IS NOT NULL UNION SELECT id, id_seq, ts, file, rank, rules, 'ip:' || to_ip FROM word WHERE to_ip IS NOT NULL UNION SELECT id, id_seq, ts, file, rank, rules, 'user:' || "user" FROM word
   UNION SELECT id, id_seq, ts, file, rank, rules, 'host:' || host FROM word UNION SELECT id, id_seq, ts, file, rank, rules, 'process:' || f_program FROM word WHERE f_program IS NOT NULL),
-ed AS (SELECT id, ts, file, rank, 'user:' || "user" AS src, 'ip:' || f_src_ip AS dst, 'auth_from' AS rel FROM word WHERE auth
-  UNION ALL SELECT id, ts, file, rank, 'ip:' || f_src_ip, 'ip:' || f_dst, 'connected_to' FROM word WHERE f_dst <> f_src_ip
-  UNION ALL SELECT id, ts, file, rank, 'ip:' || f_src_ip, 'host:' || host, 'connected_to' FROM word WHERE f_dst IS NULL AND NOT auth
+ed AS (SELECT id, ts, file, rank, 'user:' || "user" AS src, 'ip:' || ip AS dst, 'auth_from' AS rel FROM word WHERE auth AND ip IS NOT NULL
+  UNION ALL SELECT id, ts, file, rank, 'ip:' || ip, 'ip:' || to_ip, 'connected_to' FROM word WHERE to_ip <> ip
+  UNION ALL SELECT id, ts, file, rank, 'ip:' || ip, 'host:' || host, 'connected_to' FROM word WHERE ip IS NOT NULL AND to_ip IS NULL AND NOT auth
   UNION ALL SELECT id, ts, file, rank, 'user:' || "user", 'process:' || f_program, 'ran' FROM word WHERE f_program IS NOT NULL
   UNION ALL SELECT id, ts, file, rank, 'process:' || f_program, 'host:' || host, 'on_host' FROM word WHERE f_program IS NOT NULL
   UNION ALL SELECT id, ts, file, rank, 'user:' || "user", 'host:' || host, 'on_host' FROM word),
@@ -228,11 +280,59 @@ def graph_degree(ev):
     return graph.degree(_edges(ev))
 
 
-@query()
+_RANKED = """, nodes AS (SELECT node, count(*) AS count, sum(coalesce(len(rules), 0))::BIGINT AS hits, min(id_seq) AS first_seq FROM nd GROUP BY node),
+deg AS (SELECT src AS node, count(*) AS degree FROM nbr GROUP BY 1), ranked AS (SELECT *, coalesce(degree, 0) AS d, row_number() OVER (ORDER BY (hits > 0 AND coalesce(degree, 0) > 0) DESC, split_part(node, ':', 1) IN ('port', 'pid', 'session'), hits DESC, coalesce(degree, 0) DESC, count DESC, first_seq, node) AS place FROM nodes LEFT JOIN deg USING (node))
+"""
+
+
+def _sliced(ev: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    per_node, per_edge = _graph(ev)
+    return graph.select(stored(graph.nodes(per_node), "nodes"), stored(graph.edges(per_edge), "edges"), **how)
+
+
+@query(HITS_SQL + _GRAPH + _RANKED + "SELECT node, d AS degree, hits, count FROM ranked WHERE place <= 50")
 def graph_rank_top(ev):
+    return _sliced(ev, limit=50)[0].select("node", "degree", "hits", "count")
+
+
+@query(HITS_SQL + _GRAPH + _RANKED + """, lk AS (SELECT * FROM edges WHERE count >= 2 AND rel IN ('on_host', 'auth_from')), asked AS (SELECT node FROM nodes WHERE contains(lower(split_part(node, ':', 2)), 'svc_1')),
+near AS (SELECT dst AS node FROM lk WHERE src IN (SELECT node FROM asked) UNION SELECT src FROM lk WHERE dst IN (SELECT node FROM asked)),
+pick AS (SELECT node FROM ranked WHERE node IN (SELECT node FROM asked) OR node IN (SELECT node FROM near) ORDER BY node NOT IN (SELECT node FROM asked), place LIMIT 40)
+SELECT src, dst, rel, count FROM lk WHERE src IN (SELECT node FROM pick) AND dst IN (SELECT node FROM pick)""")
+def graph_select(ev):
+    return _sliced(ev, query="SVC_1", min_count=2, relations=["on_host", "auth_from"], limit=40)[1].select("src", "dst", "rel", "count")
+
+
+@query(HITS_SQL + _GRAPH + _RANKED + "SELECT node, place FROM ranked WHERE contains(split_part(node, ':', 2), '45.83.1') AND node LIKE 'ip:%' ORDER BY place LIMIT 20")
+def graph_find(ev):
+    per_node, per_edge = _graph(ev)
+    found = graph.find_nodes(graph.ranked(graph.nodes(per_node), graph.edges(per_edge)), "45.83.1", "ip", 20)
+    every = search.positions(graph.ranked(graph.nodes(per_node), graph.edges(per_edge)), [F.col("order")], "place")
+    return found.select("node").join(every, "node").select("node", (F.col("place") + 1).alias("place"))
+
+
+@query(HITS_SQL + _GRAPH + """, tch AS (SELECT CASE WHEN src = 'host:host-2' THEN dst ELSE src END AS node, count, rank, rel FROM edges WHERE src = 'host:host-2' OR dst = 'host:host-2')
+SELECT node, sum(count)::BIGINT AS count, max(rank) AS rank, array_to_string(list_sort(list(DISTINCT rel)), ',') AS relations FROM tch GROUP BY node ORDER BY rank DESC, count DESC, node LIMIT 60""")
+def graph_node_detail(ev):
     per_node, per_edge = _graph(ev)
-    top, _ = graph.select(stored(graph.nodes(per_node), "nodes"), stored(graph.edges(per_edge), "edges"), limit=50)
-    return top.select("node", "degree", "hits", "count")
+    near = graph.node_detail(graph.nodes(per_node), graph.edges(per_edge), per_node, "host:host-2")["neighbours"]
+    return near.select("node", "count", "rank", F.array_join("relations", ",").alias("relations"))
+
+
+@query(HITS_SQL + _GRAPH + "SELECT id FROM nd WHERE node = 'host:host-2' ORDER BY ts DESC NULLS LAST, id_seq DESC LIMIT 50")
+def graph_node_events(ev):
+    per_node, per_edge = _graph(ev)
+    return graph.node_detail(graph.nodes(per_node), graph.edges(per_edge), per_node, "host:host-2")["events"].select("id")
+
+
+@query(HITS_SQL + _GRAPH + """SELECT src, dst, rel FROM edges UNION ALL SELECT * FROM (VALUES ('host:host-1', 'other:note', 'co_occurred'), ('host:host-1', 'host:host-2', 'connected_to')) v""")
+def graph_overlay(ev):
+    """Authored nodes and edges: a known node and edge are no news, an edge to nowhere is dropped."""
+    spark = ev.sparkSession
+    own_nodes = spark.createDataFrame([("other:note", "other", "note"), ("host:host-1", "host", "host-1")], "node string, type string, value string")
+    own_edges = spark.createDataFrame([("host:host-1", "other:note", "co_occurred"), ("host:host-1", "host:host-2", "connected_to"), ("process:sshd", "host:host-1", "on_host"), ("host:host-1", "other:gone", "co_occurred")], "src string, dst string, rel string")
+    per_node, per_edge = _graph(ev)
+    return graph.overlay(graph.nodes(per_node), graph.edges(per_edge), own_nodes, own_edges)[1].select("src", "dst", "rel")
 
 
 @query(HITS_SQL + _GRAPH + "SELECT src, dst, rel, count FROM edges WHERE count >= 3")
@@ -240,10 +340,9 @@ def graph_min_count(ev):
     return _edges(ev).where("count >= 3").select("src", "dst", "rel", "count")
 
 
-@query(HITS_SQL + _GRAPH + ", c0 AS (SELECT * FROM nbr WHERE src LIKE 'user:%5' OR dst LIKE 'user:%5')" + "".join(f", k{i} AS (SELECT * FROM c{i} WHERE src IN (SELECT src FROM c{i} GROUP BY 1 HAVING count(*) >= 3) AND dst IN (SELECT src FROM c{i} GROUP BY 1 HAVING count(*) >= 3)), c{i + 1} AS (SELECT * FROM k{i})" for i in range(8)) + " SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM c8")
+@query(HITS_SQL + _GRAPH + ", c0 AS (SELECT * FROM nbr)" + "".join(f", k{i} AS MATERIALIZED (SELECT src, dst FROM (SELECT *, count(*) OVER (PARTITION BY src) AS a, count(*) OVER (PARTITION BY dst) AS b FROM c{i}) WHERE a >= {CORE} AND b >= {CORE}), c{i + 1} AS (SELECT * FROM k{i})" for i in range(8)) + " SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM c8")
 def graph_kcore(ev):
-    own = _edges(ev).where("src LIKE 'user:%5' OR dst LIKE 'user:%5'")
-    return graph.k_core(own, 3).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    return graph.k_core(_edges(ev), CORE).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
 _HOPS = ", h0 AS (SELECT 'user:u15' AS node, 0 AS hop), h1 AS (SELECT DISTINCT dst AS node, 1 AS hop FROM nbr WHERE src IN (SELECT node FROM h0) AND dst NOT IN (SELECT node FROM h0)), h2 AS (SELECT DISTINCT dst AS node, 2 AS hop FROM nbr WHERE src IN (SELECT node FROM h1) AND dst NOT IN (SELECT node FROM h0) AND dst NOT IN (SELECT node FROM h1))"
@@ -254,9 +353,17 @@ def graph_khop(ev):
     return graph.neighbourhood(_edges(ev), "user:u15", 2)
 
 
-@query()
+_PATH = ", p0 AS (SELECT 'ip:45.83.1.2' AS node, NULL::VARCHAR AS parent, 0 AS hop)" + "".join(
+    f", s{i} AS (SELECT * FROM p0" + "".join(f" UNION ALL SELECT * FROM p{j}" for j in range(1, i)) + f"), p{i} AS (SELECT dst AS node, min(nbr.src) AS parent, {i} AS hop FROM nbr JOIN p{i - 1} f ON f.node = nbr.src WHERE dst NOT IN (SELECT node FROM s{i}) GROUP BY 1)" for i in range(1, 5)
+) + """, pa AS (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4),
+w4 AS (SELECT * FROM pa WHERE node = 'process:sshd'), w3 AS (SELECT pa.* FROM pa JOIN w4 ON pa.node = w4.parent), w2 AS (SELECT pa.* FROM pa JOIN w3 ON pa.node = w3.parent), w1 AS (SELECT pa.* FROM pa JOIN w2 ON pa.node = w2.parent),
+way AS (SELECT hop - 1 AS step, parent AS a, node AS b FROM (SELECT * FROM w4 UNION ALL SELECT * FROM w3 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w1) WHERE parent IS NOT NULL)
+SELECT step, src, dst, rel, count FROM (SELECT step, src, dst, rel, count, row_number() OVER (PARTITION BY step ORDER BY count DESC, rel DESC, src DESC) AS k FROM way JOIN edges ON (src = a AND dst = b) OR (src = b AND dst = a)) WHERE k = 1"""
+
+
+@query(HITS_SQL + _GRAPH + _PATH)
 def graph_path(ev):
-    return graph.shortest_path(_edges(ev), "user:u15", "process:sshd", 4)
+    return graph.shortest_path(_edges(ev), "ip:45.83.1.2", "process:sshd", 4)
 
 
 @query(HITS_SQL + _GRAPH + "SELECT file, entities, relations FROM (SELECT file, count(DISTINCT node) AS entities FROM nd GROUP BY 1) JOIN (SELECT file, count(DISTINCT src || dst || rel) AS relations FROM ed GROUP BY 1) USING (file)")
@@ -303,8 +410,51 @@ def report_severity(ev):
     return hit.agg(F.max(sev_rank(F.col("sev"))).alias("rank"), F.count("*").alias("hits")).select(F.get(F.array(*map(F.lit, ["info", "low", "medium", "high", "critical"])), F.col("rank")).alias("severity"), "hits")
 
 
-@query()
+_ID = r"""{0} || '--' || regexp_replace(sha1('\x6B\xA7\xB8\x10\x9D\xAD\x11\xD1\x80\xB4\x00\xC0\x4F\xD4\x30\xC8'::BLOB || encode({0} || {1})), '^(.{{8}})(.{{4}}).(.{{3}})(.)(.{{3}})(.{{12}}).*$', '\1-\2-5\3-\4\5-\6')"""
+_VARIANT = "regexp_replace({0}, '^(.*-5...-)(.)(...-.{{12}})$', '\\1') || translate(regexp_replace({0}, '^(.*-5...-)(.)(...-.{{12}})$', '\\2'), '0123456789abcdef', '89ab89ab89ab89ab') || regexp_replace({0}, '^(.*-5...-)(.)(...-.{{12}})$', '\\3')"
+
+
+@query(_RECURSIVE(HITS_SQL + _IOC + _FINDINGS.replace("SELECT cid AS id, tag", ", fin AS (SELECT cid AS id, phase, tag").rstrip() + f"""),
+o AS (SELECT 'indicator' AS type, '[ipv4-addr:value = ' || chr(39) || value || chr(39) || ']' AS what, first_ts AS since, kind || ' ' || value AS name FROM ioc
+  UNION ALL SELECT 'attack-pattern', NULL, start, id || ' ' || CASE phase WHEN 0 THEN 'Probing and failed logins' WHEN 1 THEN 'Access gained' WHEN 2 THEN 'Movement inside' ELSE 'Data leaving, traces removed' END FROM fin), named AS (SELECT *, {_ID.format('type', 'coalesce(what, name)')} AS plain FROM o)
+SELECT {_VARIANT.format('plain')} AS id, type, name, what AS pattern, strftime(since, '%Y-%m-%dT%H:%M:%SZ') AS valid_from FROM named"""))
 def stix_export(ev):
-    detected = _detected(ev)
-    members = correlate.cluster_members(detected)
-    return report.stix_objects(iocs.extract(detected), report.findings(correlate.clusters(members), members))
+    detected, members, rows = _found_clusters(ev)
+    objects = report.stix_objects(iocs.extract(detected), report.findings(rows, members))
+    part = lambda name: F.get_json_object("json", f"$.{name}").alias(name)
+    return objects.select("id", *[part(n) for n in ("type", "name", "pattern", "valid_from")])
+
+
+def text_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and the urls of pages, as events without fields: all that is known of them is in their text."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("doc_id").alias("id_seq"), F.lit("documents").alias("file"), F.col("text").alias("raw"))
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("page_id").alias("id_seq"), F.lit("pages").alias("file"), F.concat(F.lit("visited "), "url").alias("raw"))
+    none = F.array().cast("array<struct<id:string,name:string,level:string>>")
+    return d.unionByName(p).select("id", "id_seq", F.lit(None).cast("timestamp").alias("ts"), F.col("file").alias("source"), "file", F.lit("web-1").alias("host"), F.lit("").alias("user"), F.substring("raw", 1, 200).alias("msg"), F.lit("info").alias("sev"), "raw", F.create_map().cast("map<string,string>").alias("fields"), none.alias("detections"))
+
+
+def _text_query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(stored(graph.extract(text_events(spark, sf_dir)), "extracted"))
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+@_text_query(r"""WITH t AS (SELECT 'd' || doc_id AS id, text AS raw FROM documents UNION ALL SELECT 'p' || page_id, 'visited ' || url FROM pages),
+n AS (SELECT id, 'email:' || lower(unnest(regexp_extract_all(raw, '\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})\b', 1))) AS node FROM t
+  UNION SELECT id, 'hash:' || lower(unnest(regexp_extract_all(raw, '\b([a-fA-F0-9]{64}|[a-fA-F0-9]{40}|[a-fA-F0-9]{32})\b', 1))) FROM t
+  UNION SELECT id, 'domain:' || lower(unnest(regexp_extract_all(raw, '(?i)\b((?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+(?:com|net|org|io))\b', 1))) FROM t
+  UNION SELECT id, 'ip:' || x FROM (SELECT id, unnest(string_split_regex(raw, '[^0-9.]+')) AS x FROM t) WHERE regexp_full_match(x, '(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}')
+    AND (string_split(x, '.')[1] IN ('10', '172', '192') OR NOT list_contains(string_split(x, '.'), '0')) AND x NOT IN ('127.0.0.1', '0.0.0.0', '255.255.255.255'))
+SELECT node, count(*) AS count FROM n WHERE len(node) <= 200 GROUP BY 1""")
+def graph_nodes_text(extracted):
+    """Nodes of the four types that text is searched for by a pattern alone."""
+    return graph.nodes(graph.event_nodes(extracted)).where(F.col("type").isin("email", "hash", "domain", "ip")).select("node", "count")
+
+
+@_text_query()
+def graph_edges_text(extracted):
+    return graph.edges(graph.event_edges(extracted)).select("src", "dst", "rel", "count", "why")

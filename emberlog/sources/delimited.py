@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,9 +113,35 @@ def rename_fields(names: list[str], known: list[str], aliases: dict[str, str] |
     return [by_plain.get(plain(n), re.sub(r"\s+", "_", n)) for n in out]
 
 
-def with_header(spark: SparkSession, path: str, delimiter: str = ",", year: int = 1970, latest: str | None = None) -> DataFrame:
-    """Tables with a header; quoted cells may hold line ends."""
+def header_delimiter(spark: SparkSession, path: str, sampled_lines: int = SAMPLE_LINES) -> str:
+    """The delimiter under which the first lines fall into most cells a row, most of the rows being of one width."""
+    head = [row["value"] for row in spark.read.text(path).limit(sampled_lines).collect()]
+
+    def fit(delimiter: str) -> tuple[float, int]:
+        widths = Counter(len(row) for row in csv.reader(head, delimiter=delimiter) if row)
+        width, rows = max(widths.items(), key=lambda x: (x[1], x[0]), default=(0, 0))
+        return (rows / widths.total() if width > 1 else 0.0, width)
+
+    return max(DELIMITERS, key=fit)
+
+
+def looks_like_header(names: list[str]) -> bool:
+    """Whether cells can be column names: filled, all different, none a number, a time or an address."""
+    plain = [n.strip() for n in names]
+    value = re.compile(rf"[0-9.,:/\-+TZ ]+|{IPV4}")
+    return len(plain) > 1 and all(plain) and len(set(plain)) == len(plain) and not any(value.fullmatch(n) for n in plain)
+
+
+def with_header(spark: SparkSession, path: str, delimiter: str | None = ",", year: int = 1970, latest: str | None = None) -> DataFrame:
+    """Tables with a header; quoted cells may hold line ends. Without a delimiter it is found out.
+
+    A first line that cannot be one of names is data: its columns are called col0, col1 and so on.
+    """
+    delimiter = delimiter or header_delimiter(spark, path)
     df = spark.read.csv(path, sep=delimiter, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
+    if not looks_like_header(df.columns):
+        df = spark.read.csv(path, sep=delimiter, header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
+        df = df.withColumnsRenamed({c: f"col{i}" for i, c in enumerate(df.columns)})
     roles, names = role_names(df.columns), df.columns
     col = lambda role: F.coalesce(F.trim(F.col(f"`{roles[role]}`")), F.lit("")) if role in roles else F.lit("")
     own = df.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_seq"), F.concat_ws(delimiter, *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names]).alias("_raw"))

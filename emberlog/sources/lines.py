@@ -41,6 +41,15 @@ def pairs(text: Column) -> Column:
     return F.map_from_entries(last)
 
 
+_CUT = "\x01"
+
+
+def groups(text: Column, pattern: str, count: int) -> Column:
+    """A pattern's groups 1 to ``count`` in a text, by number, from one match; without a match the array is shorter."""
+    found = F.regexp_replace(text, rf"(?s)^{'' if pattern.startswith('^') else '.*?'}{pattern.removeprefix('^').removesuffix('$')}{'' if pattern.endswith('$') else '.*'}$", "".join(f"{_CUT}${i}" for i in range(1, count + 1)))
+    return F.split(found, _CUT)
+
+
 def put(fields: Column, **values: Column) -> Column:
     """Adds values (double underscores in names stand for dots) where they are not empty and not there yet."""
     fresh = F.map_filter(F.map_from_arrays(F.array(*[F.lit(k.replace("__", ".")) for k in values]), F.array(*values.values())), lambda k, v: v.isNotNull() & (v != ""))
@@ -66,8 +75,8 @@ ACCESS = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "([A-Z]+) ([^" ]*)(?: ([^"]*))?" ([0-
 
 def access_log(lines: DataFrame, year: int = 1970, latest: str | None = None) -> DataFrame:
     """Combined and common access logs, with trailing key=value pairs; other lines are marked as errors."""
-    g = [F.lit("")] + [F.regexp_extract("raw", ACCESS, i) for i in range(1, 13)]
-    ok = F.col("raw").rlike(ACCESS)
+    lines = lines.withColumn("g", groups(F.col("raw"), ACCESS, 12))  # one match a line
+    g, ok = [F.get("g", F.lit(i)) for i in range(13)], F.size("g") == 13
     dash = lambda c, to="": F.when(c == "-", to).otherwise(c)
     fields = put(pairs(g[12]), src_ip=g[1], http__method=g[5], http__path=g[6], http__proto=g[7], http__status=g[8], bytes=dash(g[9], "0"), referer=dash(g[10]), user_agent=dash(g[11]), user__name=dash(g[3]))
     wrong = F.create_map(F.lit("parse_error"), F.lit("unmatched"))
@@ -93,13 +102,24 @@ _LEVELS = ["critical", "critical", "critical", "high", "medium", "low", "info",
 
 def syslog(lines: DataFrame, year: int, latest: str | None = None) -> DataFrame:
     """The newer and the older syslog form and the journal's, tried in this order, and what well-known programs say."""
-    x = lambda rx, i: F.regexp_extract("raw", rx, i)
-    new, old, iso = (F.col("raw").rlike(r) for r in (RFC5424, RFC3164, JOURNAL))
-    pick = lambda a, b, c: F.when(new, x(RFC5424, a) if a else F.lit("")).when(old, x(RFC3164, b) if b else F.lit("")).when(iso, x(JOURNAL, c) if c else F.lit("")).otherwise("")
-    cut = lines.select("*", pick(1, 1, 0).alias("pri"), pick(2, 2, 1).alias("when"), pick(3, 3, 2).alias("at"), pick(4, 4, 3).alias("program"), pick(5, 5, 4).alias("pid"), pick(7, 6, 5).alias("said"), (new | old | iso).alias("ok"))
+    # One match for each form that is tried, and one for each program.
+    forms = lines.withColumn("new", groups(F.col("raw"), RFC5424, 7))
+    forms = forms.withColumn("old", F.when(F.size("new") < 8, groups(F.col("raw"), RFC3164, 6)))
+    forms = forms.withColumn("iso", F.when((F.size("new") < 8) & (F.size("old") < 7), groups(F.col("raw"), JOURNAL, 5)))
+    new, old, iso = F.size("new") == 8, F.coalesce(F.size("old") == 7, F.lit(False)), F.coalesce(F.size("iso") == 6, F.lit(False))
+    pick = lambda a, b, c: F.when(new, F.get("new", F.lit(a)) if a else F.lit("")).when(old, F.get("old", F.lit(b)) if b else F.lit("")).when(iso, F.get("iso", F.lit(c)) if c else F.lit("")).otherwise("")
+    cut = forms.select(*lines.columns, pick(1, 1, 0).alias("pri"), pick(2, 2, 1).alias("when"), pick(3, 3, 2).alias("at"), pick(4, 4, 3).alias("program"), pick(5, 5, 4).alias("pid"), pick(7, 6, 5).alias("said"), (new | old | iso).alias("ok"))
+    said, none = F.col("said"), F.array().cast("array<string>")
+    # Fixed words of a message say which pattern can match it at all.
+    cut = cut.withColumns({
+        "ssh": F.when(said.contains(" from "), groups(said, SSH, 6)).otherwise(none), "invalid": F.when(said.contains("Invalid user"), groups(said, SSH_INVALID, 4)).otherwise(none),
+        "sudo": F.when(F.col("program") == "sudo", groups(said, SUDO, 3)).otherwise(none), "pam": F.when(said.contains("session "), groups(said, PAM, 2)).otherwise(none),
+    })
     pri = F.col("pri").try_cast("int")
-    m = lambda rx, i: F.regexp_extract("said", rx, i)
-    is_ssh, invalid, is_sudo, is_pam, audit = F.col("said").rlike(SSH), F.col("said").rlike(SSH_INVALID), (F.col("program") == "sudo") & F.col("said").rlike(SUDO), F.col("said").rlike(PAM), F.col("program").isin("audit", "auditd") | F.col("said").contains("type=")
+    names = {SSH: ("ssh", 7), SSH_INVALID: ("invalid", 5), SUDO: ("sudo", 4), PAM: ("pam", 3)}
+    m = lambda rx, i: F.get(names[rx][0], F.lit(i))
+    is_ssh, invalid, is_sudo, is_pam = (F.size(column) == size for column, size in names.values())
+    audit = F.col("program").isin("audit", "auditd") | said.contains("type=")
     dashless = lambda c: F.when(F.col(c) == "-", "").otherwise(F.col(c))
     base = put(F.when(audit, pairs(F.col("said"))).otherwise(F.create_map().cast("map<string,string>")), program=dashless("program"), pid=dashless("pid"), facility=F.floor(pri / 8).cast("string"))
     user = F.when(is_pam, m(PAM, 2)).when(is_ssh, m(SSH, 3)).when(invalid, m(SSH_INVALID, 2)).when(is_sudo, m(SUDO, 1)).otherwise("")

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from emberlog.functions.timestamps import parse_ts, ts_from_number
 from emberlog.sources.lines import put, shaped
@@ -20,38 +16,35 @@ HOST_KEYS = ["host", "hostname", "svc", "service", "host.name", "node"]
 USER_KEYS = ["user", "username", "user.name", "actor", "user.username", "principal"]
 NOTABLE = ["rows", "status", "duration_ms", "dest", "path"]
 ARRAYS = ["Records", "events", "items", "logs", "entries", "value", "results"]
-DEPTH, ITEMS = 6, 20
-
+#: So many levels of objects and lists become dotted keys; what lies deeper stays JSON.
+LEVELS = 8
 
-def flat(value, prefix: str = "", depth: int = 0, out: dict | None = None) -> dict[str, str]:
-    """Dotted keys; lists of plain values joined by commas, other lists by index, up to ITEMS; DEPTH levels."""
-    out = {} if out is None else out
-    if isinstance(value, dict) and depth < DEPTH:
-        for k, v in value.items():
-            flat(v, f"{prefix}.{k}" if prefix else str(k), depth + 1, out)
-    elif isinstance(value, list) and depth < DEPTH:
-        if all(not isinstance(v, dict | list) for v in value):
-            out[prefix] = ",".join(str(v) for v in value if v is not None)
-        else:
-            for i, v in enumerate(value[:ITEMS]):
-                flat(v, f"{prefix}[{i}]", depth + 1, out)
-    elif value is not None and prefix:
-        out[prefix] = json.dumps(value) if isinstance(value, bool | dict | list) else str(value)
-    return out
 
+def _opened(entry: Column) -> Column:
+    """The (key, value) pairs within a pair: an object's by name, those of a list of objects or lists by number."""
+    inside = F.try_variant_get(entry["value"], "$", "map<string,variant>")
+    items = F.try_variant_get(entry["value"], "$", "array<variant>")
+    pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    named = F.transform(F.map_entries(inside), lambda e: pair(F.concat(entry["key"], F.when(entry["key"] == "", "").otherwise("."), e["key"]), e["value"]))
+    numbered = F.transform(items, lambda v, i: pair(F.concat(entry["key"], F.lit("["), i.cast("string"), F.lit("]")), v))
+    nested = F.exists(items, lambda v: F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"))
+    return F.when(inside.isNotNull(), named).when(nested, numbered).otherwise(F.array(pair(entry["key"], entry["value"])))
 
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def flatten_json(texts: pd.Series) -> pd.Series:
-    """JSON of unknown shape as a flat map; null where it is no object."""
 
-    def one(text):
-        try:
-            value = json.loads(text)
-        except (TypeError, ValueError):
-            return None
-        return {k: v for k, v in flat(value).items() if v != ""} if isinstance(value, dict) else None
+def flatten_json(text: Column) -> Column:
+    """A JSON object of unknown shape as a flat map of texts; null where the text is none, or names a key twice.
 
-    return texts.map(one)
+    Lists of plain values are joined by commas; nulls and empty texts are left out.
+    """
+    root = F.try_parse_json(text)
+    first = F.array(F.struct(F.lit("").alias("key"), root.alias("value")))
+    pairs = F.aggregate(F.array_repeat(F.lit(0), LEVELS), first, lambda found, _: F.flatten(F.transform(found, _opened)))
+    plain = lambda v: F.when(~F.is_variant_null(v), F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
+    said = lambda v: F.coalesce(F.array_join(F.transform(F.try_variant_get(v, "$", "array<variant>"), plain), ","), plain(v))
+    told = F.filter(F.transform(pairs, lambda e: F.struct(e["key"].alias("key"), said(e["value"]).alias("value"))), lambda e: e["value"] != "")
+    once = lambda es: F.filter(es, lambda e, i: F.array_position(F.transform(es, lambda x: x["key"]), e["key"]) == i + 1)
+    flat = F.map_from_entries(F.get(F.transform(F.array(told), once), 0))
+    return F.when(F.schema_of_variant(root).startswith("OBJECT"), flat)
 
 
 def _first(fields: Column, keys: list[str]) -> Column:
@@ -60,7 +53,7 @@ def _first(fields: Column, keys: list[str]) -> Column:
 
 def json_lines(lines: DataFrame, year: int, latest: str | None = None) -> DataFrame:
     """One object a line; time, level, message, host and user by the first key that is there."""
-    own = lines.withColumn("f", flatten_json("raw"))
+    own = lines.withColumn("f", flatten_json(F.col("raw")))
     f = F.col("f")
     said = _first(f, MSG_KEYS)
     extra = F.array_join(F.array_compact(F.array(*[F.when(F.try_element_at(f, F.lit(k)).isNotNull(), F.concat(F.lit(f"{k}="), _thousands(k, F.try_element_at(f, F.lit(k))))) for k in NOTABLE])), " ")
@@ -76,8 +69,12 @@ def _thousands(key: str, value: Column) -> Column:
 
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Records of whole JSON files (file, id_seq, raw): a top-level array, a list under a usual key or the only list, else the file."""
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
+    """Records (file, id_seq, raw) of whole JSON files."""
+    return unwrap(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def unwrap(texts: DataFrame) -> DataFrame:
+    """Records of JSON documents (file, value): a top-level array, a list under a usual key or the only list, else the document."""
     parsed = texts.withColumn("v", F.try_parse_json("value"))
     lists = [F.try_variant_get("v", "$", "array<variant>"), *[F.try_variant_get("v", f"$.{k}", "array<variant>") for k in ARRAYS]]
     only = F.try_variant_get("v", "$", "map<string,variant>")
@@ -92,7 +89,7 @@ SENSITIVE = ["ConsoleLogin", "CreateAccessKey", "DeleteTrail", "StopLogging", "U
 
 def cloud_trail(records: DataFrame, year: int, latest: str | None = None) -> DataFrame:
     """Cloud API records: who, from where, what, with what result."""
-    own = records.withColumn("f", flatten_json("raw"))
+    own = records.withColumn("f", flatten_json(F.col("raw")))
     f = lambda k: F.try_element_at("f", F.lit(k))
     arn = F.element_at(F.split(f("userIdentity.arn"), "/"), -1)
     user = F.coalesce(f("userIdentity.userName"), f("userIdentity.sessionContext.sessionIssuer.userName"), arn, f("userIdentity.type"), F.lit(""))
@@ -109,7 +106,7 @@ def cloud_trail(records: DataFrame, year: int, latest: str | None = None) -> Dat
 
 def cluster_audit(lines: DataFrame, year: int, latest: str | None = None) -> DataFrame:
     """Cluster audit records: verb, resource and answer."""
-    own = lines.withColumn("f", flatten_json("raw"))
+    own = lines.withColumn("f", flatten_json(F.col("raw")))
     f = lambda k: F.coalesce(F.try_element_at("f", F.lit(k)), F.lit(""))
     resource = F.concat_ws("/", F.when(f("objectRef.resource") != "", f("objectRef.resource")), F.when(f("objectRef.subresource") != "", f("objectRef.subresource")))
     code = f("responseStatus.code")
@@ -129,10 +126,20 @@ _EVENT_XML = "System struct<EventID: string, Level: string, Channel: string, Com
 
 
 def event_xml(spark: SparkSession, path: str, year: int = 1970, latest: str | None = None) -> DataFrame:
-    """Windows event XML, a record an Event element."""
+    """Windows event XML files, a record an Event element."""
     rows = spark.read.format("xml").option("rowTag", "Event").option("ignoreNamespace", "true").schema(_EVENT_XML).load(path).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id_seq"))
+    return _event_records(rows.withColumn("raw", F.to_json(F.struct("System", "EventData"))), year, latest)
+
+
+def event_elements(elements: DataFrame, year: int = 1970, latest: str | None = None) -> DataFrame:
+    """The same of Event elements that are texts already (file, id_seq, raw); what is none has all its fields empty."""
+    parsed = F.from_xml("raw", _EVENT_XML, {"ignoreNamespace": "true"})
+    return _event_records(elements.withColumn("x", parsed).select("file", "id_seq", "raw", "x.*"), year, latest)
+
+
+def _event_records(rows: DataFrame, year: int, latest: str | None) -> DataFrame:
     data = F.map_from_entries(F.transform(F.filter("EventData.Data", lambda d: d["_Name"].isNotNull()), lambda d: F.struct(d["_Name"], F.coalesce(d["_VALUE"], F.lit("")))))
-    own = rows.withColumn("f", F.coalesce(data, F.create_map().cast("map<string,string>"))).withColumn("raw", F.to_json(F.struct("System", "EventData")))
+    own = rows.withColumn("f", F.coalesce(data, F.create_map().cast("map<string,string>")))
     f = lambda k: F.coalesce(F.try_element_at("f", F.lit(k)), F.lit(""))
     code = F.col("System.EventID")
     lookup = lambda table, key, other: F.coalesce(*[F.when(key == k, F.lit(v)) for k, v in table.items()], other)
