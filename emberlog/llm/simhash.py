@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import WORDS, map_arrow, stored, table, utf8_values
@@ -299,21 +300,35 @@ def leader_pairs(classes: DataFrame, similarity: float) -> DataFrame:
     return best.select(F.least("a", "to.b").alias("a"), F.greatest("a", "to.b").alias("b")).distinct()
 
 
+def _common(n_a: Column, n_b: Column, similarity: float) -> Column:
+    """How many shingles sets of these sizes have in common at the least if they are this similar."""
+    return F.ceil((n_a + n_b) * (similarity / (1 + similarity)) - 1e-9)
+
+
 def prefix_pairs(classes: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """All pairs ``(a, b)`` of classes of different groups that can have the similarity: a prefix shingle in common, and sizes that allow it.
+    """All pairs ``(a, b)`` of classes of different groups that can have the similarity.
 
-    ``groups`` (node, component) is what is linked already; groups meet first, then their members, so that members of
-    one group never do.
+    They have a prefix shingle in common, sizes that allow it, and room: of the first common shingle in the order of the
+    prefixes, as many shingles from there on in either set as have to be common. ``groups`` (node, component) is what is
+    linked already; groups meet first, by the bounds of their members, then the members, so that those of one group never
+    do.
     """
     of = groups.select(F.col("node").alias("class"), "component")
     own = classes.where("n > 0").select("class", "n", "prefix").join(of, "class", "left")
-    held = own.select(F.explode("prefix").alias("shingle"), F.coalesce("component", "class").alias("g"), "class", "n").repartition("shingle")
+    held = own.select(F.posexplode("prefix").alias("pos", "shingle"), F.coalesce("component", "class").alias("g"), "class", "n").withColumn("room", F.col("n") - F.col("pos")).repartition("shingle")
     shared = held.groupBy("shingle").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("shingle")
-    held = stored(held.join(shared, "shingle"), "prefixes")
-    places = held.select("shingle", "g").distinct()
-    met = places.withColumnRenamed("g", "g_a").join(places.withColumnRenamed("g", "g_b"), "shingle").where("g_a < g_b")
-    end = lambda x: held.select("shingle", F.col("g").alias(f"g_{x}"), F.col("class").alias(x), F.col("n").alias(f"n_{x}"))
-    both = met.join(end("a"), ["shingle", "g_a"]).join(end("b"), ["shingle", "g_b"]).where(_sizes_allow(similarity))
+    held = stored(held.drop("pos").join(shared, "shingle"), "prefixes")
+    places = held.groupBy("shingle", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"))
+    at = lambda x: places.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("g", "least", "most", "room")])
+    near = lambda least, most, n: (F.col(most) >= F.col(n) * similarity - 1e-9) & (F.col(least) * similarity <= F.col(n) + 1e-9)
+    enough = lambda x, n_a, n_b: F.col(x) >= _common(F.col(n_a), F.col(n_b), similarity)
+    met = at("a").join(at("b"), "shingle").where(
+        (F.col("g_a") < F.col("g_b")) & (F.col("most_a") >= F.col("least_b") * similarity - 1e-9) & (F.col("most_b") >= F.col("least_a") * similarity - 1e-9)
+        & enough("room_a", "least_a", "least_b") & enough("room_b", "least_a", "least_b")
+    )
+    end = lambda x: held.select("shingle", F.col("g").alias(f"g_{x}"), F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("room").alias(f"own_{x}"))
+    one = met.join(end("a"), ["shingle", "g_a"]).where(near("least_b", "most_b", "n_a") & enough("own_a", "n_a", "least_b") & enough("room_b", "n_a", "least_b"))
+    both = one.join(end("b"), ["shingle", "g_b"]).where(_sizes_allow(similarity) & enough("own_a", "n_a", "n_b") & enough("own_b", "n_a", "n_b"))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -326,8 +341,8 @@ def shingle_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["class", "shingles"])
 
     own = docs.select("doc_id", text_class(F.col("text")).alias("class"), "text")
-    wanted = classes.select(F.col("class").alias("_class"), F.col("least").alias("_least"))
-    found = own.join(wanted, (F.col("class") == F.col("_class")) & F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
+    wanted = classes.select(F.col("class").alias("wanted"), "least")
+    found = own.join(wanted, (F.col("class") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
     return map_arrow(found.select("class", "text"), run, "class long, shingles array<long>").dropDuplicates(["class"])
 
 
@@ -354,7 +369,7 @@ def near_copy_links(docs: DataFrame, classes: DataFrame, size: int, similarity:
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of copies and near copies: the one of smallest doc_id. All columns and other rows stay.
+    """One row of each group of copies and near copies: the one of smallest doc_id. All columns, under any names, and other rows stay.
 
     Groups are the connected components over pairs of texts whose sets of ``size``-word shingles have at least the given
     Jaccard similarity, decided on the sets. Texts without words are copies only of equal ones.
@@ -365,8 +380,21 @@ def drop_near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     linked = classes.join(nodes, F.col("class") == F.col("node")).select("class", "least", "component")
     best = linked.groupBy("component").agg(F.min_by("class", F.struct(F.col("least").isNull(), "least", "class")).alias("class"))
     stays = classes.select("class", "least").join(nodes.select(F.col("node").alias("class")), "class", "left_anti").unionByName(linked.join(best, ["component", "class"]).select("class", "least"))
-    stays = stored(stays.select(F.col("class").alias("_class"), F.col("least").alias("_least")), "stays")
-    own = docs.withColumn("_class", text_class(F.col("text")))
-    kept = own.join(stays, (own["_class"] == stays["_class"]) & own["doc_id"].eqNullSafe(stays["_least"]), "left_semi")
-    repeated = prints.groupBy("doc_id", "class").agg(F.count("*").alias("n")).where(F.col("n") > 1).limit(1).count()
-    return (kept.dropDuplicates(["doc_id", "_class"]) if repeated else kept).drop("_class")
+    kept, least = _free_name(docs, "class"), _free_name(docs, "least")
+    stays = stored(stays.select(F.col("class").alias(kept), F.col("least").alias(least)), "stays")
+    own = docs.join(stays, (text_class(docs["text"]) == stays[kept]) & docs["doc_id"].eqNullSafe(stays[least]), "left_semi")
+    repeated = prints.groupBy("doc_id", "class").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("doc_id", "class")
+    if not repeated.limit(1).count():
+        return own
+    # Rows of equal id and text may differ elsewhere: of these the one whose values sort first as JSON stays.
+    names, row, place = docs.columns, _free_name(docs, "row"), _free_name(docs, "place")
+    told = own.withColumn(row, F.to_json(F.struct(*[F.col(f"`{c}`") for c in names])))
+    first = W.partitionBy("doc_id", text_class(F.col("text"))).orderBy(row)
+    return told.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in names])
+
+
+def _free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
