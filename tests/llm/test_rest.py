@@ -183,7 +183,7 @@ class Brute:
         self.total, self.vocabulary = sum(words.values()), len(words)
         self.next = defaultdict(dict)
         for s, c in self.counts.items():
-            if len(s) > 1 and c >= suffix_tree.LEAST:
+            if len(s) > 1 and c >= 4:
                 self.next[s[:-1]][s[-1]] = c
         self.stays = {}
         for context in sorted(self.next, key=len):
@@ -213,7 +213,7 @@ def test_score_against_brute_force(spark, small, odd_docs, head):
     tree = Brute([x for r, x in zip(rows, texts, strict=True) if not suffix_tree.is_held_out(r["doc_id"])], suffix_tree.DEPTH)
     assert {len(c) for c in tree.stays} == set(range(1, suffix_tree.DEPTH + 1))
     expected = sorted((str(r["doc_id"]), sum(math.log10(tree.p(w, tuple(x[max(0, i - suffix_tree.DEPTH) : i]))) for i, w in enumerate(x))) for r, x in zip(rows, texts, strict=True))
-    got = sorted((str(r["doc_id"]), r["score"]) for r in suffix_tree.score(docs, head_strings=head).collect())
+    got = sorted((str(r["doc_id"]), r["score"]) for r in suffix_tree.score(docs, least=4, head_strings=head).collect())
     assert [g[0] for g in got] == [e[0] for e in expected]
     assert np.allclose([g[1] for g in got], [e[1] for e in expected], rtol=1e-6, atol=1e-6)
     if head:
@@ -229,7 +229,7 @@ def test_score_against_brute_force(spark, small, odd_docs, head):
 def test_text_ids_and_depth(spark, odd_docs):
     named = odd_docs.withColumn("doc_id", odd_docs["doc_id"].cast("string"))
     for depth in (1, 5):
-        got = {r["doc_id"] for r in suffix_tree.score(named, depth=depth).collect()}
+        got = {r["doc_id"] for r in suffix_tree.score(named, depth=depth, least=2).collect()}
         assert got == {None, *map(str, range(1, 10))}
 
 
