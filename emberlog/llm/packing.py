@@ -179,9 +179,23 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
             return pa.RecordBatch.from_arrays(columns, names)
 
         end, keys, ids, size, kind = np.array([END_ID], np.uint32), [], [], 0, pa.int64()
-        for batch in by_bytes(batches, 1, BLOCK_BYTES):
-            kind = batch.column(0).type
-            for key, own in zip(batch.column(0).to_pylist(), encoder.encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+
+        def blocks() -> Iterator[tuple[list, list[str]]]:
+            """Keys and texts of about BLOCK_BYTES: the more texts at once, the fewer words are encoded again."""
+            nonlocal kind
+            some, texts, held = [], [], 0
+            for batch in by_bytes(batches, 1, BLOCK_BYTES):
+                kind = batch.column(0).type
+                some += batch.column(0).to_pylist()
+                texts += [x or "" for x in batch.column(1).to_pylist()]
+                held += batch.column(1).nbytes
+                if held >= BLOCK_BYTES:
+                    yield some, texts
+                    some, texts, held = [], [], 0
+            yield some, texts
+
+        for some, texts in blocks():
+            for key, own in zip(some, encoder.encode(texts), strict=True):
                 keys.append(key)
                 ids.append(np.concatenate([own, end]))
                 size += len(own) + 1
