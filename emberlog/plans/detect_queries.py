@@ -72,7 +72,7 @@ hit AS (SELECT id, max(CASE level WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN
 dv AS (SELECT ev.*, rules, burst_count, greatest(CASE sev WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END, coalesce(hit_rank, 0)) AS rank FROM ev LEFT JOIN hit USING (id))
 """
 )
-CORE = 4
+CORE = 3
 _SEV = "CASE rank WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'info' END"
 
 
