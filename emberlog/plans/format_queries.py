@@ -39,7 +39,10 @@ def _field(name: str, alias: str = "") -> Column:
     return F.try_element_at("fields", F.lit(name)).alias(alias or name)
 
 
-_ISO = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+def _iso() -> Column:
+    return F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 _TS = "date_trunc('second', ts) AS ts"
 
 
@@ -56,19 +59,22 @@ def parse_syslog_programs(spark, sf_dir):
         .when(k == 2, F.format_string("pam_unix(x:session): session %s for user u%d(uid=0) by (uid=0)", F.when(u % 2 == 0, "opened").otherwise("closed"), u))
         .otherwise(F.format_string("Invalid user m%d from 10.0.%d.7 port 22", u, u % 200))
     )
-    newer = F.format_string("<86>1 %s h %s 7 - - %s", F.coalesce(_ISO, F.lit("-")), program, said)
-    journal = F.format_string("%s h %s[7]: %s", _ISO, program, said)
+    newer = F.format_string("<86>1 %s h %s 7 - - %s", F.coalesce(_iso(), F.lit("-")), program, said)
+    journal = F.format_string("%s h %s[7]: %s", _iso(), program, said)
     raw = F.when((F.col("event_id") % 3 == 0) & F.col("ts").isNotNull(), journal).otherwise(newer)
     parsed = lines.syslog(_events(spark, sf_dir).select(F.lit("sys.log").alias("file"), F.col("event_id").alias("id_seq"), raw.alias("raw")), YEAR, LATEST)
     return parsed.select("id_seq", "ts", "user", *[_field(n) for n in ("result", "command", "path", "src_ip", "op")])
 
 
-_CALLS = F.struct(
-    _ISO.alias("eventTime"), F.element_at(F.array(*map(F.lit, ["ConsoleLogin", "ListBuckets", "DeleteTrail"])), (F.col("event_id") % 3 + 1).cast("int")).alias("eventName"),
-    F.concat(F.lit("eu-"), F.col("user_id") % 3).alias("awsRegion"), F.concat(F.lit("45.83.1."), F.col("user_id") % 200).alias("sourceIPAddress"),
-    F.struct(F.lit("IAMUser").alias("type"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("u"), "user_id")).alias("userName"), F.concat(F.lit("arn:aws:iam::1:user/a"), "user_id").alias("arn")).alias("userIdentity"),
-    F.when(F.col("event_type") == "error", "AccessDenied").alias("errorCode"), F.struct(F.lit("Yes").alias("MFAUsed")).alias("additionalEventData"),
-)
+def _calls() -> Column:
+    return F.struct(
+        _iso().alias("eventTime"), F.element_at(F.array(*map(F.lit, ["ConsoleLogin", "ListBuckets", "DeleteTrail"])), (F.col("event_id") % 3 + 1).cast("int")).alias("eventName"),
+        F.concat(F.lit("eu-"), F.col("user_id") % 3).alias("awsRegion"), F.concat(F.lit("45.83.1."), F.col("user_id") % 200).alias("sourceIPAddress"),
+        F.struct(F.lit("IAMUser").alias("type"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("u"), "user_id")).alias("userName"), F.concat(F.lit("arn:aws:iam::1:user/a"), "user_id").alias("arn")).alias("userIdentity"),
+        F.when(F.col("event_type") == "error", "AccessDenied").alias("errorCode"), F.struct(F.lit("Yes").alias("MFAUsed")).alias("additionalEventData"),
+    )
+
+
 _CALLS_SQL = f"""SELECT {{0}}{_TS}, 'eu-' || (user_id % 3) AS host, CASE WHEN user_id % 2 = 0 THEN 'u' || user_id ELSE 'a' || user_id END AS "user", CASE WHEN event_type = 'error' OR event_id % 3 IN (0, 2) THEN 'medium' END AS sev,
   CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS result, 'yes' AS mfa, CASE WHEN event_type = 'error' THEN 'AccessDenied' ELSE '—' END AS error FROM events"""
 
@@ -79,14 +85,14 @@ def _told_calls(parsed: DataFrame, *also: str) -> DataFrame:
 
 @query(_CALLS_SQL.format("event_id AS id_seq, "))
 def parse_cloud_trail(spark, sf_dir):
-    return _told_calls(records.cloud_trail(_events(spark, sf_dir).select(F.lit("trail.json").alias("file"), F.col("event_id").alias("id_seq"), F.to_json(_CALLS).alias("raw")), YEAR, LATEST), "id_seq")
+    return _told_calls(records.cloud_trail(_events(spark, sf_dir).select(F.lit("trail.json").alias("file"), F.col("event_id").alias("id_seq"), F.to_json(_calls()).alias("raw")), YEAR, LATEST), "id_seq")
 
 
 @query(f"SELECT * FROM ({_CALLS_SQL.format('')})")
 def parse_json_documents(spark, sf_dir):
     """Whole files: arrays of calls under ``Records``, written as text and unwrapped again."""
     path = _folder(spark)
-    _events(spark, sf_dir).groupBy(F.floor(F.col("event_id") / 50)).agg(F.collect_list(_CALLS).alias("Records")).select(F.to_json(F.struct("Records")).alias("value")).write.partitionBy().option("lineSep", "\n").text(path)
+    _events(spark, sf_dir).groupBy(F.floor(F.col("event_id") / 50)).agg(F.collect_list(_calls()).alias("Records")).select(F.to_json(F.struct("Records")).alias("value")).write.partitionBy().option("lineSep", "\n").text(path)
     one_a_line = spark.read.text(path).select(F.sha1("value").alias("file"), "value")
     return _told_calls(records.cloud_trail(records.unwrap(one_a_line), YEAR, LATEST))
 
@@ -96,7 +102,7 @@ def parse_json_documents(spark, sf_dir):
 def parse_cluster_audit(spark, sf_dir):
     two = F.col("event_id") % 2 == 0
     record = F.struct(
-        F.lit("Event").alias("kind"), _ISO.alias("requestReceivedTimestamp"), F.lit("create").alias("verb"), F.struct(F.concat(F.lit("u"), "user_id").alias("username")).alias("user"),
+        F.lit("Event").alias("kind"), _iso().alias("requestReceivedTimestamp"), F.lit("create").alias("verb"), F.struct(F.concat(F.lit("u"), "user_id").alias("username")).alias("user"),
         F.struct(F.when(two, "pods").otherwise("secrets").alias("resource"), F.when(two, "exec").alias("subresource"), F.concat(F.lit("ns"), F.col("user_id") % 3).alias("namespace"), F.lit("n-1").alias("name")).alias("objectRef"),
         F.array(F.concat(F.lit("10.0.0."), F.col("user_id") % 200), F.lit("1.2.3.4")).alias("sourceIPs"), F.struct(F.when(F.col("event_type") == "error", 403).otherwise(200).alias("code")).alias("responseStatus"),
     )
@@ -111,7 +117,7 @@ def parse_event_xml(spark, sf_dir):
     two = F.col("event_id") % 2 == 0
     xml = F.concat(
         F.lit('<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System><Provider Name="P"/><EventID>'), F.when(two, "4625").otherwise("4688"), F.lit("</EventID><Level>0</Level>"),
-        F.coalesce(F.concat(F.lit('<TimeCreated SystemTime="'), _ISO, F.lit('"/>')), F.lit("")), F.lit("<Channel>Security</Channel><Computer>WS"), (F.col("user_id") % 9).cast("string"), F.lit("</Computer></System><EventData>"),
+        F.coalesce(F.concat(F.lit('<TimeCreated SystemTime="'), _iso(), F.lit('"/>')), F.lit("")), F.lit("<Channel>Security</Channel><Computer>WS"), (F.col("user_id") % 9).cast("string"), F.lit("</Computer></System><EventData>"),
         data("TargetUserName", F.when(F.col("user_id") % 3 == 0, "WS1$").otherwise(F.concat(F.lit("u"), "user_id"))), data("SubjectUserName", F.lit("sub")), data("LogonType", F.when(two, "3").otherwise("2")), data("Number", F.col("event_id").cast("string")), F.lit("</EventData></Event>"),
     )
     own = _events(spark, sf_dir).select(F.lit("Security.xml").alias("file"), F.col("event_id").alias("id_seq"), xml.alias("raw"))
@@ -122,7 +128,7 @@ def parse_event_xml(spark, sf_dir):
 def parse_csv_header(spark, sf_dir):
     """A table with header, quoted cells and line ends within cells; the delimiter is found out."""
     path = _folder(spark)
-    own = _events(spark, sf_dir).select(_ISO.alias("Event Time"), F.concat(F.lit("h"), F.col("user_id") % 9).alias("src_host"), F.concat(F.lit("u"), "user_id").alias("User Name"), F.concat("event_type", F.lit(', "quoted"\nand more')).alias("Message"), F.col("event_id").alias("number"))
+    own = _events(spark, sf_dir).select(_iso().alias("Event Time"), F.concat(F.lit("h"), F.col("user_id") % 9).alias("src_host"), F.concat(F.lit("u"), "user_id").alias("User Name"), F.concat("event_type", F.lit(', "quoted"\nand more')).alias("Message"), F.col("event_id").alias("number"))
     own.write.option("header", True).option("sep", ";").option("quote", '"').option("escape", '"').csv(path)
     return delimited.with_header(spark, path, None, YEAR, LATEST).select("ts", "host", "user", "msg", _field("number"))
 
@@ -132,7 +138,7 @@ def parse_csv_header(spark, sf_dir):
 def parse_headerless(spark, sf_dir):
     """Pipe-delimited flows whose column names come from their values' statistics."""
     e = _events(spark, sf_dir).where("ts IS NOT NULL")
-    raw = F.concat_ws("|", _ISO, F.when(F.col("user_id") % 2 == 0, "DENY").otherwise("ALLOW"), F.concat(F.lit("10.0.0."), F.col("user_id") % 200, F.lit(":"), F.col("event_id") % 999), F.concat(F.lit("45.83.1."), F.col("user_id") % 50, F.lit(":443")), F.concat(F.lit("len="), "event_id"))
+    raw = F.concat_ws("|", _iso(), F.when(F.col("user_id") % 2 == 0, "DENY").otherwise("ALLOW"), F.concat(F.lit("10.0.0."), F.col("user_id") % 200, F.lit(":"), F.col("event_id") % 999), F.concat(F.lit("45.83.1."), F.col("user_id") % 50, F.lit(":443")), F.concat(F.lit("len="), "event_id"))
     own = e.select(F.lit("fw.log").alias("file"), F.col("event_id").alias("id_seq"), raw.alias("raw"))
     cells = delimited.sampled(own).select("file", F.posexplode(F.split("raw", "[|]")).alias("pos", "value"))
     names = delimited.guess_roles(delimited.role_statistics(cells).collect())  # one row a column

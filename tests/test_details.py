@@ -2,6 +2,9 @@
 
 import ipaddress
 import json
+import subprocess
+import sys
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -118,3 +121,9 @@ def test_baseline_sentence(spark):
     own = event(spark, {"ts": None, "host": "h", "msg": "once"}, {"msg": "again 1", "host": "h"}, {"msg": "again 2", "host": "h"})
     said = {r["id"]: r["baseline"] for r in correlate.baseline(own).collect()}
     assert said["e0"] == "h: the only message of its kind in f." and said["e1"].startswith("h: 2 events of its kind in f")
+
+
+def test_queries_are_listed_without_a_session():
+    """Neither listing queries nor their SQL needs Spark to run."""
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 90)"], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=120)
+    assert said.stdout.strip().endswith("True"), said.stderr
