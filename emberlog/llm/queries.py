@@ -19,6 +19,8 @@ MODULES = {
     "op8_matroska": "matroska",
     "op9_simhash_pigeonring": "simhash",
     "op10_byte_gru": "language",
+    "op12_conversation_repair": "repair",
+    "op13_filter_audit": "filter_audit",
 }
 
 
@@ -27,7 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for the two queries that it can express: hashed models, networks and samplers are tested in tests/llm."""
-    from emberlog.llm import chat, url_rules
+    """SQL for the queries that it can express: hashed models, networks, samplers and repairs are tested in tests/llm."""
+    from emberlog.llm import chat, filter_audit, url_rules
 
-    return {"op6_chat_parts": chat.OP6_SQL, "op7_url_sweep": url_rules.OP7_SQL}
+    return {"op6_chat_parts": chat.OP6_SQL, "op7_url_sweep": url_rules.OP7_SQL, "op13_filter_audit": filter_audit.OP13_SQL}
