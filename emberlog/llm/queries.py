@@ -19,6 +19,7 @@ MODULES = {
     "op8_matroska": "matroska",
     "op9_simhash_pigeonring": "simhash",
     "op10_byte_gru": "language",
+    "op11_line_dedup": "line_dedup",
     "op12_conversation_repair": "repair",
     "op13_filter_audit": "filter_audit",
 }
@@ -30,6 +31,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express: hashed models, networks, samplers and repairs are tested in tests/llm."""
-    from emberlog.llm import chat, filter_audit, url_rules
+    from emberlog.llm import chat, filter_audit, line_dedup, url_rules
 
-    return {"op6_chat_parts": chat.OP6_SQL, "op7_url_sweep": url_rules.OP7_SQL, "op13_filter_audit": filter_audit.OP13_SQL}
+    return {"op6_chat_parts": chat.OP6_SQL, "op7_url_sweep": url_rules.OP7_SQL, "op11_line_dedup": line_dedup.OP11_SQL, "op13_filter_audit": filter_audit.OP13_SQL}

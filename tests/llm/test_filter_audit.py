@@ -8,8 +8,8 @@ from emberlog.llm import filter_audit as A
 
 
 def expected(docs, labels):
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, t in labels if t == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
     first = {}
     for i, text, _ in docs:
         if i is not None:
