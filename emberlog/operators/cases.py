@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import clean_labels, fmt_span, raw_hash
+from emberlog.operators import needles
+from emberlog.operators.durable import stored
 
 
 def case_set(events: DataFrame, picked: DataFrame) -> DataFrame:
@@ -26,14 +28,20 @@ def lost(entries: DataFrame, events: DataFrame) -> DataFrame:
     return entries.join(events.select(F.col("id").alias("event_id")), "event_id", "left_anti")
 
 
-def locate(events: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, line): an event's place in its numbered file: the first line equal to its text, else the first that holds its first 400 characters."""
+def locate(events: DataFrame, lines: DataFrame, prefix: int = 400) -> DataFrame:
+    """(id, line, exact): an event's place in its numbered file: the first line equal to its text, else the first that holds its first 400 characters.
+
+    Equal lines come from a join on file and text. What is left meets the lines of its file through its rarest gram, never
+    through the file alone. An event without text, or whose text no line holds, has no place.
+    """
     trimmed = lines.select("file", F.col("id_seq").alias("line"), F.trim("raw").alias("text"))
-    wanted = events.select("id", "file", F.trim("raw").alias("text"))
-    exact = wanted.join(trimmed.groupBy("file", "text").agg(F.min("line").alias("line")), ["file", "text"]).select("id", "line")
-    rest = wanted.join(exact, "id", "left_anti")
-    within = rest.alias("w").join(trimmed.alias("t"), (F.col("w.file") == F.col("t.file")) & F.col("t.text").contains(F.substring(F.col("w.text"), 1, 400)))
-    return exact.unionByName(within.groupBy(F.col("w.id").alias("id")).agg(F.min("t.line").alias("line")))
+    wanted = events.select("id", "file", F.trim("raw").alias("text")).where(F.col("text") != "")
+    first = trimmed.groupBy("file", "text").agg(F.min("line").alias("line"))
+    placed = stored(wanted.join(first, ["file", "text"], "left").select("id", "file", F.when(F.col("line").isNull(), F.substring("text", 1, prefix)).alias("needle"), "line"), "placed")
+    texts = trimmed.select("line", F.col("file").alias("scope"), "text")
+    within = needles.by_grams(texts, placed.where("line IS NULL").select("id", F.col("file").alias("scope"), "needle"))
+    loose = within.groupBy("id").agg(F.min("line").alias("line")).withColumn("exact", F.lit(False))
+    return placed.where("line IS NOT NULL").select("id", "line", F.lit(True).alias("exact")).unionByName(loose)
 
 
 def context(located: DataFrame, events: DataFrame, lines: DataFrame, around: int = 3) -> DataFrame:

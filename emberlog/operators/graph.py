@@ -273,18 +273,36 @@ def select(node_rows: DataFrame, edge_rows: DataFrame, types=(), files=(), query
     return top.drop("tier", "_near"), closed
 
 
-def k_core(edge_rows: DataFrame, least: int, rounds: int = 100) -> DataFrame:
+def core_numbers(edge_rows: DataFrame, cap: int | None = None, most_rounds: int = 2000) -> DataFrame:
+    """(node, core): the largest k such that the node is left when nodes with fewer than k neighbours are taken away.
+
+    Every node starts from its number of neighbours and takes, round by round, the H-index of its neighbours' values: the
+    largest h such that h of them are at least h. The values only fall, and the fixed point is the core number, for all k
+    at once. A node's neighbours are counted by value before they are shuffled (never gathered), so a hub is a short
+    histogram. ``cap`` bounds the values where only one k matters. Raises if nothing has come to rest after ``most_rounds``.
+    """
+    links = stored(_both(edge_rows.where("src <> dst").select("src", "dst")).select("src", "dst").distinct(), "links")
+    bounded = (lambda c: F.least(c, F.lit(cap).cast("bigint"))) if cap is not None else (lambda c: c)
+    values = stored(links.groupBy(F.col("src").alias("node")).agg(bounded(F.count("*")).alias("core")), "cores")
+    total = values.agg(F.sum("core")).first()[0]
+    for _ in range(most_rounds):
+        if total is None:
+            return values
+        near = links.join(values.select(F.col("node").alias("dst"), "core"), "dst").groupBy(F.col("src").alias("node"), "core").agg(F.count("*").alias("n"))
+        above = F.sum("n").over(W.partitionBy("node").orderBy(F.desc("core")))
+        index = near.withColumn("least", F.least("core", above)).groupBy("node").agg(F.max("least").alias("index"))
+        values = stored(values.join(index, "node").select("node", F.least("core", "index").alias("core")), "cores")
+        before, total = total, values.agg(F.sum("core")).first()[0]
+        if total == before:  # values never rise, so an equal sum is the same values
+            return values
+    raise RuntimeError("core numbers did not come to rest")
+
+
+def k_core(edge_rows: DataFrame, least: int, most_rounds: int = 2000) -> DataFrame:
     """What is left of the edges once nodes with fewer than ``least`` neighbours are taken away until none is."""
-    own = stored(edge_rows.where("src <> dst").select("src", "dst").distinct(), "core")
-    before = own.count()
-    for _ in range(rounds):
-        keep = degree(own).where(F.col("degree") >= least).select("node")
-        own = stored(own.join(keep.withColumnRenamed("node", "src"), "src", "left_semi").join(keep.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "core")
-        now = own.count()
-        if now == before:
-            break
-        before = now
-    return own
+    kept = core_numbers(edge_rows, least, most_rounds).where(F.col("core") >= least).select("node")
+    own = edge_rows.where("src <> dst").select("src", "dst").distinct()
+    return own.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
 
 
 def neighbourhood(edge_rows: DataFrame, start: str, hops: int = 2) -> DataFrame:

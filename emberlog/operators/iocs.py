@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlog.functions import network, text
+from emberlog.operators import needles
 
 # Fixed value: paths that count as indicators.
 IOC_PATH = r"(?<![\w/])(/(?:tmp|root|home|etc|var|opt|usr|dev|srv|mnt|data)/[\w./-]+)"
@@ -48,18 +49,23 @@ def hit_sample(found: DataFrame, least: int = 5) -> DataFrame:
     return marked.withColumn("place", rest).where((F.col("of_file") == 1) | (F.col("place") <= least)).select("kind", "value", "id", "file", "ts")
 
 
-def locate(events: DataFrame, manual: DataFrame) -> DataFrame:
+def locate(events: DataFrame, manual: DataFrame, most_bytes: int = needles.AUTOMATON_BYTES) -> DataFrame:
     """Where given indicators (kind, value) occur: in text, message or a field, or as an entity.
 
-    The indicators are few by nature and are compared with every event in one scan; their number is checked.
+    Any number of them: up to ``most_bytes`` of values go through the events in one scan of an automaton, more are joined
+    on their rarest grams. Empty values are nowhere.
     """
-    values = [row["value"] for row in manual.select("value").distinct().limit(1001).collect()]
-    if len(values) > 1000:
-        raise ValueError("at most 1000 indicators at a time")
-    inside = lambda v: F.col("raw").contains(v) | F.col("msg").contains(v) | F.exists(F.map_values("fields"), lambda x: x.contains(v)) | F.array_contains("entities", v)
-    hits = F.array_compact(F.array(*[F.when(F.coalesce(inside(F.lit(v)), F.lit(False)), F.lit(v)) for v in values])) if values else F.array().cast("array<string>")
-    found = events.select("id", "id_seq", "ts", "file", F.explode(hits).alias("value"))
-    return found.join(F.broadcast(manual.select("kind", "value").distinct()), "value").select("id", "id_seq", "ts", "file", "kind", "value")  # at most 1000 rows
+    own = manual.where(F.col("value") != "").select("kind", "value").distinct()
+    named = events.select("id", "id_seq", "ts", "file", F.explode(F.array_distinct("entities")).alias("value")).join(own.select("value").distinct(), "value")
+    texts = F.concat(F.array("raw", "msg"), F.coalesce(F.map_values("fields"), F.array().cast("array<string>")))
+    texts = events.select("id", "id_seq", "ts", "file", F.explode(F.array_distinct(texts)).alias("text")).where(F.col("text") != "")
+    size = own.agg(F.sum(F.octet_length("value") + 8)).first()[0] or 0
+    if needles.ahocorasick is not None and size <= most_bytes:
+        found = needles.by_automaton(texts, [r["value"] for r in own.select("value").distinct().collect()])
+    else:
+        found = needles.by_grams(texts.withColumn("scope", F.lit("")), own.select(F.lit("").alias("scope"), F.col("value").alias("needle")).distinct())
+    every = found.select("id", "id_seq", "ts", "file", F.col("needle").alias("value")).unionByName(named.select("id", "id_seq", "ts", "file", "value")).distinct()
+    return every.join(own, "value").select("id", "id_seq", "ts", "file", "kind", "value")
 
 
 def merge(extracted: DataFrame, located: DataFrame) -> DataFrame:

@@ -18,19 +18,51 @@ NO_ADDRESS = ["0.0.0.0", "127.0.0.1", "255.255.255.255"]
 NAME_LENGTH, ENTITY_LENGTH, IOC_ITEMS = 64, 128, 5
 
 
+#: Records of a file that are scanned together; what one segment hands to the next is one row of a small table.
+SEGMENT = 1 << 17
+
+
+def _segment() -> Column:
+    """The segment of a record within its file; records without number come first."""
+    return F.coalesce(F.floor(F.col("id_seq") / SEGMENT), F.lit(-1).cast("bigint"))
+
+
+def _edges(df: DataFrame, at: Column) -> DataFrame:
+    """(file, segment, head, tail): the first and the last known time of each segment, by partial aggregates.
+
+    Unknown times are left out by the order, not by a filter: a filter would be pushed below the parser and spell it out.
+    """
+    own = df.select("file", _segment().alias("segment"), F.coalesce("id_seq", F.lit(-1).cast("bigint")).alias("place"), at.alias("at"))
+    known = F.when(F.col("at").isNotNull(), F.struct("place", "at"))
+    return own.groupBy("file", "segment").agg(F.min_by("at", known).alias("head"), F.max_by("at", known).alias("tail"))
+
+
 def forward_fill(df: DataFrame) -> DataFrame:
-    """The time of the record before, per file in record order; leading blanks take the file's first time."""
-    order = W.partitionBy("file").orderBy("id_seq")
-    before = F.last("ts", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    first = F.first("ts", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return df.withColumn("ts", F.coalesce(before, first))
+    """The time of the record before, per file in record order; leading blanks take the file's first time.
+
+    A segmented scan: records are filled within segments of ``SEGMENT`` record numbers, so a file of any size spreads,
+    and each segment's blanks at its start take the last known time of the segments before it.
+    """
+    before = W.partitionBy("file").orderBy("segment")
+    carried = F.last("tail", ignorenulls=True).over(before.rowsBetween(W.unboundedPreceding, -1))
+    first = F.first("head", ignorenulls=True).over(before.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    small = _edges(df, F.col("ts")).select(F.col("file").alias("_file"), F.col("segment").alias("_segment"), F.coalesce(carried, first).alias("_carried"))
+    within = F.last("ts", ignorenulls=True).over(W.partitionBy("_own_file", "_own").orderBy("id_seq").rowsBetween(W.unboundedPreceding, 0))
+    own = df.withColumn("_own_file", F.col("file")).withColumn("_own", _segment()).withColumn("ts", within)
+    met = own.join(small, F.col("_own_file").eqNullSafe(F.col("_file")) & (F.col("_own") == F.col("_segment")), "left")
+    return met.withColumn("ts", F.coalesce("ts", "_carried")).select(*df.columns)
 
 
 def clock_skew(df: DataFrame) -> DataFrame:
-    """Largest backward jump in record order, in seconds, per file."""
-    at = F.unix_timestamp("ts")
-    known = df.where(F.col("ts").isNotNull()).withColumn("back", F.lag(at).over(W.partitionBy("file").orderBy("id_seq")) - at)
-    return known.groupBy("file").agg(F.greatest(F.lit(0).cast("bigint"), F.coalesce(F.max("back"), F.lit(0).cast("bigint"))).alias("skew_seconds"))
+    """Largest backward jump in record order, in seconds, per file: within segments, and from each to the next."""
+    at, zero = F.unix_timestamp("ts"), F.lit(0).cast("bigint")
+    earlier = lambda c, order: F.last(c, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    own = df.select("file", _segment().alias("segment"), "id_seq", at.alias("at"))
+    inner = own.select("file", "at", (earlier("at", W.partitionBy("file", "segment").orderBy("id_seq")) - F.col("at")).alias("back"))
+    between = _edges(df, at).select("file", F.col("head").alias("at"), (earlier("tail", W.partitionBy("file").orderBy("segment")) - F.col("head")).alias("back"))
+    jumps = [x.groupBy("file").agg(F.max("at").alias("at"), F.max("back").alias("back")) for x in (inner, between)]
+    found = jumps[0].unionByName(jumps[1]).groupBy("file").agg(F.greatest(zero, F.coalesce(F.max("back"), zero)).alias("skew_seconds"), F.max("at").alias("at"))
+    return found.where("at IS NOT NULL").drop("at")
 
 
 def skew_note(skews: DataFrame) -> DataFrame:
@@ -45,7 +77,16 @@ def _values(fields: Column, names: list[str], fit=lambda v: F.lit(True)) -> Colu
 
 
 def extract_entities(fields: Column, raw: Column, user: Column, host: Column) -> Column:
-    """Addresses, accounts, hosts, keys, pods, processes and indicators of a record, in this order, each once."""
+    """Addresses, accounts, hosts, keys, pods, processes and indicators of a record, in this order, each once.
+
+    The arguments are bound to a lambda's variable, once each: a filter that the optimizer makes of the result, as an
+    explode does, would else spell out all that they are made of wherever they are used.
+    """
+    given = F.array(F.struct(fields.alias("fields"), raw.alias("raw"), user.alias("user"), host.alias("host")))
+    return F.transform(given, lambda g: _entities(g["fields"], g["raw"], g["user"], g["host"]))[0]
+
+
+def _entities(fields: Column, raw: Column, user: Column, host: Column) -> Column:
     empty = F.array().cast("array<string>")
     short = lambda v: (F.length(v) < NAME_LENGTH) & ~v.contains(" ")
     addresses = F.flatten(F.transform(_values(fields, IP_FIELDS), lambda v: F.concat(network.find_ipv4(v), network.find_ipv6(v))))
@@ -102,7 +143,7 @@ def keep_ids(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = old.groupBy("source_id").agg(F.count("*").alias("a")).join(new.groupBy("source_id").agg(F.count("*").alias("b")), "source_id", "full")
     same = sizes.select("source_id", (F.col("a") == F.col("b")).alias("_same"))
     rank = F.row_number().over(W.partitionBy("source_id", "raw").orderBy("id_seq"))
-    mark = lambda df: df.withColumn("_rank", rank).join(F.broadcast(same), "source_id")  # noqa: E731  one row a source
+    mark = lambda df: df.withColumn("_rank", rank).join(same, "source_id")
     left = mark(new).alias("n")
     right = mark(old.select("source_id", "id_seq", "raw", F.col("id").alias("_old"))).alias("o")
     by_number = (F.col("n._same")) & (F.col("n.id_seq") == F.col("o.id_seq"))

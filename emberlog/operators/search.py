@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlog.operators.dsl import to_column
+from emberlog.operators.durable import stored
 
 MOST_ROWS = 5000
 
@@ -65,14 +66,15 @@ def get_by_ids(events: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame]
 def positions(found: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
     """Numbers rows from 0 in a global order without bringing them to one task.
 
-    Rows are range-partitioned and numbered within their partition; each partition's first number is the sum of the
-    partitions' sizes before it, and only those sizes are ordered in one place.
+    Rows are range-partitioned, numbered within their partition and written, so that both readers see the same ranges;
+    each partition's first number is the sum of the partitions' sizes before it, and only those sizes are ordered in one
+    place.
     """
     ranged = found.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inner = ranged.withColumn("_row", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    inner = stored(ranged.withColumn("_row", F.row_number().over(W.partitionBy("_part").orderBy(*order))), "positions")
     sizes = inner.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).drop("_n")
-    return inner.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_row") - 1).drop("_part", "_row", "_before")
+    return inner.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_row") - 1).drop("_part", "_row", "_before")  # a row a partition
 
 
 def spread_sample(found: DataFrame, n: int) -> DataFrame:

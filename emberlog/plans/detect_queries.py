@@ -6,6 +6,7 @@ Keys are sparse in the given tables, so bursts run with long windows and low thr
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +30,12 @@ RULES = detections.catalogue(
 )
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, *tables: str):
+    """Registers a query over the event table, and over further given tables."""
+
     def add(fn):
         # The event table is written first, as ingest would: its many derived columns are then read, not planned again.
-        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(stored(log_events(spark, sf_dir), "events"))
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(stored(log_events(spark, sf_dir), "events"), *[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables])
         if sql:
             SQL[fn.__name__] = sql
         return fn
@@ -399,6 +402,28 @@ def ioc_locate(ev):
     return iocs.locate(ev, manual).groupBy("kind", "value").agg(F.count_distinct("id").alias("count"))
 
 
+_TEXTS = "raw || chr(1) || msg || chr(1) || concat_ws(chr(1), f_k, f_src_ip, f_bytes, f_status, f_path, f_method, f_action, f_dst, f_level, f_event, f_rows, f_program, f_result)"
+
+
+@query(EVENTS_SQL + f""", man AS (SELECT DISTINCT 'user' AS kind, "user" AS value FROM ev UNION SELECT DISTINCT 'ipv4', f_src_ip FROM ev UNION SELECT DISTINCT 'name', c_name FROM customer UNION SELECT DISTINCT 'size', f_bytes FROM ev WHERE length(f_bytes) > 5),
+t AS (SELECT id, {_TEXTS} AS text FROM ev), h AS (SELECT kind, value, id FROM man JOIN t ON contains(text, value) UNION SELECT kind, value, id FROM man JOIN ent ON e = value)
+SELECT kind, value, count(*) AS count, min(id) AS first_id FROM h GROUP BY ALL""", "customer")
+def ioc_locate_many(ev, customer):
+    own = [ev.select(F.lit("user").alias("kind"), F.col("user").alias("value")), ev.select(F.lit("ipv4"), F.col("fields")["src_ip"]), ev.select(F.lit("size"), F.col("fields")["bytes"]).where(F.length(F.col("fields")["bytes"]) > 5)]
+    manual = reduce(DataFrame.union, [*own, customer.select(F.lit("name"), "c_name")]).distinct()
+    return iocs.locate(ev, manual).groupBy("kind", "value").agg(F.count_distinct("id").alias("count"), F.min("id").alias("first_id"))
+
+
+# The file as it was: every third line has text around it, every seventh is gone, and files begin with a line that all later ones hold.
+@query(EVENTS_SQL + """, l AS (SELECT file, id_seq AS line, CASE WHEN id_seq % 3 = 0 THEN '<13> ' || raw || ' #' || id_seq ELSE '  ' || raw END AS text FROM ev WHERE id_seq % 7 <> 0),
+x AS (SELECT ev.id, min(line) AS line FROM ev JOIN l ON ev.file = l.file AND trim(l.text) = trim(ev.raw) GROUP BY 1),
+y AS (SELECT ev.id, min(line) AS line FROM ev JOIN l ON ev.file = l.file AND contains(l.text, substr(trim(ev.raw), 1, 400)) WHERE ev.id NOT IN (SELECT id FROM x) GROUP BY 1)
+SELECT id, line, TRUE AS exact FROM x UNION ALL SELECT id, line, FALSE FROM y""")
+def event_location(ev):
+    text = F.when(F.col("id_seq") % 3 == 0, F.concat(F.lit("<13> "), "raw", F.lit(" #"), "id_seq")).otherwise(F.concat(F.lit("  "), "raw"))
+    return cases.locate(ev, ev.where("id_seq % 7 <> 0").select("file", "id_seq", text.alias("raw")))
+
+
 @query(HITS_SQL + _IOC + "SELECT kind, value, first_ts AS ts, count FROM ioc WHERE first_ts IS NOT NULL")
 def ioc_markers(ev):
     return iocs.markers(iocs.extract(_detected(ev)))

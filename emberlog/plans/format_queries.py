@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.operators import facets, normalize
-from emberlog.operators.durable import shared_dir
+from emberlog.operators.durable import shared_dir, stored
 from emberlog.plans.source_queries import LATEST, YEAR, access_lines
 from emberlog.sources import binary, delimited, lines, records
 
@@ -194,5 +194,5 @@ def field_vocabulary(spark, sf_dir):
 
 @query("""SELECT e AS entity, count(*) AS n FROM (SELECT unnest(['45.83.' || (user_id % 200) || '.' || (user_id % 50), 'u' || user_id]) AS e FROM events WHERE ts IS NOT NULL AND event_id % 101 <> 7) GROUP BY 1""")
 def extract_entities(spark, sf_dir):
-    events = normalize.normalize(lines.access_log(access_lines(spark, sf_dir), YEAR, LATEST), "nginx.access")
+    events = stored(normalize.normalize(lines.access_log(access_lines(spark, sf_dir), YEAR, LATEST), "nginx.access"), "normalized")
     return events.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))

@@ -82,7 +82,7 @@ def table_to_events(spark, sf_dir):
     return parsed.select("id_seq", "ts", f("o_custkey.label", "customer"), f("c_nationkey.label", "nation"), f("o_orderstatus", "status"))
 
 
-_LINES = "WITH l AS (SELECT 'doc' || doc_id AS file, unnest(range(len(string_split(text, chr(10))))) AS id_seq, unnest(string_split(text, chr(10))) AS raw FROM documents), s AS (SELECT * FROM l WHERE trim(raw) <> '' AND id_seq < 200)"
+_LINES = "WITH l AS (SELECT 'doc' || doc_id AS file, unnest(range(len(string_split(text, chr(10))))) AS id_seq, unnest(string_split(text, chr(10))) AS raw FROM documents), s AS (SELECT * FROM l WHERE trim(raw) <> '')"
 
 
 @query(_LINES + """, c AS (SELECT file, d.delimiter, length(raw) - length(replace(raw, d.delimiter, '')) AS k FROM s, (VALUES (','), (chr(9)), (';'), ('|')) d(delimiter)),
@@ -110,7 +110,7 @@ def format_fingerprint(spark, sf_dir):
     return fingerprint.fingerprint(own)
 
 
-@query(_LINES.replace("s AS (SELECT * FROM l WHERE trim(raw) <> '' AND id_seq < 200)", "s AS (SELECT * FROM l WHERE trim(raw) <> '')") + " SELECT file, id_seq AS line, substr(raw, 1, 2000) AS text FROM s WHERE contains(lower(raw), 'license') ORDER BY file, id_seq LIMIT 100 OFFSET 5")
+@query(_LINES + " SELECT file, id_seq AS line, substr(raw, 1, 2000) AS text FROM s WHERE contains(lower(raw), 'license') ORDER BY file, id_seq LIMIT 100 OFFSET 5")
 def raw_file_page(spark, sf_dir):
     return cases.file_page(document_lines(spark, sf_dir), "LICENSE", 5, 100)
 
