@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.operators import bursts, cases, graph, iocs, needles, normalize, search
+from emberlog.operators import bursts, cases, correlate, graph, iocs, needles, normalize, search
 from emberlog.schema import EVENT
 from emberlog.sources import delimited, lines
 from tests.test_operators import event
@@ -158,3 +158,34 @@ def test_exploding_entities_of_unwritten_events(spark):
     assert len(exploded._jdf.queryExecution().optimizedPlan().toString()) < 150_000
     assert Counter(r["e"] for r in exploded.collect())["u3"] == 22
     assert time.perf_counter() - began < 40
+
+
+@pytest.mark.parametrize("seed,listed", [(0, 6), (1, 6), (2, 2)])
+def test_related_events_against_all_pairs(spark, monkeypatch, seed, listed):
+    """Posting lists cut by a bound give the ranking of all pairs, wide events and events without time included."""
+    monkeypatch.setattr(correlate, "LISTED_ENTITIES", listed)
+    monkeypatch.setattr(correlate, "LIST_SLICE", 40)
+    draw = random.Random(seed)
+    rows = []
+    for i in range(160):
+        names = sorted({f"e{draw.choice([0, 0, 0, 1, 1, 2, 3, 4, 5, 6, 7])}" for _ in range(draw.randrange(5))})
+        hits = sorted({draw.choice(["R1", "R2", "R3"]) for _ in range(draw.choice([0, 0, 1, 2]))})
+        rows.append(event(i, draw.choice([None, 1000 + draw.randrange(600), 1000 + draw.randrange(20)]), sev=draw.choice(["info", "high", "high", "low"]), entities=names, hits=hits))
+    frame = spark.createDataFrame(rows, EVENT)
+    count = Counter(e for r in rows for e in r[12])
+    generic = {e for e, n in count.items() if n > 0.5 * len(rows)}
+    rank = {"info": 0, "low": 1, "medium": 2, "high": 3, "critical": 4}
+    seen = [(r[0], None if r[2] is None else r[2].timestamp(), set(r[12]) - generic, {h[0] for h in r[13]}, rank[r[9]]) for r in rows]
+    want = []
+    for f in seen[::5]:
+        found = []
+        for o in seen:
+            if o[0] == f[0]:
+                continue
+            shares, same = len(f[2] & o[2]), int(bool(f[3] & o[3]))
+            dt = None if f[1] is None or o[1] is None else abs(f[1] - o[1])
+            if shares or same or (dt is not None and dt <= 90):
+                found.append((-(2 * shares + 3 * bool(o[3]) + same), -o[4], (dt is None, dt or 0), o[0], shares))
+        want += [(f[0], o, place, -score, shares) for place, (score, _, _, o, shares) in enumerate(sorted(found)[:7], 1)]
+    got = correlate.correlations(frame, frame.where("id_seq % 5 = 0")).select("event", "other", "place", "score", "shares")
+    assert pairs(got) == sorted(want)
