@@ -20,6 +20,7 @@ from emberlog.functions.severity import sev_name, sev_rank
 from emberlog.functions.text import any_of, fmt_bytes, fmt_span
 from emberlog.operators.bursts import find_bursts
 from emberlog.operators.durable import stored
+from emberlog.operators.quantiles import percentile
 from emberlog.operators.rules import Rule
 
 # Patterns of the catalogue.
@@ -304,7 +305,8 @@ def attackers(events: DataFrame, burst_hits: DataFrame, rules: dict[str, Rule])
 def host_p99(events: DataFrame, least_flows: int) -> DataFrame:
     """99th percentile of flow bytes of the hosts with enough flows."""
     flows = events.where(family("net")).select(_src().alias("src"), _number(_f("bytes")).alias("bytes"))
-    return flows.groupBy("src").agg(F.percentile("bytes", 0.99).alias("p99"), F.count("*").alias("flows")).where(F.col("flows") >= least_flows)
+    found = percentile(flows.select(F.col("src").alias("key"), F.col("bytes").alias("value")), 0.99)
+    return found.select(F.col("key").alias("src"), F.col("percentile").alias("p99"), F.col("n").alias("flows")).where(F.col("flows") >= least_flows)
 
 
 def followed_logins(events: DataFrame, web_bursts: DataFrame, rules: dict[str, Rule]) -> DataFrame:

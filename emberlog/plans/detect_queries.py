@@ -5,6 +5,7 @@ Keys are sparse in the given tables, so bursts run with long windows and low thr
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.severity import sev_rank
-from emberlog.operators import bursts, cases, correlate, detections, graph, iocs, report, search
-from emberlog.operators.durable import stored
+from emberlog.operators import bursts, cases, correlate, detections, graph, iocs, report, search, snapshots
+from emberlog.operators.durable import shared_dir, stored
 from emberlog.plans.search_queries import burst_sql
 from emberlog.plans.views import EVENTS_SQL, log_events
 
@@ -414,6 +415,14 @@ def ioc_locate_many(ev, customer):
     return iocs.locate(ev, manual).groupBy("kind", "value").agg(F.count_distinct("id").alias("count"), F.min("id").alias("first_id"))
 
 
+@query(EVENTS_SQL + """SELECT source_id, CASE WHEN source_id IN ('s1', 's2') THEN 'new' ELSE 'old' END AS state, count(*) AS n, min(id) AS first_id FROM ev WHERE source_id <> 's3' AND (source_id = 's0' OR id_seq % 3 > 0) GROUP BY 1, 2""")
+def sources_replaced(ev):
+    path = f"{shared_dir(ev.sparkSession)}/versions-{uuid.uuid4().hex}"
+    snapshots.commit(ev.select("source_id", "id", F.lit("old").alias("state")), path)
+    snapshots.commit(ev.where("source_id IN ('s1', 's2') AND id_seq % 3 > 0").select("source_id", "id", F.lit("new").alias("state")), path, removed=["s3"])
+    return snapshots.read(ev.sparkSession, path).groupBy("source_id", "state").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
 # The file as it was: every third line has text around it, every seventh is gone, and files begin with a line that all later ones hold.
 @query(EVENTS_SQL + """, l AS (SELECT file, id_seq AS line, CASE WHEN id_seq % 3 = 0 THEN '<13> ' || raw || ' #' || id_seq ELSE '  ' || raw END AS text FROM ev WHERE id_seq % 7 <> 0),
 x AS (SELECT ev.id, min(line) AS line FROM ev JOIN l ON ev.file = l.file AND trim(l.text) = trim(ev.raw) GROUP BY 1),

@@ -101,13 +101,21 @@ def column_role_stats(spark, sf_dir):
     return delimited.role_statistics(own).select("file", "pos", "ts", "action", "ip", "num")
 
 
-@query("""WITH l AS (SELECT event_id % 40 AS f, CASE event_id % 4 WHEN 0 THEN '{"a": ' || user_id || '}' WHEN 1 THEN 'Jan  2 03:04:05 host prog[1]: text' WHEN 2 THEN 'x|y|' || user_id ELSE 'only words here' END AS raw FROM events)
-SELECT 'f' || f AS file, CASE f % 4 WHEN 0 THEN 'app.jsonl' WHEN 1 THEN 'syslog' WHEN 2 THEN 'delimited' ELSE 'text' END AS parser, 1.0 AS confidence, 'READY' AS state FROM l GROUP BY f""")
+# Eight kinds of files: readable ones, ones that look like a format and do not parse, and mixed ones.
+@query("""WITH l AS (SELECT event_id % 48 AS f, event_id // 48 AS n FROM events WHERE event_id // 48 < 200),
+s AS (SELECT f, avg(CASE WHEN n % 10 < 8 THEN 1.0 ELSE 0 END) AS most, avg(CASE WHEN n % 4 < 3 THEN 1.0 ELSE 0 END) AS many, avg(CASE WHEN n % 5 < 2 THEN 1.0 ELSE 0 END) AS few FROM l GROUP BY f)
+SELECT 'f' || f AS file, CASE f % 8 WHEN 0 THEN 'app.jsonl' WHEN 1 THEN 'syslog' WHEN 2 THEN 'delimited' WHEN 5 THEN 'app.jsonl' WHEN 6 THEN 'delimited' ELSE 'text' END AS parser,
+  round(CASE f % 8 WHEN 3 THEN 0.2 WHEN 4 THEN 0.2 WHEN 5 THEN most WHEN 6 THEN many WHEN 7 THEN round(0.2 + 0.3 * few, 3) ELSE 1.0 END, 6) AS confidence,
+  CASE WHEN f % 8 = 5 AND most < 0.9 THEN 'REVIEW' WHEN f % 8 = 6 AND many < 0.9 THEN 'MAP' ELSE 'READY' END AS state,
+  CASE f % 8 WHEN 4 THEN 'app.jsonl' WHEN 7 THEN 'app.jsonl,syslog' ELSE '' END AS demoted FROM s""")
 def format_fingerprint(spark, sf_dir):
-    e, k = _table(spark, sf_dir, "events"), F.col("event_id") % 4
-    raw = F.when(k == 0, F.concat(F.lit('{"a": '), "user_id", F.lit("}"))).when(k == 1, "Jan  2 03:04:05 host prog[1]: text").when(k == 2, F.concat(F.lit("x|y|"), "user_id")).otherwise("only words here")
-    own = e.select(F.concat(F.lit("f"), F.col("event_id") % 40).alias("file"), F.floor(F.col("event_id") / 40).alias("id_seq"), raw.alias("raw"))
-    return fingerprint.fingerprint(own)
+    e, kind, n = _table(spark, sf_dir, "events"), F.col("event_id") % 8, F.floor(F.col("event_id") / 48)
+    good, line, cells, words = F.concat(F.lit('{"a": '), "user_id", F.lit("}")), F.lit("Jan  2 03:04:05 host prog[1]: text"), F.concat(F.lit("x|y|"), "user_id"), F.lit("only words here")
+    broken = F.concat(F.lit('{"a": oops "'), "user_id", F.lit('}'))
+    raw = F.when(kind == 0, good).when(kind == 1, line).when(kind == 2, cells).when(kind == 3, words).when(kind == 4, broken)
+    raw = raw.when(kind == 5, F.when(n % 10 < 8, good).otherwise(words)).when(kind == 6, F.when(n % 4 < 3, cells).otherwise(words)).otherwise(F.when(n % 5 < 2, line).otherwise(broken))
+    own = e.select(F.concat(F.lit("f"), F.col("event_id") % 48).alias("file"), n.alias("id_seq"), raw.alias("raw"))
+    return fingerprint.fingerprint(own, YEAR).withColumn("demoted", F.array_join("demoted", ","))
 
 
 @query(_LINES + " SELECT file, id_seq AS line, substr(raw, 1, 2000) AS text FROM s WHERE contains(lower(raw), 'license') ORDER BY file, id_seq LIMIT 100 OFFSET 5")

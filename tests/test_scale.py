@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.operators import bursts, cases, correlate, graph, iocs, needles, normalize, search
+from emberlog.operators import bursts, cases, correlate, graph, iocs, needles, normalize, quantiles, search, snapshots
 from emberlog.schema import EVENT
 from emberlog.sources import delimited, lines
 from tests.test_operators import event
@@ -189,3 +189,39 @@ def test_related_events_against_all_pairs(spark, monkeypatch, seed, listed):
         want += [(f[0], o, place, -score, shares) for place, (score, _, _, o, shares) in enumerate(sorted(found)[:7], 1)]
     got = correlate.correlations(frame, frame.where("id_seq % 5 = 0")).select("event", "other", "place", "score", "shares")
     assert pairs(got) == sorted(want)
+
+
+@pytest.mark.parametrize("p", [0.0, 0.5, 0.99, 1.0])
+def test_percentiles_by_narrowing(spark, p):
+    draw = random.Random(1)
+    rows = [("hot", draw.choice([draw.random() * 1e9, float(draw.randrange(5)), -3.5])) for _ in range(3000)] + [("same", 7.0)] * 400 + [("few", float(i)) for i in range(10)] + [("one", 1.5), (None, 2.0), ("few", None)]
+    frame = spark.createDataFrame(rows, "key string, value double").repartition(4)
+    want = {r["key"]: (r["v"], r["n"]) for r in frame.where("key IS NOT NULL AND value IS NOT NULL").groupBy("key").agg(F.percentile("value", p).alias("v"), F.count("*").alias("n")).collect()}
+    for few in (50, 100_000):
+        got = {r["key"]: (r["percentile"], r["n"]) for r in quantiles.percentile(frame, p, few).collect()}
+        assert {k: n for k, (_, n) in got.items()} == {k: n for k, (_, n) in want.items()}
+        assert all(got[k][0] == pytest.approx(want[k][0], rel=1e-12) for k in want)
+
+
+def test_versions_of_several_sources(spark, tmp_path):
+    path = f"file://{tmp_path}/events"
+    rows = lambda *own: spark.createDataFrame([(s, i, t) for s, n, t in own for i in range(n)], "source_id string, id long, text string")
+    seen = lambda v=None: {(r["source_id"], r["text"]): r["count"] for r in snapshots.read(spark, path, v).groupBy("source_id", "text").count().collect()}
+    with pytest.raises(ValueError):
+        snapshots.read(spark, path)
+    assert snapshots.commit(rows(("a", 3, "old"), ("b", 2, "old"), ("c", 1, "old")), path) == 1
+    opened = snapshots.read(spark, path)
+    assert snapshots.commit(rows(("a", 5, "new"), ("b", 4, "new")), path) == 2
+    assert seen() == {("a", "new"): 5, ("b", "new"): 4, ("c", "old"): 1}
+    assert seen(1) == {("a", "old"): 3, ("b", "old"): 2, ("c", "old"): 1} and opened.count() == 6
+    # A commit that dies while it writes its rows, and one that dies while it writes its manifest.
+    broken = rows(("a", 9, "lost"), ("b", 9, "lost")).withColumn("text", F.when(F.col("source_id") == "b", F.raise_error(F.lit("killed")).cast("string")).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="killed"):
+        snapshots.commit(broken, path)
+    (tmp_path / "events/manifests/3").mkdir()
+    assert snapshots.versions(spark, path) == [1, 2] and seen() == {("a", "new"): 5, ("b", "new"): 4, ("c", "old"): 1}
+    assert snapshots.commit(rows(("d", 1, "new")).limit(0), path, removed=["a"]) == 4
+    assert seen() == {("b", "new"): 4, ("c", "old"): 1}
+    assert snapshots.commit(rows(("c", 2, "new")), path) == 5
+    assert len(snapshots.vacuum(spark, path, 1)) == 4 and snapshots.versions(spark, path) == [5]
+    assert seen() == {("b", "new"): 4, ("c", "new"): 2}

@@ -118,3 +118,23 @@ def test_burst_alerts(spark, tmp_path):
     q = ingest.burst_alerts(stream, "user", 10, 4).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(90)
     assert [(r["id"], r["count"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("e03", 4)]
+
+
+def test_a_format_that_does_not_parse_is_demoted(spark):
+    element = '<Event><System><EventID>4624</EventID></System></Event>'
+    files = {
+        "json": ['{"a": 1}'] * 10,
+        "broken": ['{"a": oops "b"}'] * 10,
+        "half": ['{"a": 1}'] * 5 + ['{"a": oops "b"}'] * 5,
+        "transcript": ['{"text": "see ' + element + '"}'] * 6 + ['{"text": "no"}'] * 2,
+        "element": [element] * 4,
+        "elements over lines": ["<Event>", "<System>", "<EventID>1</EventID>", "</System>"],
+        "words": ["plain words"] * 3,
+    }
+    rows = [(name, i, raw) for name, own in files.items() for i, raw in enumerate(own)] + [("empty", 0, "  ")]
+    found = {r["file"]: (r["parser"], r["state"], r["demoted"]) for r in fingerprint.fingerprint(spark.createDataFrame(rows, "file string, id_seq long, raw string")).collect()}
+    assert found == {
+        "json": ("app.jsonl", "READY", []), "broken": ("text", "READY", ["app.jsonl"]), "half": ("app.jsonl", "READY", []),
+        "transcript": ("app.jsonl", "READY", []), "element": ("windows.evtx", "READY", []),
+        "elements over lines": ("windows.evtx", "REVIEW", []), "words": ("text", "READY", []),
+    }
