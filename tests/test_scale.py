@@ -223,5 +223,5 @@ def test_versions_of_several_sources(spark, tmp_path):
     assert snapshots.commit(rows(("d", 1, "new")).limit(0), path, removed=["a"]) == 4
     assert seen() == {("b", "new"): 4, ("c", "old"): 1}
     assert snapshots.commit(rows(("c", 2, "new")), path) == 5
-    assert len(snapshots.vacuum(spark, path, 1)) == 4 and snapshots.versions(spark, path) == [5]
+    assert len(snapshots.vacuum(spark, path, 1)) == 3 and snapshots.versions(spark, path) == [5]
     assert seen() == {("b", "new"): 4, ("c", "new"): 2}
