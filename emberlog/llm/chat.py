@@ -51,13 +51,20 @@ def unescape(text: str) -> str:
     return re.sub(r"(?s)\\(.)", r"\1", text)
 
 
+def _size(value: float | None) -> float:
+    """A size that counts: nothing, a negative and an endless one, and what is no number, are 0."""
+    return value if value is not None and 0 <= value < math.inf else 0
+
+
 class Flatten:
     """Visits a turn's parts; afterwards ``text`` is its escaped text and ``attachments`` its attachments in order."""
 
     def __init__(self) -> None:
         self.text, self.attachments = "", []
 
-    def visit(self, part: dict) -> None:
+    def visit(self, part: dict | None) -> None:
+        if part is None:
+            return
         getattr(self, f"visit_{part['type']}", self.visit_unknown)(part)
 
     def visit_text(self, part: dict) -> None:
@@ -68,13 +75,13 @@ class Flatten:
         self.attachments.append({"kind": kind, "ref": part["ref"], "tokens": tokens})
 
     def visit_image(self, part: dict) -> None:
-        self._attach("image", PLACEHOLDERS["image"], part, math.ceil((part["width"] or 0) / PATCH) * math.ceil((part["height"] or 0) / PATCH))
+        self._attach("image", PLACEHOLDERS["image"], part, math.ceil(_size(part["width"]) / PATCH) * math.ceil(_size(part["height"]) / PATCH))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", PLACEHOLDERS["audio"], part, math.ceil((part["seconds"] or 0) * AUDIO_RATE))
+        self._attach("audio", PLACEHOLDERS["audio"], part, math.ceil(_size(part["seconds"]) * AUDIO_RATE))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", PLACEHOLDERS["document"], part, (part["pages"] or 0) * PAGE_TOKENS)
+        self._attach("document", PLACEHOLDERS["document"], part, _size(part["pages"]) * PAGE_TOKENS)
 
     def visit_unknown(self, part: dict) -> None:
         self._attach(part["type"] or "unknown", UNKNOWN, part, 0)
@@ -84,7 +91,7 @@ def plain_turns(conversations: DataFrame) -> DataFrame:
     """Rows of conv_id, turn, role, text as turns of one text part each."""
     nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))]
     part = F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text"), *nothing)
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.array(part).alias("parts"))
+    return conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.array(part).alias("parts"))
 
 
 def marked(role: str, text: str) -> tuple[str, int]:
@@ -99,7 +106,7 @@ def marked(role: str, text: str) -> tuple[str, int]:
 def format_turns(turns: DataFrame) -> DataFrame:
     """One row a turn, in order within a conversation: formatted text, its offset, the loss span within it, attachments."""
     names = ["conv_id", "turn_no", "formatted", "offset", "loss_start", "loss_end", "attachments"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(ATTACHMENT)]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(ATTACHMENT)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, number, offset, begun = None, 0, 0, False
@@ -117,11 +124,12 @@ def format_turns(turns: DataFrame) -> DataFrame:
                 end = start + len(flat.text) if role == "assistant" else start
                 out.append((conv_id, number, formatted, offset, start, end, flat.attachments))
                 number, offset = number + 1, offset + len(formatted)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), [batch.column(0).type, *kinds], strict=True)], names)
 
     ordered = turns.withColumn("tie", F.coalesce(F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))), ""), F.lit("")))
     ordered = ordered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "tie").select("conv_id", "role", "parts")
-    schema = "conv_id long, turn_no long, formatted string, offset long, loss_start long, loss_end long, attachments array<struct<kind: string, ref: string, tokens: long>>"
+    schema = f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, turn_no long, formatted string, offset long, loss_start long, loss_end long, attachments array<struct<kind: string, ref: string, tokens: long>>"
     return map_arrow(ordered, run, schema)
 
 
@@ -139,7 +147,7 @@ def parse_turn(formatted: str) -> tuple[str, str]:
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of each conversation, from the rows of ``format_turns`` in the order they come in."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: list = []
@@ -149,7 +157,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
             conv_id, n, turns, chars, loss, size = state
             done.append((conv_id, n, turns.hexdigest(), chars, loss.hexdigest(), size))
 
+        kind = pa.int64()
         for batch in batches:
+            kind = batch.column(0).type
             for conv_id, number, text, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not number:
                     if state:
@@ -163,14 +173,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 state[4].update(learned.encode())
                 state[5] += len(text)
             if len(done) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*done, strict=True), [kind, *kinds], strict=True)], names)
                 done = []
         if state:
             close()
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*done, strict=True), [kind, *kinds], strict=True)], names)
 
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    schema = f"conv_id {formatted.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return map_arrow(formatted.select("conv_id", "turn_no", "formatted", "loss_start", "loss_end"), run, schema)
 
 

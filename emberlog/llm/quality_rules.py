@@ -6,7 +6,8 @@ whole raw corpus. A document's score is its log-likelihood ratio per n-gram; it
 threshold. Nothing is sampled: equal texts get equal verdicts.
 
 Nulls and edges. A null text, or one without a word, has zero counts, score 0 and fails the base rules. Repeated rows
-are judged one by one. Extra columns of the input are ignored; an empty table gives an empty result.
+are judged one by one. Ids are of any type. Characters beyond U+FFFF count as marks, not letters, in pieces. Extra columns
+of the input are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trus
     """Base statistics, score and verdict of every document; trusted documents are those labelled of good quality."""
     docs = docs.select("doc_id", "text")
     good = bounded_ids(labels.where(F.col("quality") == 1), "doc_id", trusted_bound)
-    chosen = docs.sparkSession.createDataFrame([(x,) for x in sorted(good)], "trusted_id long")
+    chosen = docs.sparkSession.createDataFrame([(x,) for x in sorted(good)], f"trusted_id {labels.schema['doc_id'].dataType.simpleString()}")
     marked = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("trusted_id"), "left")  # at most trusted_bound rows
     model = fit_log_ratio(marked, F.col("trusted_id").isNotNull())
     judged = docs.select("doc_id", base_statistics(F.col("text")).alias("base"), log_ratio(F.col("text"), model).alias("log_ratio"))

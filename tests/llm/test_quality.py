@@ -66,6 +66,12 @@ def test_log_ratio_against_brute_force(spark, small, sf):
         assert row["kept"] == (not failed and row["log_ratio"] >= quality_rules.THRESHOLD)
 
 
+def test_text_ids(spark):
+    docs = spark.createDataFrame([("a", "some words here"), ("b", "other words")], "doc_id string, text string")
+    labels = spark.createDataFrame([("a", 1, 0)], "doc_id string, quality int, toxic int")
+    assert sorted(r["doc_id"] for r in quality_rules.judge(docs, labels).collect()) == ["a", "b"]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(4, 1, 0), (None, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
     rows = quality_rules.judge(odd_docs, labels).collect()

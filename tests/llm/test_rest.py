@@ -270,6 +270,17 @@ def test_typed_parts(spark):
     assert [tuple(a) for a in row["attachments"]] == [("image", "a.png", 4), ("audio", "b.wav", 38), ("document", "c.pdf", 2048), ("video", "d", 0)]
 
 
+def test_odd_parts_and_text_ids(spark):
+    part = lambda **x: {k: x.get(k) for k in ("type", "text", "ref", "width", "height", "seconds", "pages")}
+    parts = [None, part(type="audio", seconds=float("nan")), part(type="audio", seconds=float("inf")), part(type="image", width=-3, height=9), part(type="document"), part(), part(type="text")]
+    turns = spark.createDataFrame([("c1", 0, "user", parts), ("c1", 1, "user", None), (None, 0, "user", [None])], chat.TURNS.replace("conv_id long", "conv_id string"))
+    rows = {(r["conv_id"], r["turn_no"]): r for r in chat.format_turns(turns).collect()}
+    assert [a["tokens"] for a in rows["c1", 0]["attachments"]] == [0] * 5
+    assert rows["c1", 1]["formatted"] == "[INST][/INST]" and rows[None, 0]["formatted"] == "<s>[INST][/INST]"
+    plain = chat.plain_turns(spark.createDataFrame([("x", 0, "user", "hi")], "conv_id string, turn long, role string, text string"))
+    assert [(r["conv_id"], r["n_turns"]) for r in chat.read_back(chat.format_turns(plain)).collect()] == [("x", 1)]
+
+
 # Url rules
 
 
