@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 @cache
 def _modules() -> list:
-    from emberlog.plans import detail_queries, detect_queries, format_queries, rule_queries, search_queries, source_queries
+    from emberlog.plans import detail_queries, detect_queries, format_queries, rule_queries, search_queries, source_queries, stream_queries
 
-    return [search_queries, detect_queries, rule_queries, source_queries, format_queries, detail_queries]
+    return [search_queries, detect_queries, rule_queries, source_queries, format_queries, detail_queries, stream_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
