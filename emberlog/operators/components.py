@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +29,34 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.where(F.col("u") != F.col("v")).distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def _at_once(edges: DataFrame) -> DataFrame:
+    """(node, component) of a small edge table ``edges(u, v)`` by union-find in one task: the smaller root stays a root."""
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        above: dict = {}
+
+        def root(x):
+            while above.setdefault(x, x) != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch["u"].tolist(), batch["v"].tolist(), strict=True):
+                low, high = sorted((root(u), root(v)))
+                above[high] = low
+        nodes = list(above)
+        yield pd.DataFrame({"node": nodes, "component": [root(x) for x in nodes]})
+
+    kind = edges.schema["u"].dataType.simpleString()
+    return edges.coalesce(1).mapInPandas(join, f"node {kind}, component {kind}")
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60, small: int = 0) -> DataFrame:
     """``(node, component)`` for every node of ``edges``, component being the smallest node reachable.
 
     Nodes are comparable values (numbers are compared as such). Null ends and self loops are ignored; an empty edge
-    table gives an empty result. Every round is written to the shared folder, so that lineage stays short.
+    table gives an empty result. Every round is written to the shared folder, so that lineage stays short. An edge table
+    of at most ``small`` rows, counted first, goes through one task instead: there a round's jobs cost more than the work.
     """
     edges = (
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -38,6 +64,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         .distinct()
     )
     edges, before = stored(edges, "edges"), None
+    if small and edges.count() <= small:
+        return _at_once(edges)
     for _ in range(most_rounds):
         edges = stored(_star(_star(edges, True), False), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -141,6 +141,16 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
+def test_small_components_in_one_task(spark):
+    draw = random.Random(5)
+    links = [(draw.randrange(60), draw.randrange(60)) for _ in range(45)] + [(7, 7), (None, 3), (3, None)]
+    for rows, kind in ((links, "long"), ([tuple(None if x is None else f"n{x}" for x in pair) for pair in links], "string"), ([], "long")):
+        edges = spark.createDataFrame(rows, f"a {kind}, b {kind}")
+        rounds, once = (sorted(map(tuple, components.connected_components(edges, small=small).collect())) for small in (0, 1000))
+        assert rounds == once
+    assert once == [] and components.connected_components(edges, small=1000).schema == components.connected_components(edges).schema
+
+
 def test_scalars(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     for ip, public in {"8.8.8.8": True, "10.1.2.3": False, "192.0.2.7": False, "100.64.0.1": True, "01.2.3.4": False, "2001:4860::8888:1": True, "fe80::1": False, "x": False}.items():
