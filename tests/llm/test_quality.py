@@ -103,7 +103,7 @@ def test_importance_weights_against_brute_force(spark, small, sf):
     expected = {}
     for i, t in texts.items():
         own = (sum(models) / 2 if i not in good else models[zlib.crc32(str(i).encode()) % 2])[importance.features(t)]
-        expected[i] = 1000 * own.mean() if len(own) else 0.0
+        expected[i] = importance.LENGTH * own.mean() if len(own) else 0.0
     rows = importance.resample(small, good, k=50).collect()
     for r in rows:
         assert r["log_weight"] == pytest.approx(expected[r["doc_id"]], abs=1e-6)
@@ -123,6 +123,31 @@ def test_draws_follow_weights(spark):
     assert first == pytest.approx(math.e / (1 + math.e), abs=0.02)
 
 
+def test_inclusion_follows_the_fitted_weights(spark):
+    """Over 200 seeds, documents are drawn as often as their fitted weights say, and near the border it is the draw that decides."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = importance.good_ids(spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.select("doc_id", "text").collect()}
+    rows = importance.resample(docs, good).collect()
+    weights = {r["doc_id"]: r["log_weight"] for r in rows}
+    ids = sorted(weights)
+    w, k, seeds = np.array([weights[i] for i in ids]), sum(r["kept"] for r in rows), 200
+    by_weight = set(np.array(ids)[np.argsort(-w)[:k]].tolist())
+    assert by_weight != {r["doc_id"] for r in rows if r["kept"]}  # without noise, other documents
+    drawn, expected = np.zeros(len(ids)), np.zeros(len(ids))
+    for seed in range(1, seeds + 1):
+        keys = w + np.array([importance.gumbel(i, texts[i], seed) for i in ids])
+        least = np.sort(keys)[-k]
+        drawn += keys >= least
+        expected += 1 - np.exp(-np.exp(w - least))  # the chance that Gumbel noise lifts a weight over the bar
+    drawn, expected = drawn / seeds, expected / seeds
+    assert np.all(np.abs(drawn - expected) <= 5 * np.sqrt(expected * (1 - expected) / seeds) + 0.02)
+    open_ones = (expected > 0.05) & (expected < 0.95)
+    assert open_ones.sum() >= 10
+    assert np.corrcoef(drawn[open_ones], expected[open_ones])[0, 1] > 0.95
+
+
 def test_kth_largest(spark):
     values = spark.createDataFrame([(float(x),) for x in [5, 3, 3, 3, -1, 1e18, 7, 7]], "v double")
     ordered = sorted([5, 3, 3, 3, -1, 1e18, 7, 7], reverse=True)
