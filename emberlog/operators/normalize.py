@@ -54,11 +54,14 @@ def forward_fill(df: DataFrame) -> DataFrame:
 
 
 def clock_skew(df: DataFrame) -> DataFrame:
-    """Largest backward jump in record order, in seconds, per file: within segments, and from each to the next."""
+    """Largest backward jump in record order, in seconds, per file: within segments, and from each to the next.
+
+    Records of one number follow each other by time, so there is no jump between them.
+    """
     at, zero = F.unix_timestamp("ts"), F.lit(0).cast("bigint")
     earlier = lambda c, order: F.last(c, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
     own = df.select("file", _segment().alias("segment"), "id_seq", at.alias("at"))
-    inner = own.select("file", "at", (earlier("at", W.partitionBy("file", "segment").orderBy("id_seq")) - F.col("at")).alias("back"))
+    inner = own.select("file", "at", (earlier("at", W.partitionBy("file", "segment").orderBy("id_seq", "at")) - F.col("at")).alias("back"))
     between = _edges(df, at).select("file", F.col("head").alias("at"), (earlier("tail", W.partitionBy("file").orderBy("segment")) - F.col("head")).alias("back"))
     jumps = [x.groupBy("file").agg(F.max("at").alias("at"), F.max("back").alias("back")) for x in (inner, between)]
     found = jumps[0].unionByName(jumps[1]).groupBy("file").agg(F.greatest(zero, F.coalesce(F.max("back"), zero)).alias("skew_seconds"), F.max("at").alias("at"))

@@ -39,6 +39,13 @@ def test_segmented_fill_and_skew(spark, monkeypatch, segment):
     assert {r["file"]: r["skew_seconds"] for r in normalize.clock_skew(frame).collect()} == skews
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_skew_of_records_of_one_number(spark, turned):
+    rows = [("a", 1, 100), ("a", 1, 900), ("a", 2, 880), ("a", 2, 950), ("a", 3, None), ("a", 3, 1000)]
+    frame = spark.createDataFrame(rows[::-1] if turned else rows, "file string, id_seq long, at long").coalesce(1)
+    assert normalize.clock_skew(frame.select("file", "id_seq", F.timestamp_seconds("at").alias("ts"))).first()["skew_seconds"] == 20
+
+
 def test_one_file_spreads(spark, monkeypatch):
     monkeypatch.setattr(normalize, "SEGMENT", 1000)
     frame = spark.range(20_000).select(F.lit("one").alias("file"), F.col("id").alias("id_seq"), F.timestamp_seconds(F.when(F.col("id") % 700 == 5, F.col("id"))).alias("ts"))
