@@ -51,6 +51,12 @@ def test_event_xml(spark, tmp_path):
     assert [(r["user"], r["fields"]["LogonTypeName"], r["fields"]["EventID"]) for r in rows] == [("ann", "network", "4624"), ("bob", "network", "4625")] and rows[1]["sev"] == "medium"
 
 
+def test_equal_scores_of_delimiters(spark):
+    raws = ["a,b,c"] * 5 + ["a,b,c,d,e,f"] * 4 + ["a"] * 8  # 5 * 1.2 and 4 * 1.5 of 17 lines: equal, and the wider one counts
+    guess = delimited.delimiter_guess(spark.createDataFrame([("f", i, x) for i, x in enumerate(raws)], "file string, id_seq long, raw string")).first()
+    assert (guess["delimiter"], guess["columns"], round(guess["score"], 6)) == (",", 6, 0.352941)
+
+
 def test_delimited(spark, tmp_path):
     body = "".join(f"2026-08-11 03:00:{k:02d}|fw-1|{'DENY' if k % 2 else 'ALLOW'}|10.0.0.5:{4000 + k}|45.83.140.22:443|tcp|len={k}\n" for k in range(20))
     own = lines.read_lines(spark, written(tmp_path, "fw.log", body))
