@@ -4,6 +4,8 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +41,19 @@ def test_segmented_fill_and_skew(spark, monkeypatch, segment):
     assert {r["file"]: r["skew_seconds"] for r in normalize.clock_skew(frame).collect()} == skews
 
 
+@pytest.mark.parametrize("scan", [1, 7, 60, 1 << 20])
+def test_grams_of_many_texts_at_once(monkeypatch, scan):
+    monkeypatch.setattr(needles, "SCAN_BYTES", scan)
+    draw = random.Random(scan)
+    texts = [draw.choice([None, "", "".join(draw.choice("ab\u00e90") for _ in range(draw.randrange(30)))]) for _ in range(50)]
+    sieve = np.array([draw.random() < 0.5 for _ in range(1 << 12)], np.uint8)
+    monkeypatch.setattr(needles, "SLOT_BITS", 12)
+    for lengths in ([], [1], [2, 6], [1, 3, 4, 5, 6]):
+        rows, grams = needles._postings(pa.array(texts, pa.string()).slice(2), lengths, sieve)
+        plain = [(i, int(g)) for i, x in enumerate(texts[2:]) for n in lengths for g in needles._grams((x or "").encode(), n) if sieve[needles._slots(np.array([g]), 12)[0]]]
+        assert sorted(zip(rows.tolist(), grams.tolist(), strict=True)) == sorted(plain)
+
+
 @pytest.mark.parametrize("turned", [False, True])
 def test_skew_of_records_of_one_number(spark, turned):
     rows = [("a", 1, 100), ("a", 1, 900), ("a", 2, 880), ("a", 2, 950), ("a", 3, None), ("a", 3, 1000)]
