@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from emberlog.functions import network, text
 from emberlog.operators import cases, correlate, detections, facets, graph
 from emberlog.plans import detail_queries
+from emberlog.plans.views import log_events
 from emberlog.sources import delimited, records
 
 
@@ -51,6 +52,15 @@ def test_names(spark):
     assert _map(spark, text.noise_file, files) == list(files.values())
 
 
+def test_names_are_worked_out_once(spark, sf):
+    """A value that a rule names several times is planned once; rows of a file of one row group reach all tasks."""
+    for clean in (text.clean_user, network.clean_domain):
+        plan = spark.range(1).select(F.col("id").cast("string").alias("v")).select(clean(F.col("v")))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("regexp_replace(") <= 12
+    assert _map(spark, graph._bare, [" 'a b'\t", "\"", "x'y", None, "\n\x0b\f\r z"]) == ["a b", "", "x'y", None, "z"]
+    assert "RepartitionByExpression" in log_events(spark, sf, spread=True)._jdf.queryExecution().analyzed().toString()
+
+
 def test_entity_kinds_of_large_ids(spark, tmp_path):
     spark.createDataFrame([(k, 99_996 + k) for k in range(8)], "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
     rows = {(r["kind"], r["host"]): r["n"] for r in detail_queries.QUERIES["entity_kinds"](spark, str(tmp_path)).collect()}
