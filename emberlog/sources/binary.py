@@ -27,6 +27,8 @@ from emberlog.sources.lines import shaped
 DEPTH, MEMBERS, TOTAL_BYTES, MEMBER_BYTES = 3, 5000, 512 << 20, 256 << 20
 RISKY = [".exe", ".scr", ".js", ".vbs", ".bat", ".cmd", ".ps1", ".jar", ".hta", ".lnk", ".iso", ".docm", ".xlsm"]
 MOST_URLS, MOST_STRINGS, LEAST_LENGTH = 25, 200_000, 6
+#: Rows go back to Spark in frames of at most so many, and of about so many bytes.
+FRAME_ROWS, FRAME_BYTES = 2000, 4 << 20
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -102,6 +104,19 @@ def text_lines(content: DataFrame) -> DataFrame:
     return own.where(F.trim("raw") != "").select("file", F.col("id_seq").cast("long").alias("id_seq"), "raw")
 
 
+def _grouped(rows: Iterator[tuple[object, int]]) -> Iterator[list]:
+    """Rows, given with their sizes in bytes, in lists of at most FRAME_ROWS and about FRAME_BYTES: a frame for each row costs more than the row."""
+    held, size = [], 0
+    for row, own in rows:
+        held.append(row)
+        size += own
+        if len(held) >= FRAME_ROWS or size >= FRAME_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _message(data: bytes) -> dict:
     m = email.message_from_bytes(data, policy=email.policy.compat32)
     addresses = lambda *names: [a.lower() for _, a in getaddresses([str(v) for n in names for v in m.get_all(n, [])]) if "@" in a]
@@ -137,11 +152,15 @@ _MAIL = "file string, id_seq long, at double, sender string, recipients string,
 def mail(content: DataFrame) -> DataFrame:
     """Mail and mailbox files (file, content): headers, addresses, route, checks, links and attachments."""
 
+    def rows(part: pd.DataFrame) -> Iterator[tuple[dict, int]]:
+        for name, data in zip(part["file"], part["content"], strict=True):
+            for i, m in enumerate(split_mbox(bytes(data))):
+                yield {"file": name, "id_seq": i, **_message(m)}, len(m)
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for name, data in zip(part["file"], part["content"], strict=True):
-                rows = [{"file": name, "id_seq": i, **_message(m)} for i, m in enumerate(split_mbox(bytes(data)))]
-                yield pd.DataFrame(rows)
+            for some in _grouped(rows(part)):
+                yield pd.DataFrame(some)
 
     m = content.where("content IS NOT NULL").select("file", "content").mapInPandas(run, _MAIL)
     urls = F.slice(F.array_distinct(text.every(F.col("body"), text.URL)), 1, MOST_URLS)
@@ -183,11 +202,15 @@ def is_junk(value: Column) -> Column:
 def strings(content: DataFrame) -> DataFrame:
     """Printable strings of binaries, with indicator fields and tags of what looks suspicious."""
 
+    def rows(part: pd.DataFrame) -> Iterator[tuple[tuple, int]]:
+        for name, data in zip(part["file"], part["content"], strict=True):
+            for i, f in enumerate(strings_of(bytes(data))):
+                yield (name, i, *f), len(f[2])
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for name, data in zip(part["file"], part["content"], strict=True):
-                found = strings_of(bytes(data))
-                yield pd.DataFrame({"file": name, "id_seq": range(len(found)), "offset": [f[0] for f in found], "encoding": [f[1] for f in found], "raw": [f[2] for f in found]})
+            for some in _grouped(rows(part)):
+                yield pd.DataFrame(some, columns=["file", "id_seq", "offset", "encoding", "raw"])
 
     own = content.where("content IS NOT NULL").select("file", "content").mapInPandas(run, "file string, id_seq long, offset long, encoding string, raw string").where(~is_junk(F.col("raw")))
     tags = F.array_compact(F.array(*[F.when(F.col("raw").rlike(rx), F.lit(tag)) for tag, rx in SUSPICIOUS.items()]))
