@@ -10,7 +10,7 @@ from emberlog.llm.common import stored, table
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Importance resampling towards the documents labelled good; rows that are not drawn go."""
-    return importance.keep_resampled(docs, importance.good_ids(table(spark, sf_dir, "labels")))
+    return importance.keep_resampled(docs, importance.good(table(spark, sf_dir, "labels")))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,17 +34,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import WORDS, map_arrow, stored, table, utf8_values
+from emberlog.llm.common import WORDS, in_filter, key_filter, map_arrow, stored, table, utf8_values
 
 #: Words of the longest context, and how often a string must occur in training to be told apart.
 DEPTH = 4
 LEAST = 64
 DIVERGENCE = 1.0
 SMOOTHING = 5.0
-#: What is broadcast: words of at least this share of the training positions, so many strings, filters of so many bits.
+#: What is broadcast: words of at least this share of the training positions, so many strings.
 P_HEAD = 2e-6
 HEAD_STRINGS = 1 << 20
-FILTER_BITS = (16, 27)
 END = b" "
 #: Documents of about so many bytes are counted together; a task sends its word counts once it holds so many words.
 BLOCK = 6 << 20
@@ -99,7 +98,7 @@ class Strings:
         self.lengths = np.fromiter(map(len, found), np.int64, len(found))
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.codes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self.words), np.uint64, len(self.words))
-        self.known = _in_filter(words, self.codes)
+        self.known = in_filter(words, self.codes)
         first = np.zeros(len(self.x), bool)
         first[self.starts] = True
         one = self.known[self.x]
@@ -111,7 +110,7 @@ class Strings:
             some = two if n == 2 else two[before != 0]
             key = _mix(before[before != 0] * np.uint64(0x9E3779B97F4A7C15) + self.codes[self.x[some]] + np.uint64(n))
             if n == 2 and pairs is not None:
-                likely = _in_filter(pairs, key)
+                likely = in_filter(pairs, key)
                 some, key = some[likely], key[likely]
             two = some if n == 2 else two
             self.ends.append(some)
@@ -136,23 +135,6 @@ class Strings:
         return after[inside], self.keys[n - 1][inside]
 
 
-def _in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    cell = keys & np.uint64(len(bits) * 8 - 1)
-    return (bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
-def key_filter(keys: DataFrame, key: str = "key") -> np.ndarray:
-    """Bits of which those at the keys' low bits are set: eight for each key, within FILTER_BITS."""
-    low, high = FILTER_BITS
-    size = min(high, max(low, math.ceil(math.log2(8 * keys.count() + 1))))
-    cell = F.col(key).bitwiseAND((1 << size) - 1)
-    words = keys.select(F.shiftright(cell, 6).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(63).cast("int")).alias("bit"))
-    set_bits = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2 ** high / 64 rows
-    out = np.zeros(1 << size - 6, "<i8")
-    out[set_bits["at"].to_numpy()] = set_bits["bits"].to_numpy()
-    return out.view(np.uint8)
-
-
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c) over the training documents."""
 
@@ -288,7 +270,7 @@ class Model:
                 gain[at] += values
                 if self.tails[kind] is not None:
                     rest = ~known
-                    rest[rest] = _in_filter(self.tails[kind], keys[rest])
+                    rest[rest] = in_filter(self.tails[kind], keys[rest])
                     if rest.any():
                         elsewhere.append((at[rest], keys[rest], kind))
         return gain, elsewhere

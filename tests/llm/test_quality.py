@@ -177,3 +177,20 @@ def test_text_ids(spark, odd_docs):
     assert importance.resample(named, {"d4", "d9"}).count() == 11
     kept = importance.keep_resampled(named, {"d4", "d9"})
     assert kept.columns == named.columns and {"d4"} <= {r["doc_id"] for r in kept.collect()}
+
+
+def test_all_labelled_documents_are_learned_from(spark):
+    """The fitted counts are those of every good document, however many there are: 60,000 here."""
+    docs = spark.range(120_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    raw, *folds = importance.feature_counts(docs, importance.good(labels))
+    assert raw.sum() == 120_000 and sum(folds).sum() == 60_000
+    assert importance.importance_keys(docs, importance.good(labels), np.zeros((2, 10))).where("is_target").count() == 60_000
+
+
+def test_many_doubtful_documents_are_joined(spark, small, sf):
+    """Rows near the border are told apart by a join where they are too many to be told to every task."""
+    good = importance.good(spark.read.parquet(f"{sf}/labels.parquet"))
+    expected = {r["doc_id"] for r in importance.resample(small, good, target_share=0.5).where("kept").collect()}
+    for bound in (0, importance.DOUBTFUL):
+        assert {r["doc_id"] for r in importance.keep_resampled(small, good, target_share=0.5, doubtful_bound=bound).collect()} == expected
