@@ -31,6 +31,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def _dealt(table: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to all tasks, as a file of few row groups is read by as few."""
+    return table.repartition(key)
+
+
 def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
 
@@ -106,7 +111,7 @@ def parse_cluster_audit(spark, sf_dir):
         F.struct(F.when(two, "pods").otherwise("secrets").alias("resource"), F.when(two, "exec").alias("subresource"), F.concat(F.lit("ns"), F.col("user_id") % 3).alias("namespace"), F.lit("n-1").alias("name")).alias("objectRef"),
         F.array(F.concat(F.lit("10.0.0."), F.col("user_id") % 200), F.lit("1.2.3.4")).alias("sourceIPs"), F.struct(F.when(F.col("event_type") == "error", 403).otherwise(200).alias("code")).alias("responseStatus"),
     )
-    parsed = records.cluster_audit(_events(spark, sf_dir).select(F.lit("audit.jsonl").alias("file"), F.col("event_id").alias("id_seq"), F.to_json(record).alias("raw")), YEAR, LATEST)
+    parsed = records.cluster_audit(_dealt(_events(spark, sf_dir), "event_id").select(F.lit("audit.jsonl").alias("file"), F.col("event_id").alias("id_seq"), F.to_json(record).alias("raw")), YEAR, LATEST)
     return parsed.select("id_seq", "ts", "user", "host", _field("resource"), _field("responseStatus", "status"), _field("src_ip"), "sev")
 
 
@@ -156,7 +161,7 @@ def parse_plain_text(spark, sf_dir):
   CASE WHEN doc_id % 2 = 0 THEN 'true' END AS reply_to_mismatch, '8.8.4.' || (doc_id % 200) AS src_ip, 'https://t.io/' || doc_id AS url, lang || ' note' AS subject FROM (SELECT *, lang FROM documents)""")
 def parse_mail(spark, sf_dir):
     """Documents as mail with an attachment."""
-    d, odd = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id")
+    d, odd = _dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id"), F.col("doc_id")
     text = F.concat(
         F.format_string("From: A <a%d@x.org>\nTo: b@y.org\nReply-To: c@%s\nSubject: %s note\n", odd, F.when(odd % 2 == 0, "z.org").otherwise("x.org"), "lang"),
         F.format_string("Received: from r ([10.0.0.1]) by q; from s ([8.8.4.%d])\nAuthentication-Results: q; spf=%s\nContent-Type: multipart/mixed; boundary=B\n\n", odd % 200, F.when(odd % 3 == 0, "fail").otherwise("pass")),

@@ -144,3 +144,19 @@ def test_a_format_that_does_not_parse_is_demoted(spark):
         "transcript": ("app.jsonl", "READY", []), "element": ("windows.evtx", "READY", []),
         "elements over lines": ("windows.evtx", "REVIEW", []), "words": ("text", "READY", []),
     }
+
+
+def test_parsed_rows_go_back_in_bounded_frames():
+    from emberlog.sources import binary
+
+    groups = list(binary._grouped((i, 10) for i in range(binary.FRAME_ROWS + 1)))
+    assert [len(g) for g in groups] == [binary.FRAME_ROWS, 1] and [x for g in groups for x in g] == list(range(binary.FRAME_ROWS + 1))
+    assert [len(g) for g in binary._grouped((i, binary.FRAME_BYTES) for i in range(3))] == [1, 1, 1]
+
+
+def test_costly_parsers_deal_their_rows_to_all_tasks(spark):
+    from emberlog.plans import format_queries
+
+    for name in ("parse_mail", "parse_cluster_audit"):
+        plan = format_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_COL" in plan
