@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.operators import bursts, cases, correlate, graph, iocs, needles, normalize, quantiles, search, snapshots
+from emberlog.operators import bursts, cases, correlate, detections, durable, graph, iocs, needles, normalize, quantiles, search, snapshots
 from emberlog.schema import EVENT
 from emberlog.sources import delimited, lines
 from tests.test_operators import event
@@ -247,3 +247,27 @@ def test_versions_of_several_sources(spark, tmp_path):
     assert snapshots.commit(rows(("c", 2, "new")), path) == 5
     assert len(snapshots.vacuum(spark, path, 1)) == 3 and snapshots.versions(spark, path) == [5]
     assert seen() == {("b", "new"): 4, ("c", "new"): 2}
+
+
+def test_rule_fields_are_looked_up_once(spark):
+    """Rules read columns that were written once; no scan of the many looks fields up in the map again."""
+    rows = [(f"e{i}", i, None, "firewall", "h", "u", "m", "m", "info", {"src_ip": "9.9.9.9", "action": "allow", "bytes": "7"}, []) for i in range(5)]
+    frame = spark.createDataFrame(rows, "id string, id_seq long, ts timestamp, source string, host string, user string, msg string, raw string, sev string, fields map<string,string>, detections array<struct<id:string,name:string,level:string>>")
+    found = detections.hits(frame)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "fields#" not in plan and "prepared" in "".join(found.inputFiles())
+    assert found.count() == 0
+
+
+def test_wide_projections_are_small_methods(spark):
+    """A session's default is changed once, a user's own limit never."""
+    key, before = "spark.sql.codegen.hugeMethodLimit", spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535")
+    try:
+        spark.conf.set(key, "65535")
+        durable.compiled(spark.range(1))
+        assert spark.conf.get(key) == "8000"
+        spark.conf.set(key, "12345")
+        durable.compiled(spark.range(1))
+        assert spark.conf.get(key) == "12345"
+    finally:
+        spark.conf.set(key, before)
