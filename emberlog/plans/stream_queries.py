@@ -17,14 +17,19 @@ SQL: dict[str, str] = {}
 
 
 def query(sql: str):
-    """Registers a query over the written event table: its schema, its path and a folder for what streams write."""
+    """Registers a query over the written event table, which it replays: a name, a job, and the names of replays whose alerts the job reads as well."""
 
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             at = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
-            events = log_events(spark, sf_dir)
+            events = log_events(spark, sf_dir, spread=True)
             events.write.parquet(f"{at}/events")
-            return fn(lambda name, job: rules.replay(spark, f"{at}/events", events.schema, f"{at}/{name}", job))
+
+            def replayed(name: str, job: Callable[..., DataFrame], *earlier: str) -> DataFrame:
+                alerts = [rules.written_alerts(spark, f"{at}/{e}") for e in earlier]
+                return rules.replay(spark, f"{at}/events", events.schema, f"{at}/{name}", lambda ev: job(ev, *alerts))
+
+            return fn(replayed)
 
         QUERIES[fn.__name__], SQL[fn.__name__] = run, sql
         return fn
@@ -41,4 +46,5 @@ def stream_bursts(replayed):
 @query(HITS_SQL + "SELECT id FROM followed")
 def stream_success_after_burst(replayed):
     alerts = replayed("alerts", lambda ev: rules.burst_alerts(ev, RULES, only=[rules.ANCHOR]))
-    return rules.settled_logins(replayed("logins", lambda ev: rules.followed_logins(ev, RULES)), rules.densest(alerts))
+    pairs = replayed("logins", lambda ev, before: rules.followed_logins(ev, RULES, alerts=before), "alerts")
+    return rules.settled_logins(pairs, rules.densest(alerts))

@@ -4,6 +4,7 @@ import os
 import random
 
 from emberlog.operators import detections
+from emberlog.operators.bursts import SLICE_WINDOWS
 from emberlog.schema import EVENT
 from emberlog.streaming import rules
 from tests.test_operators import event
@@ -86,6 +87,25 @@ def test_logins_after_a_burst_join_on_the_stream(spark, tmp_path):
     assert follows(good) and follows(good) <= got <= follows([r for b in batches for r in b])
 
 
+def test_logins_join_alerts_that_were_written_and_are_watched_in_few_groups(spark, tmp_path):
+    """The alerts' state is kept once, and a login is no group of its own."""
+    batches = arrivals(5)
+    rows = [r for b in batches for r in b]
+    path = written(spark, batches, str(tmp_path / "in"))
+    delay = f"{DELAY} seconds"
+    alerts = rules.replay(spark, path, EVENT, str(tmp_path / "alerts"), lambda ev: rules.burst_alerts(ev, RULES, delay, [rules.ANCHOR]))
+    before = rules.written_alerts(spark, str(tmp_path / "alerts"))
+    pairs = rules.replay(spark, path, EVENT, str(tmp_path / "logins"), lambda ev: rules.followed_logins(ev, RULES, delay, before))
+    hits, _ = batch_hits(spark, rows)
+    anchors = {r["key"]: r["epoch"] for r in hits.where(hits["rule_id"] == rules.ANCHOR).collect()}
+    want = sorted(r[0] for r in rows if r[11]["http.status"] == "200" and r[11]["src_ip"] in anchors and 0 <= r[2].timestamp() - anchors[r[11]["src_ip"]] <= 30)
+    assert want and sorted(r["id"] for r in rules.settled_logins(pairs, rules.densest(alerts)).collect()) == want
+    assert pairs.count() == pairs.distinct().count()
+    marked = rules.listed(spark.createDataFrame([login(k, 1_786_000_000 + 8 * k, "a") for k in range(100)], EVENT), RULES)
+    groups = marked.selectExpr("key", f"floor(unix_timestamp(ts) / (window * {SLICE_WINDOWS}))").distinct().count()
+    assert marked.count() == 100 and groups <= 11
+
+
 def test_slices_are_forgotten_and_odd_rows_pass(spark, tmp_path):
     ago = 1_786_000_000
     batches = [[failed(k * 1000 + j, ago + k * 1000 + j, f"k{j % 3}") for j in range(30)] for k in range(6)]
