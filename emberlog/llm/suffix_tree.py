@@ -6,7 +6,10 @@ is the smoothed unigram distribution of the training part; its other nodes are c
 Learning. Every string of up to ``DEPTH`` + 1 symbols that occurs at least ``LEAST`` times in training, at any size of the
 input, is counted, so the tree grows with it. A string can only be that frequent if its parts are: the first pass counts
 words, the second pairs of frequent words, the third longer strings of frequent pairs. Which are frequent is told to the
-workers by bit filters of bounded size; what a filter lets through in vain is counted as well and falls short. A context stays if its next-symbol distribution diverges from its parent's (the longest shorter context that stays):
+workers by bit filters of bounded size; what a filter lets through in vain is counted as well and falls short. The second pass
+only makes such a filter, so it counts cells of keys, more of them the larger the input; the third counts whole keys. Both
+deal sorted, packed counts to ranges of keys. A key and some bits of its context's tell the context, the last symbol and the
+string without the first one (``suffixes``), so that frequent strings alone carry these. A context stays if its next-symbol distribution diverges from its parent's (the longest shorter context that stays):
 n * KL must exceed ``DIVERGENCE`` * log(n) for each next symbol that it tells apart. These symbols keep their counts,
 smoothed with ``SMOOTHING`` times the parent's distribution; the rest share what is left in proportion to the parent's.
 The tests are grouped aggregations and joins of written tables, one round for each length.
@@ -28,13 +31,14 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import WORDS, in_filter, key_filter, map_arrow, stored, table, utf8_values
+from emberlog.llm.common import FILTER_BITS, WORDS, in_filter, key_filter, map_arrow, stored, table, utf8_values
 
 #: Words of the longest context, and how often a string must occur in training to be told apart.
 DEPTH = 4
@@ -46,8 +50,11 @@ P_HEAD = 2e-6
 HEAD_STRINGS = 1 << 20
 END = b" "
 #: Documents of about so many bytes are counted together; a task sends its word counts once it holds so many words.
-BLOCK = 6 << 20
+BLOCK = 3 << 20
 HELD_WORDS = 250_000
+#: A task sends its counts of pairs and strings once it holds so many; a range has so many cells of pairs (logarithm), or some strings for so many tokens.
+HELD_COUNTS = 1 << 20
+RANGE_BITS, RANGE_TOKENS = 22, 1 << 19
 #: Words have no spaces, so this marks a string's key among words.
 _STRING = b" s"
 
@@ -77,11 +84,30 @@ def _blocks(batches: Iterator[pa.RecordBatch], train_only: bool) -> Iterator[tup
         yield ids, found
 
 
+_ODD, _STEP = 0xBF58476D1CE4E5B9, 0x9E3779B97F4A7C15
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(_ODD)
     return h ^ (h >> np.uint64(29))
 
 
+def _unmix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29)) ^ (h >> np.uint64(58))) * np.uint64(pow(_ODD, -1, 1 << 64))
+    return h ^ (h >> np.uint64(31)) ^ (h >> np.uint64(62))
+
+
+def _longer(contexts: np.ndarray, last: np.ndarray, n: np.ndarray | np.uint64) -> np.ndarray:
+    """Keys of strings of n symbols from those of their contexts and of their last symbols."""
+    return _mix(contexts * np.uint64(_STEP) + last + n)
+
+
+def suffixes(keys: np.ndarray, contexts: np.ndarray, context_suffixes: np.ndarray, n: int) -> np.ndarray:
+    """Keys of strings of n symbols without their first one; of no string where the context is another's."""
+    last = _unmix(keys) - contexts * np.uint64(_STEP) - np.uint64(n)
+    return last if n == 2 else _longer(context_suffixes, last, np.uint64(n - 1))
+
+
 class Strings:
     """A block's tokens as numbers of its distinct words, and the strings that can be frequent by the filters of words and pairs.
 
@@ -108,7 +134,7 @@ class Strings:
         for n in range(2, longest + 1):
             before = self.at(n - 1, two - 1)
             some = two if n == 2 else two[before != 0]
-            key = _mix(before[before != 0] * np.uint64(0x9E3779B97F4A7C15) + self.codes[self.x[some]] + np.uint64(n))
+            key = _longer(before[before != 0], self.codes[self.x[some]], np.uint64(n))
             if n == 2 and pairs is not None:
                 likely = in_filter(pairs, key)
                 some, key = some[likely], key[likely]
@@ -158,55 +184,139 @@ def count_words(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def count_pairs(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """(key, n) of the pairs of likely words over the training documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def _planes(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Each range's numbers as bytes, those of one place together, so that the shuffle's compression meets runs."""
+    size = values.dtype.itemsize
+    return [values[a:b].view(np.uint8).reshape(-1, size).T.tobytes() for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in _blocks(batches, True):
-            keys, n = np.unique(Strings(found, 2, shared.value, None).keys[1], return_counts=True)
-            yield from _sliced([keys.view(np.int64), n.astype(np.int64)], ["key", "n"])
 
-    return map_arrow(docs.select("doc_id", "text"), count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def _read(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    size = np.dtype(kind).itemsize
+    return [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(size, -1).T).view(kind).ravel() for x in column.to_pylist()]
 
 
-def count_strings(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, depth: int) -> DataFrame:
-    """(key, length, context, suffix, n) of the likely strings of two to ``depth`` + 1 symbols over the training documents."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, pairs))
+def _summed(keys: np.ndarray, n: np.ndarray, hints: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Distinct keys in order, their summed counts, and the hint of each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n[order], first, dtype=n.dtype) if len(first) else n, None if hints is None else hints[order[first]]
+
+
+def _dealt(parts: list[tuple], shift: int) -> Iterator[pa.RecordBatch]:
+    """Rows (range, keys, n, hints) of a task's counts: a range has the keys of equal bits above ``shift``, as steps from one to the next."""
+    if not parts:
+        return
+    keys, n, hints = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]) if len(parts[0]) > 2 else None)
+    if not len(keys):
+        return
+    ranges = keys >> np.uint64(shift)
+    start = np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1]))
+    steps = np.diff(keys, prepend=np.uint64(0))
+    steps[start] = keys[start] - (ranges[start] << np.uint64(shift))
+    ends, at = np.append(start[1:], len(keys)), 0
+    while at < len(ends):
+        # About 250,000 keys a batch.
+        stop = max(at + 1, int(np.searchsorted(ends, start[at] + 250_000, side="right")))
+        a, b, own = start[at], ends[stop - 1], ends[at:stop] - start[at]
+        told = [pa.nulls(stop - at, pa.binary())] if hints is None else [pa.array(_planes(hints[a:b], own), pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(ranges[start[at:stop]].view(np.int64)), pa.array(_planes(steps[a:b], own), pa.binary()), pa.array(_planes(n[a:b], own), pa.binary()), *told], ["range", "keys", "n", "hints"])
+        at = stop
+
+
+def _counted(docs: DataFrame, shift: int, keys_of) -> DataFrame:
+    """(range, keys, n, hints) over the training documents; ``keys_of`` gives the counted keys of a block."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for _, found in _blocks(batches, True):
-            own = Strings(found, depth + 1, *shared.value)
-            for n in range(2, depth + 2):
-                keys, first, many = np.unique(own.keys[n - 1], return_index=True, return_counts=True)
-                at = own.ends[n - 1][first]
-                yield from _sliced([keys.view(np.int64), np.full(len(keys), n, np.int32), own.at(n - 1, at - 1).view(np.int64), own.at(n - 1, at).view(np.int64), many.astype(np.int64)], names)
+            for part in keys_of(found):
+                parts.append(part)
+                held += len(part[0])
+            if held >= HELD_COUNTS:
+                yield from _dealt(parts, shift)
+                parts, held = [], 0
+        yield from _dealt(parts, shift)
 
-    names = ["key", "length", "context", "suffix", "n"]
-    counted = map_arrow(docs.select("doc_id", "text"), count, "key long, length int, context long, suffix long, n long")
-    return counted.groupBy("key", "length", "context", "suffix").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select("doc_id", "text"), count, "range long, keys binary, n binary, hints binary")
 
 
-def _sliced(columns: list[np.ndarray], names: list[str], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(columns[0]), rows):
-        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + rows]) for c in columns], names)
+def frequent_pairs(docs: DataFrame, words: np.ndarray, total: int, least: int) -> DataFrame:
+    """(key): the low bits of the keys of the pairs of likely words that ``least`` occurrences can have, over the training documents.
+
+    Eight cells for each training token, and as many as a filter has; pairs that share a cell count together, so none is missed.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    bits = max(FILTER_BITS[1], math.ceil(math.log2(8 * total + 1)))
+
+    def keys_of(found: list[list[bytes]]) -> Iterator[tuple]:
+        cells, n = np.unique(Strings(found, 2, shared.value, None).keys[1] & np.uint64((1 << bits) - 1), return_counts=True)
+        yield cells, n.astype(np.int32)
+
+    def whole(table: pa.Table) -> pa.Table:
+        sums = np.zeros(1 << RANGE_BITS, np.int64)
+        for steps, n in zip(_read(table["keys"], np.uint64), _read(table["n"], np.int32), strict=True):
+            sums[np.cumsum(steps).view(np.int64)] += n  # a row has a cell once
+        cells = np.flatnonzero(sums >= least) + (table["range"][0].as_py() << RANGE_BITS)
+        return pa.table({"key": pa.array(cells, pa.int64())})
+
+    return _counted(docs, RANGE_BITS, keys_of).groupBy("range").applyInArrow(whole, "key long")
+
+
+def _length_bits(depth: int) -> int:
+    """Of a number of 32 bits that has a string's length and, in the others, the low bits of its context's key."""
+    return (depth + 1).bit_length()
+
+
+def frequent_strings(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, depth: int, total: int, least: int) -> DataFrame:
+    """(key, length, hint, n) of the strings of two to ``depth`` + 1 symbols that occur ``least`` times in the training documents; ``hint`` has the low bits of the context's key."""
+    shared = docs.sparkSession.sparkContext.broadcast((words, pairs))
+    length_bits = _length_bits(depth)
+    shift = 64 - max(6, math.ceil(math.log2(total / RANGE_TOKENS + 1)))
+
+    def keys_of(found: list[list[bytes]]) -> Iterator[tuple]:
+        own = Strings(found, depth + 1, *shared.value)
+        for n in range(2, depth + 2):
+            keys, first, many = np.unique(own.keys[n - 1], return_index=True, return_counts=True)
+            contexts = own.at(n - 1, own.ends[n - 1][first] - 1)
+            yield keys, many.astype(np.int32), (contexts << np.uint64(length_bits) | np.uint64(n)).astype(np.uint32)  # the low 32 bits
+
+    def whole(table: pa.Table) -> pa.Table:
+        start = np.uint64(table["range"][0].as_py() << shift)
+        keys = np.concatenate([np.cumsum(x) + start for x in _read(table["keys"], np.uint64)])
+        keys, n, hints = _summed(keys, np.concatenate(_read(table["n"], np.int32)).astype(np.int64), np.concatenate(_read(table["hints"], np.uint32)))
+        often = n >= least
+        hints = hints[often].astype(np.int64)
+        return pa.table({"key": keys[often].view(np.int64), "length": (hints & (1 << length_bits) - 1).astype(np.int32), "hint": hints >> length_bits, "n": n[often]})
+
+    return _counted(docs, shift, keys_of).groupBy("range").applyInArrow(whole, "key long, length int, hint long, n long")
 
 
 def root_probability(c: Column, total: int, vocabulary: int) -> Column:
     return (c + 0.1) / (total + 0.1 * (vocabulary + 1))
 
 
+def _suffix_column(length: int):
+    def suffix(keys: pd.Series, contexts: pd.Series, context_suffixes: pd.Series) -> pd.Series:
+        return pd.Series(suffixes(*(c.to_numpy().view(np.uint64) for c in (keys, contexts, context_suffixes)), length).view(np.int64))
+
+    return F.pandas_udf(suffix, "long")
+
+
 def grow(words: DataFrame, strings: DataFrame, total: int, vocabulary: int, depth: int) -> DataFrame:
     """(key, is_context, value, n): the terms of all strings whose context stays, and of these contexts.
 
-    ``words`` (key, n) and ``strings`` have the frequent ones. The term of a context is log10 of what a symbol that it does
+    ``words`` (key, n) and ``strings`` (key, length, hint, n) have the frequent ones. A string meets all contexts of its hint; with
+    another's than its own it has a suffix that no string has. The term of a context is log10 of what a symbol that it does
     not list gets over the parent's probability; a listed symbol adds the rest of its own ratio.
     """
-    shorter = words.select("key", "n", root_probability(F.col("n"), total, vocabulary).alias("p"))
+    shorter = words.select("key", "n", root_probability(F.col("n"), total, vocabulary).alias("p"), F.lit(0).cast("long").alias("suffix"))
     out = []
     for length in range(2, depth + 2):
-        own = strings.where(F.col("length") == length).select("key", "context", "suffix", "n")
-        own = own.join(shorter.select(F.col("key").alias("suffix"), F.col("p").alias("parent")), "suffix").join(shorter.select(F.col("key").alias("context"), F.col("n").alias("of")), "context")
+        contexts = shorter.select(F.col("key").bitwiseAND((1 << 32 - _length_bits(depth)) - 1).alias("hint"), F.col("key").alias("context"), F.col("n").alias("of"), F.col("suffix").alias("context_suffix"))
+        own = strings.where(F.col("length") == length).select("key", "hint", "n").join(contexts, "hint")
+        own = own.select("key", "context", _suffix_column(length)("key", "context", "context_suffix").alias("suffix"), "n", "of")
+        own = own.join(shorter.select(F.col("key").alias("suffix"), F.col("p").alias("parent")), "suffix")
         told = own.groupBy("context").agg(
             F.first("of").alias("of"), F.sum("n").alias("seen"), F.count("*").alias("symbols"), F.sum("parent").alias("known"),
             F.sum(F.col("n") * F.log(F.col("n") / F.col("of") / F.col("parent"))).alias("gain"),
@@ -282,9 +392,9 @@ def learn(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, head_strings:
     vocabulary, total = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     frequent = words.where(F.col("c") >= least).select(F.xxhash64("word").alias("key"), F.col("c").alias("n"))
     word_bits = key_filter(frequent)
-    pairs = stored(count_pairs(docs, word_bits).where(F.col("n") >= least).select("key"), "pairs")
+    pairs = stored(frequent_pairs(docs, word_bits, total, least), "pairs")
     filters = (word_bits, key_filter(pairs))
-    strings = stored(count_strings(docs, *filters, depth).where(F.col("n") >= least), "strings")
+    strings = stored(frequent_strings(docs, *filters, depth, total, least), "strings")
     terms = grow(frequent, strings, total, vocabulary, depth)
     # The head ends at the least count that keeps it within its bound.
     border, many = least, 0

@@ -10,6 +10,7 @@ from zlib import crc32
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from emberlog.llm import chat, language, matroska, packing, pieces, suffix_tree, url_rules
@@ -226,6 +227,36 @@ def test_score_against_brute_force(spark, small, odd_docs, head):
         assert given + unseen * far == pytest.approx(1, abs=1e-6)
 
 
+def test_keys_tell_contexts_and_counts_are_packed(spark, small, monkeypatch):
+    """Frequent strings by dictionaries of keys, although no row of a shuffle names a context or one string."""
+    train = [r["text"] for r in small.collect() if not suffix_tree.is_held_out(r["doc_id"])]
+    every = np.full(1 << 13, 255, np.uint8)
+    own = suffix_tree.Strings([suffix_tree.tokens((t or "").encode()) for t in train], 5, every, None)
+    counts = Counter()
+    for n in range(2, 6):
+        at, keys = own.ends[n - 1], own.keys[n - 1]
+        contexts = own.at(n - 1, at - 1)
+        shorter = own.at(n - 2, at - 1) if n > 2 else contexts
+        assert (suffix_tree.suffixes(keys, contexts, shorter, n) == own.at(n - 1, at)).all()
+        bits = 32 - suffix_tree._length_bits(4)
+        counts.update(zip(keys.view(np.int64).tolist(), [n] * len(keys), (contexts & np.uint64((1 << bits) - 1)).tolist(), strict=True))
+    monkeypatch.setattr(suffix_tree, "HELD_COUNTS", 20_000)  # several times a task
+    monkeypatch.setattr(suffix_tree, "BLOCK", 100_000)
+    total, docs = len(own.x), small.repartition(3)
+    got = {(r["key"], r["length"], r["hint"]): r["n"] for r in suffix_tree.frequent_strings(docs, every, every, 4, total, 3).collect()}
+    assert got == {k: n for k, n in counts.items() if n >= 3}
+    cells = {r["key"] for r in suffix_tree.frequent_pairs(docs, every, total, 3).collect()}
+    width = max(27, math.ceil(math.log2(8 * total + 1)))
+    summed = Counter()
+    for (key, n, _), times in counts.items():
+        if n == 2:
+            summed[key & (1 << width) - 1] += times
+    assert cells == {c for c, times in summed.items() if times >= 3}
+    parts = [(np.unique(own.keys[2]), np.ones(len(np.unique(own.keys[2])), np.int32))]
+    rows = pa.Table.from_batches(suffix_tree._dealt(parts, 58))
+    assert rows.num_rows == 64 and (np.concatenate([np.cumsum(x) + np.uint64(r << 58) for x, r in zip(suffix_tree._read(rows["keys"], np.uint64), rows["range"].to_pylist(), strict=True)]) == parts[0][0]).all()
+
+
 def test_text_ids_and_depth(spark, odd_docs):
     named = odd_docs.withColumn("doc_id", odd_docs["doc_id"].cast("string"))
     for depth in (1, 5):
